@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm._common import shared_dir
 from ledgerline.llm.decontamination import contaminated, decontaminate
 from ledgerline.llm.jaccard_join import similar_components
+from ledgerline.llm.license_scan import scan_licenses
 from ledgerline.llm.packing import pack_documents
+from ledgerline.llm.quality_rules import judge_quality
 from ledgerline.llm.sharding import shard_documents
 from ledgerline.llm.substring_dedup import remove_repeats
 from ledgerline.llm.token_counts import token_counts
@@ -37,6 +39,21 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda b: b["start"])
+    base = F.transform("base", lambda b: b["label"])
+    found = F.transform("detections", lambda d: d["label"])
+    return out.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ",").alias("labels"), "score",
+    )
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(_table(spark, sf_dir, "documents"), leaves=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -64,7 +81,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op5_kd_tree_sharding, op6_warc_archive, op7_token_counts, op8_vector_packing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scans, op4_quality_rules, op5_kd_tree_sharding, op6_warc_archive, op7_token_counts, op8_vector_packing, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": r"""
