@@ -8,9 +8,9 @@ sequence is filled to the token. What is left at a task's end is cut into powers
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 400_000
+from ledgerline.llm._hashing import parts
+
+#: Distinct pieces of text that a worker remembers; beyond it the memory starts anew (results don't depend on it).
+REMEMBERED = 700_000
 #: Documents, and tokens, that wait at once in a task.
 WAITING, WAITING_TOKENS = 256, 1 << 20
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, sequence_length long"
@@ -29,45 +32,62 @@ _tokenizers: dict[str, WordIds] = {}
 class WordIds(dict):
     """Token ids (as little-endian unsigned 32-bit bytes) of a piece of text without white space.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its pieces in turn.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its pieces in turn. It also
+    lower-cases, so A-Z are lower-cased first, but for texts that may hold one of its special strings.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
+        self.between_id, self.between = (special[0][0], special[0][1].content) if special else (None, "")
+
+    def encoded(self, piece: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.encoded(piece)
         if len(piece) < 64:
             self[piece] = ids
         return ids
 
     def learn(self, pieces: set[bytes]) -> None:
+        """Many pieces in one call: a special token between them shows where each one's ids end."""
         if len(self) > REMEMBERED:
             self.clear()
-        new = [p for p in pieces if p not in self]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self[piece] = np.array(got.ids, "<u4").tobytes()
-
-    def pieces(self, text: str) -> list[bytes]:
-        """A-Z are lower-cased and a full stop or comma at a word's end stands alone, as the tokenizer does itself; so fewer pieces differ.
+        # a full stop or comma behind a letter is a token of its own, so the word before it may be known
+        stopped = [p for p in pieces if len(p) > 1 and p[-1] in b".," and 97 <= p[-2] <= 122]
+        new = list({p for p in pieces.difference(stopped) | {p[:-1] for p in stopped} if p not in self and b"<|" not in p and len(p) < 64})
+        for at in range(0, len(new) if self.between else 0, 512):
+            part = new[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join([p.decode() for p in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
+            if len(ends) != len(part):
+                continue
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(part, ends, strict=True):
+                self[piece] = raw[4 * start : 4 * end]
+                start = end + 1
+        stops = {c: self.encoded(bytes([c])) for c in b".,"}
+        for p in stopped:
+            if b"<|" not in p and len(p) < 64:
+                self[p] = self[p[:-1]] + stops[p[-1]]
 
-        Texts that may hold the tokenizer's own special strings are left as they are.
-        """
+    @staticmethod
+    def lowered(text: str) -> bytes:
+        """In UTF-8, with A-Z lower-cased where that leaves the tokenizer's own normalization nothing else to do."""
         raw = text.encode()
-        if b"<|" not in raw:
-            raw = re.sub(rb"(?<=[a-z])([.,])(?=[ \n]|$)", rb" \1", raw.lower())
-        return re.split(rb"[ \n]+", raw.strip(b" \n"))
+        if b"<|" in raw:
+            return raw
+        low = raw.lower()
+        if len(raw) == len(text) or is_normalized("NFC", text) and is_normalized("NFC", low.decode()):
+            return low
+        return raw
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        fresh: set[bytes] = set()
-        for pieces in split:
-            fresh.update(pieces)
-        self.learn({p for p in fresh if len(p) < 64})
+        split = [self.lowered(t).split() for t in texts]
+        self.learn(set().union(*split).difference(self))
         return [b"".join(map(self.__getitem__, pieces)) for pieces in split]
 
 
@@ -191,13 +211,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
         context, rows = TaskContext.get(), []
         packer = Packer(limit, max_segments, limit if max_loss is None else max_loss, (context.partitionId() if context else 0) << 40, rows.append)
         schema = None
-        for batch in batches:
-            schema = schema or pa.schema([pa.field("doc_id", batch.schema.field(0).type), *(pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_length"))])
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                found = words.batch(pc.fill_null(part.column(1), "").to_pylist())
-                for doc, ids, every in zip(part.column(0).to_pylist(), found, pc.fill_null(part.column(2), True).to_pylist(), strict=True):
-                    packer.add(doc, ids + end, every)
+        for part in parts(batches, 1):
+            schema = schema or pa.schema([pa.field("doc_id", part.schema.field(0).type), *(pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_length"))])
+            found = words.batch(pc.fill_null(part.column(1), "").to_pylist())
+            for doc, ids, every in zip(part.column(0).to_pylist(), found, pc.fill_null(part.column(2), True).to_pylist(), strict=True):
+                packer.add(doc, ids + end, every)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows.clear()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm._common import shared_dir
 from ledgerline.llm.decontamination import contaminated, decontaminate
+from ledgerline.llm.html_extraction import extract_pages
 from ledgerline.llm.jaccard_join import similar_components
 from ledgerline.llm.license_scan import scan_licenses
 from ledgerline.llm.packing import pack_documents
@@ -75,13 +76,18 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, limit=4096)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), window=35)
     kept = F.when(F.col("kept_text").isNull(), F.col("words_sha256")).otherwise(F.sha2(F.encode("kept_text", "UTF-8"), 256))
     return out.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scans, op4_quality_rules, op5_kd_tree_sharding, op6_warc_archive, op7_token_counts, op8_vector_packing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scans, op4_quality_rules, op5_kd_tree_sharding, op6_warc_archive, op7_token_counts, op8_vector_packing, op9_html_extraction, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": r"""
