@@ -37,7 +37,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _to_remove:
         atexit.register(_remove_all)
     _to_remove[path] = spark
-    spark.sparkContext._jvm.System.gc()  # the finished job's shuffle files go when the driver forgets them
+    for _ in range(2):  # the finished job's shuffle files go when the driver forgets them
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

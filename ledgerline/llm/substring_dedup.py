@@ -55,8 +55,32 @@ def _fingerprints(window: int):
     return found
 
 
-def _windows(window: int):
-    """Rows (unit, copies, at, h1, h2) for windows with a shared fingerprint, of batches (unit, copies, text, shared)."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(print, places) of each batch (prints): a fingerprint that many texts have is one row a batch."""
+    for batch in batches:
+        prints, places = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(places, pa.int64())], ["print", "places"])
+
+
+#: Windows of a slice, dealt by hash: of each distinct window its text, place, hashes and weight (2: known to repeat), and the
+#: places already known to repeat.
+DEALT = "block int, unit binary, at binary, h1 binary, h2 binary, weight binary, done_unit binary, done_at binary"
+FLAGGED = "block int, unit binary, at binary"
+
+
+def _blocks(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by block, and where each block begins in it; a block is a range of the hash's upper half."""
+    block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    order = np.argsort(block.astype(np.uint32), kind="stable")
+    return order, np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
+
+
+def _windows(window: int, blocks: int):
+    """The windows with a shared fingerprint, of batches (unit, copies, text, shared), as DEALT.
+
+    Within a slice of texts, equal windows are counted here already, so a window that a third of all texts have goes on
+    once a slice.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.parts(batches, 2):
@@ -72,14 +96,63 @@ def _windows(window: int):
             if not len(place):
                 continue
             one = H.run_hashes(h, window)[place]
-            two = H.run_hashes(H.word_hashes(words, 1), window, H.FACTORS[1])[place]
+            order = np.argsort(one)
+            one, place = one[order], place[order]
+            two = (H.run_hashes(H.mixed(h ^ np.uint64(H.FACTORS[1])), window, H.FACTORS[1])[place] >> np.uint64(32)).astype("<u4")
             text = np.searchsorted(starts, place, "right") - 1
-            own = lambda i: batch.column(i).to_numpy(zero_copy_only=False)[text]  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(own(0), pa.int64()), pa.array(own(1), pa.int64()), pa.array(place - starts[text], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["unit", "copies", "at", "h1", "h2"])
+            unit = batch.column(0).to_numpy(zero_copy_only=False)[text]
+            copies = batch.column(1).to_numpy(zero_copy_only=False)[text]
+            place = (place - starts[text]).astype("<u4")
+            new = np.ones(len(one), bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            first = np.flatnonzero(new)
+            weight = np.minimum(np.add.reduceat(copies, first), 2).astype(np.uint8)
+            known = (weight > 1)[np.cumsum(new) - 1]
+            rows = []
+            order, ends = _blocks(one[first], blocks)
+            for b in np.flatnonzero(np.diff(ends)):
+                part = order[ends[b] : ends[b + 1]]
+                at_ = first[part]
+                rows.append([int(b), unit[at_].tobytes(), place[at_].tobytes(), one[at_].tobytes(), two[at_].tobytes(), weight[part].tobytes(), b"", b""])
+            rows[0][6:] = unit[known].tobytes(), place[known].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)], ["block", "unit", "at", "h1", "h2", "weight", "done_unit", "done_at"])
 
     return found
 
 
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+
+
+def _flagged(blocks: int):
+    """The places of one block's windows that repeat, dealt by text, as FLAGGED."""
+
+    def found(table: pa.Table) -> pa.Table:
+        unit, at, one, two, weight = (_column(table, c, k) for c, k in (("unit", np.int64), ("at", "<u4"), ("h1", np.uint64), ("h2", "<u4"), ("weight", np.uint8)))
+        order = np.lexsort((two, one))
+        one, two, w = one[order], two[order], weight[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        total = np.add.reduceat(w.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        chosen = order[(total > 1) & (w == 1)]
+        unit = np.concatenate([unit[chosen], _column(table, "done_unit", np.int64)])
+        at = np.concatenate([at[chosen], _column(table, "done_at", "<u4")])
+        order, ends = _blocks(H.mixed(unit.view(np.uint64)), blocks)
+        rows = [(int(b), unit[p].tobytes(), at[p].tobytes()) for b in np.flatnonzero(np.diff(ends)) for p in [order[ends[b] : ends[b + 1]]]]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["block", "unit", "at"])
+
+    return found
+
+
+def _places(table: pa.Table) -> pa.Table:
+    """(unit, places) of one block of texts."""
+    unit, at = _column(table, "unit", np.int64), _column(table, "at", "<u4")
+    order = np.argsort(unit, kind="stable")
+    unit, at = unit[order], at[order].astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.zeros(0, np.int64)
+    return pa.Table.from_arrays([pa.array(unit[first], pa.int64()), _lists(at, np.diff([*first, len(unit)]), pa.int32())], ["unit", "places"])
+
+
 def _kept(window: int):
     """(unit, n_removed, kept text) of batches (unit, text, repeated window starts)."""
 
@@ -89,7 +162,7 @@ def _kept(window: int):
             raw, removed, texts = words.to_pylist(), [], []
             for start, end, places in zip(starts[:-1], starts[1:], batch.column(2), strict=True):
                 edge = np.zeros(end - start + 1, np.int64)
-                places = places.values.to_numpy(zero_copy_only=False)
+                places = np.unique(places.values.to_numpy(zero_copy_only=False))
                 np.add.at(edge, places, 1)
                 np.add.at(edge, places + window, -1)
                 keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
@@ -115,9 +188,9 @@ class FingerprintIndex:
         self.runs.append(name)
 
     def add(self, prints: DataFrame) -> None:
-        """A new run from the fingerprints (column ``print``, one row per place) of a batch of texts."""
-        counted = prints.groupBy("print").agg(F.count(F.lit(1)).alias("places"))
-        self._write(counted.repartition(self.buckets, "print").sortWithinPartitions("print"))
+        """A new run from a batch's fingerprints (column ``prints``, an array per text)."""
+        counted = prints.select("prints").mapInArrow(_counted, "print long, places long").repartition(self.buckets, "print")
+        self._write(counted.groupBy("print").agg(F.sum("places").alias("places")).sortWithinPartitions("print"))
 
     def merged(self) -> DataFrame:
         """All runs merge-joined: (print, places)."""
@@ -150,18 +223,18 @@ def _hashed(of: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _prints(sources: DataFrame, window: int, name: str) -> DataFrame:
     kind = sources.schema["id"].dataType.simpleString()
-    return written(sources.mapInArrow(_fingerprints(window), f"id {kind}, t1 long, t2 long, n_words long, words_sha256 string, prints array<long>"), name)
+    found = sources.mapInArrow(_fingerprints(window), f"id {kind}, t1 long, t2 long, n_words long, words_sha256 string, prints array<long>")
+    return written(found.withColumn("unit", F.monotonically_increasing_id()), name)
 
 
 def _candidates(sources: DataFrame, prints: DataFrame, shared: DataFrame) -> DataFrame:
-    """One row for each distinct text with a shared fingerprint: t1, t2, id, copies, shared, text."""
+    """One row for each distinct text with a shared fingerprint: unit, t1, t2, copies, shared, text. The text's first row stands for all."""
     long = prints.where(F.size("prints") > 0)
-    groups = long.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id")).alias("first"))
-    groups = groups.select("t1", "t2", "copies", F.col("first.id").alias("first"))
-    standing = long.join(groups, ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("first"))).select("t1", "t2", "id", "copies", F.explode("prints").alias("print"))
-    units = standing.join(shared, "print").groupBy("t1", "t2", "id", "copies").agg(F.collect_set("print").alias("shared"))
-    units = units.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("id").alias("uid"), "copies", "shared")
-    return sources.join(units, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("id").eqNullSafe(F.col("uid"))).select("t1", "t2", "copies", "shared", "text")
+    groups = long.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("unit", "id")).alias("first"))
+    groups = groups.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "copies", F.col("first.unit").alias("unit"), F.col("first.id").alias("uid"))
+    units = long.select("unit", F.explode("prints").alias("print")).join(shared, "print").groupBy("unit").agg(F.collect_set("print").alias("shared"))
+    units = units.join(groups, "unit")
+    return sources.join(units, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("id").eqNullSafe(F.col("uid"))).select("unit", "t1", "t2", "copies", "shared", "text")
 
 
 def _changed(docs: DataFrame, id_col: str, text_col: str, window: int, index: FingerprintIndex | None, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -170,18 +243,19 @@ def _changed(docs: DataFrame, id_col: str, text_col: str, window: int, index: Fi
     index = index or FingerprintIndex(spark, window=window)
     sources = _hashed(docs, id_col, text_col)
     prints = _prints(sources, window, "fingerprints")
-    index.add(prints.select(F.explode("prints").alias("print")))
+    index.add(prints)
     shared = written(index.shared(), "shared-fingerprints")
     found = _candidates(sources, prints, shared).withColumn("old", F.lit(False))
     if history is not None:
         before = _hashed(history, id_col, text_col)
         found = found.unionByName(_candidates(before, _prints(before, window, "history"), shared).withColumn("old", F.lit(True)))
-    found = written(found.withColumn("unit", F.monotonically_increasing_id()), "candidates")
-    windows = found.select("unit", "copies", "text", "shared").mapInArrow(_windows(window), "unit long, copies long, at int, h1 long, h2 long")
-    repeated = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
-    places = written(windows.join(repeated, ["h1", "h2"], "left_semi").groupBy("unit").agg(F.collect_list("at").alias("places")), "repeats")
+    found = written(found.withColumn("unit", F.col("unit") * 2 + F.col("old").cast("long")), "candidates")
+    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.select("unit", "copies", "text", "shared").mapInArrow(_windows(window, blocks), DEALT)
+    flagged = dealt.groupBy("block").applyInArrow(_flagged(blocks), FLAGGED)
+    places = written(flagged.groupBy("block").applyInArrow(_places, "unit long, places array<int>"), "repeats")
     lost = found.where(~F.col("old")).select("unit", "text").join(places, "unit").mapInArrow(_kept(window), "unit long, n_removed long, kept_text string")
-    return prints.drop("prints"), lost.join(found.select("unit", "t1", "t2"), "unit").dropDuplicates(["t1", "t2"]).select("t1", "t2", "n_removed", "kept_text")
+    return prints.drop("prints", "unit"), lost.join(found.select("unit", "t1", "t2"), "unit").dropDuplicates(["t1", "t2"]).select("t1", "t2", "n_removed", "kept_text")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
