@@ -61,7 +61,7 @@ def _with_runs(diagonals: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 13) -> DataFrame:
-    """Per row of ``docs``: id, n_words, n_hit (words inside an occurrence of a window of an item), items (sorted strings).
+    """Per row of ``docs``: id, n_words, n_hit (words inside an occurrence of a window of an item), items (sorted strings), key (names the row by id and text).
 
     A window is ``span`` consecutive words of an item, or the whole item if it has fewer. Null or empty texts have no
     words, and so no hits; an empty item hits nothing. A null item id counts its hits but isn't listed; items that repeat an id are one in ``items``.
@@ -74,7 +74,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     layers = sorted(r[0] for r in items.select("span").distinct().collect())  # at most ``span`` values
     split = texts.select("id", "key", words(ascii_lower(F.col("text")), NOT_WORD).alias("words")).select("id", "key", "words", F.size("words").alias("n_words"))
     if not layers:
-        return split.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return split.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), "key")
 
     index = items.select("item_key", F.col("span").alias("own"), F.col("item_words").alias("words"), F.size("item_words").alias("n_words"))
     index = written(_marks(index, layers, "item_key", "own").where(F.col("own") == F.col("span")).drop("own"), "benchmark-fingerprints")
@@ -110,9 +110,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     covered = F.aggregate("ends", F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["to"], s["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).cast("long").alias("n")), lambda a: a["n"])
     found = ends.select("key", covered.alias("n_hit")).join(listed, "key")
     rows = probe.where("span = 0").select("id", "key", "n_words")
-    return rows.join(found, "key", "left").select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return rows.join(found, "key", "left").select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "key")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """The rule: some word is hit and hits are at least a twentieth of the words."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the rule doesn't find contaminated."""
+    found = decontaminate(docs, benchmark, id_col, text_col)
+    found = written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("__key")).distinct(), "contaminated")
+    key = row_key(F.col(id_col), F.col(text_col).cast("string"))
+    return docs.join(found, key == F.col("__key"), "left_anti")
