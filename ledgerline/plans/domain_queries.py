@@ -651,3 +651,19 @@ def join_asof(spark, sf_dir):
     e = T.table(spark, sf_dir, "events")
     clicks = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("event_id").alias("found_id"))
     return log.as_of(e.where("event_type = 'purchase'").select("user_id", "event_id"), clicks, ["user_id"], "event_id", "click", "found_id").select("event_id", "found")
+
+
+@query()
+def screen_fold(spark, sf_dir):
+    """Each session's terminal screen after all its output."""
+    from ledgerline.operators.terminal import fold_screens
+
+    s = T.session_log(spark, sf_dir)
+    text = F.when(F.col("event_type") == "error", F.concat(F.lit("\x1b[2J\x1b[H"), F.col("text"), F.lit("\r\n"))).otherwise(F.concat(F.col("event_type"), F.lit("\x1b[K\r\n")))
+    return fold_screens(s.select(F.col("session").alias("key"), F.col("offset").alias("at"), "kind", text.alias("text"), (F.lit(40) + F.col("offset") % 3).cast("int").alias("cols"), F.lit(10).alias("rows")), 40, 10)
+
+
+@query("SELECT user_id, event_type, count(*) AS n, grouping_id(user_id, event_type)::INT AS level FROM (SELECT user_id % 5 AS user_id, event_type FROM events) GROUP BY CUBE (user_id, event_type)")
+def group_cube(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("user_id"), "event_type")
+    return e.cube("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
