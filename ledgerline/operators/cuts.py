@@ -50,7 +50,9 @@ def heal(edges: DataFrame, cut: DataFrame, checkpoint=None, rounds: int = 1000)
 
 
 def _ensure_checkpoint_dir(spark) -> None:
+    """The folder in spark.checkpoint.dir is used as it is; only where that is unset, as in tests, a temporary one."""
     import tempfile
 
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-"))
