@@ -16,14 +16,14 @@ FACTORS = (0x9E3779B97F4A7C15, 0x6A09E667F3BCC909)
 _M64 = (1 << 64) - 1
 
 
-def parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about AT_ONCE bytes of text; a longer text is a slice of its own."""
+def parts(batches: Iterator[pa.RecordBatch], text: int, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``at_once`` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(batch):
             done = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, done + AT_ONCE, "right")))
+            end = max(at + 1, int(np.searchsorted(sizes, done + at_once, "right")))
             yield batch.slice(at, end - at)
             at = end
 

@@ -19,10 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._hashing import parts
+from ledgerline.llm._hashing import parts, split_words
 
 #: Distinct pieces of text that a worker remembers; beyond it the memory starts anew (results don't depend on it).
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
+#: ASCII letters, and ASCII punctuation without the apostrophe, which may begin a piece of its own.
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text whose pieces are looked up at once.
+AT_ONCE = 12 << 20
 #: Documents, and tokens, that wait at once in a task.
 WAITING, WAITING_TOKENS = 256, 1 << 20
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, sequence_length long"
@@ -56,9 +61,16 @@ class WordIds(dict):
         """Many pieces in one call: a special token between them shows where each one's ids end."""
         if len(self) > REMEMBERED:
             self.clear()
-        # a full stop or comma behind a letter is a token of its own, so the word before it may be known
-        stopped = [p for p in pieces if len(p) > 1 and p[-1] in b".," and 97 <= p[-2] <= 122]
-        new = list({p for p in pieces.difference(stopped) | {p[:-1] for p in stopped} if p not in self and b"<|" not in p and len(p) < 64})
+        # punctuation behind a letter is a piece of its own to the tokenizer, so the word before it may be known
+        tails, fresh = [], set()
+        for p in pieces:
+            head = p.rstrip(TAIL)
+            if head and len(head) < len(p) and (head[-1] in LETTERS or head[-1] > 127 and head.decode()[-1].lower().isalpha()):
+                tails.append((p, head, p[len(head) :]))
+                fresh.update(tails[-1][1:])
+            else:
+                fresh.add(p)
+        new = [p for p in fresh if p not in self and b"<|" not in p and len(p) < 64]
         for at in range(0, len(new) if self.between else 0, 512):
             part = new[at : at + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([self.between.join([p.decode() for p in part])], add_special_tokens=False)[0].ids, "<u4")
@@ -69,10 +81,9 @@ class WordIds(dict):
             for piece, end in zip(part, ends, strict=True):
                 self[piece] = raw[4 * start : 4 * end]
                 start = end + 1
-        stops = {c: self.encoded(bytes([c])) for c in b".,"}
-        for p in stopped:
+        for p, head, tail in tails:
             if b"<|" not in p and len(p) < 64:
-                self[p] = self[p[:-1]] + stops[p[-1]]
+                self[p] = self[head] + self[tail]
 
     @staticmethod
     def lowered(text: str) -> bytes:
@@ -86,9 +97,22 @@ class WordIds(dict):
         return raw
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.lowered(t).split() for t in texts]
-        self.learn(set().union(*split).difference(self))
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        """Each distinct piece of the texts is looked up once; ids are then gathered for all texts at a time."""
+        pieces, starts = split_words(pa.array([self.lowered(t) for t in texts], pa.binary()).cast(pa.string()))
+        if not len(pieces):
+            return [b""] * len(texts)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.learn({p for p in distinct if p not in self})
+        own = [self[p] for p in distinct]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool, at = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = pool[np.repeat(at[index] - ends[:-1], lengths) + np.arange(ends[-1])]
+        edges = ends[starts].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
 
 class Packer:
@@ -211,7 +235,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
         context, rows = TaskContext.get(), []
         packer = Packer(limit, max_segments, limit if max_loss is None else max_loss, (context.partitionId() if context else 0) << 40, rows.append)
         schema = None
-        for part in parts(batches, 1):
+        for part in parts(batches, 1, AT_ONCE):
             schema = schema or pa.schema([pa.field("doc_id", part.schema.field(0).type), *(pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_length"))])
             found = words.batch(pc.fill_null(part.column(1), "").to_pylist())
             for doc, ids, every in zip(part.column(0).to_pylist(), found, pc.fill_null(part.column(2), True).to_pylist(), strict=True):
