@@ -9,7 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"\x1b\[([?>=!]?)([0-9;:]*)([ -/]*)([@-~])|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[PX^_].*?\x1b\\|\x1b[()*+].|\x1b([78DEMc=>])|[\x00-\x1f\x7f]|[^\x00-\x1f\x7f]+", re.S)
+TOKEN = re.compile(r"\x1b\[([?>=!]?)([0-9;:]*)([ -/]*)([@-~])|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[PX^_].*?\x1b\\|\x1b[()*+].|\x1b([78DEMc=>])|[\x00-\x1a\x1c-\x1f\x7f]|[^\x00-\x1f\x7f]+", re.S)
+#: A sequence that goes on in the next record.
+OPEN = re.compile(r"\x1b(?:\[[0-?]*[ -/]*|\][^\x07\x1b]*\x1b?|[PX^_][^\x1b]*\x1b?|[()*+])?\Z", re.S)
+LONGEST = 4096
 
 
 def width(c: str) -> int:
@@ -75,9 +78,8 @@ class Screen:
 
     def feed(self, text: str) -> None:
         text, self.rest = self.rest + text, ""
-        cut = text.rfind("\x1b")
-        if cut >= 0 and not TOKEN.match(text, cut) and len(text) - cut < 4096:  # a sequence that goes on in the next record
-            text, self.rest = text[:cut], text[cut:]
+        if (m := OPEN.search(text)) and len(m[0]) < LONGEST:
+            text, self.rest = text[: m.start()], m[0]
         for m in TOKEN.finditer(text):
             t = m[0]
             if m[4]:

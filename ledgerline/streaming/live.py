@@ -70,17 +70,20 @@ def signals(records: DataFrame) -> DataFrame:
     return records.groupBy("subject").transformWithStateInPandas(_Newest(), outputStructType="subject string, offset long, body string", outputMode="Update", timeMode="None")
 
 
-def exactly_once(records: DataFrame, sink: str, key: list[str]) -> Callable:
-    """A foreachBatch function that appends records whose key the sink doesn't have yet; a repeated batch adds nothing."""
+def exactly_once(sink: str, key: list[str], query: str) -> Callable:
+    """A foreachBatch function that appends records whose key the sink doesn't have yet.
+
+    Each micro-batch has a folder of its own, named by the query and the batch; a batch that is repeated after a failure writes
+    the same rows there again. The first batch makes the sink.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(key)
-        try:
-            fresh = fresh.join(spark.read.parquet(sink).select(*key), key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            before = spark.read.parquet(sink)
+            fresh = fresh.join(before.where(~((F.col("query") == query) & (F.col("batch") == batch_id))).select(*key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{sink}/query={query}/batch={batch_id}")
 
     return write
