@@ -35,6 +35,8 @@ VOID = "area base br col embed hr img input link meta param source track wbr".sp
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|overlay|sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|comments?|disqus|replies|reactions|toolbar|skip-link|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(?P<silent>" + "|".join(SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?<=/>)|.*?(?:</(?P=silent)\s*>|$))|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>", re.I | re.S)
 MARKED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Up to so many pages with shared lines, their places are broadcast; beyond, joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Kinds of lines.
 LOOSE, OWN, OUTSIDE = 0, 1, 2
 _AROUND, _ARTICLE, _INLINE, _VOID = map(frozenset, (AROUND, ARTICLE, INLINE, VOID))
@@ -144,13 +146,19 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, url, key, lines, kinds, hashes) of batches (id, url, key, html)."""
+    """(id, url, key, lines, kinds) of batches (id, url, key, html)."""
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
             found = [page_lines(h) for h in pc.fill_null(part.column(3), "").to_pylist()]
-            hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in lines] for lines, _ in found]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([k for _, k in found], pa.list_(pa.int8())), pa.array(hashes, pa.list_(pa.int64()))], ["id", "url", "key", "lines", "kinds", "hashes"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([k for _, k in found], pa.list_(pa.int8()))], ["id", "url", "key", "lines", "kinds"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, key, line hashes) of batches (id, url, key, html)."""
+    for batch in batches:
+        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in page_lines(h or "")[0]] for h in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:3], pa.array(hashes, pa.list_(pa.int64()))], ["url", "key", "hashes"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +204,17 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     kind = pages.schema[id_col].dataType.simpleString()
     given = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     given = given.select("id", "url", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("~")), F.hex(F.xxhash64("url", "html"))).alias("key"), "html")
-    parsed = written(given.mapInArrow(_parsed, f"id {kind}, url string, key string, lines array<string>, kinds array<tinyint>, hashes array<bigint>"), "page-lines")
-    listed = parsed.select("key", "hashes", F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"))
-    listed = listed.where("host <> ''").dropDuplicates(["key"])
+    listed = given.where("url IS NOT NULL").mapInArrow(_hashed, "url string, key string, hashes array<bigint>").select("key", "hashes", F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"))
+    listed = written(listed.where("host <> ''").dropDuplicates(["key"]), "page-hashes")
     pairs = _neighbours(listed.select("host", "path", "key"))
     hashes = listed.select("key", "hashes")
     both = pairs.join(hashes, "key").join(hashes.toDF("other", "theirs"), "other").select("key", "hashes", "theirs")
     shared = both.mapInArrow(_aligned, "key string, shared array<int>")
-    shared = shared.select(F.col("key").alias("k"), "shared")
-    out = parsed.drop("hashes").join(shared, F.col("key") == F.col("k"), "left")
+    shared = written(shared.where(F.size("shared") > 0).select(F.col("key").alias("k"), "shared"), "shared-lines")
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
+    parsed = given.mapInArrow(_parsed, f"id {kind}, url string, key string, lines array<string>, kinds array<tinyint>")
+    out = parsed.join(shared, F.col("key") == F.col("k"), "left")
     out = out.withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
     out = out.withColumn("gone", F.when(F.size("shared") < F.size("lines"), F.col("shared")).otherwise(F.array().cast("array<int>"))).withColumn("has_own", F.array_contains("kinds", F.lit(OWN).cast("tinyint")))
     kind_of = lambda i: F.get("kinds", i)
