@@ -37,8 +37,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _to_remove:
         atexit.register(_remove_all)
     _to_remove[path] = spark
-    for _ in range(2):  # the finished job's shuffle files go when the driver forgets them
-        spark.sparkContext._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        for _ in range(2):  # on a cluster the finished job's shuffle files go when the driver forgets them
+            spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
