@@ -84,3 +84,15 @@ def as_of(probe: DataFrame, table: DataFrame, key: list[str], probe_order: str,
     both = a.unionByName(b, allowMissingColumns=True)
     found = both.withColumn("found", F.last("__v", ignorenulls=True).over(w)).where("__side = 0")
     return found.drop("__o", "__v", "__side")
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with a dense number from 0 in one order of all of them: sorted by range, each task counts on from the tasks before."""
+    from ledgerline.operators.cuts import _ensure_checkpoint_dir
+
+    _ensure_checkpoint_dir(rows.sparkSession)
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a task
+    here = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return parts.withColumn("__here", here).join(F.broadcast(before), "__part").withColumn(name, (F.col("__here") + F.col("__before")).cast("long")).drop("__part", "__here", "__before")

@@ -40,11 +40,11 @@ def barrier_acks(spark, sf_dir):
     return r.where("kind = 'click'").join(barrier, "producer_id").select(F.col("offset").alias("ack"), (F.col("offset") > F.col("barrier")).alias("valid"))
 
 
-@query(R + """ SELECT subject, "offset", producer_seq, producer_seq <= coalesce(max(producer_seq) OVER (PARTITION BY producer_id, subject ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS duplicate FROM (SELECT *, ("offset" * 7919) % 10007 AS rank FROM records WHERE "offset" < 10007)""")
+@query(R + """ SELECT subject, "offset", producer_seq, producer_seq <= coalesce(max(producer_seq) OVER (PARTITION BY producer_id, subject ORDER BY rank, "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS duplicate FROM (SELECT *, ("offset" * 7919) % 10007 AS rank FROM records)""")
 def relay_floor(spark, sf_dir):
     """Relayed records in arrival order: a sequence at or below its origin's and subject's floor is a duplicate."""
-    r = T.records(spark, sf_dir).where("offset < 10007").withColumn("rank", F.col("offset") * 7919 % 10007)
-    floor = F.max("producer_seq").over(Window.partitionBy("producer_id", "subject").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    r = T.records(spark, sf_dir).withColumn("rank", F.col("offset") * 7919 % 10007)
+    floor = F.max("producer_seq").over(Window.partitionBy("producer_id", "subject").orderBy("rank", "offset").rowsBetween(Window.unboundedPreceding, -1))
     return r.select("subject", "offset", "producer_seq", (F.col("producer_seq") <= F.coalesce(floor, F.lit(0))).alias("duplicate"))
 
 
