@@ -10,7 +10,8 @@ Frequencies are counted over all tokens of all sets, packed into a few blocks pe
 shared; a set that has more than e(n) of those is similar to nothing and leaves at once.
 
 Equal sets are one node. In a long list each set is compared with the most central one first; what that links
-needs no more comparison among itself, and the triangle inequality of the Jaccard distance rules out most of the rest.
+needs no more comparison among itself; of the rest, most pairs can't be similar by their numbers of tokens that any other
+set has, or by the triangle inequality of the Jaccard distance.
 """
 
 from __future__ import annotations
@@ -55,16 +56,27 @@ def _digests(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _described(size: int):
-    """(id, n_shingles, sig) of batches (id, text)."""
+    """(id, text_hash, n_shingles, sig) of batches (id, text, text_hash)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.parts(batches, 1):
             tokens, starts = _sets(batch, 1, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(_digests(tokens, starts).view(np.int64), pa.int64())], ["id", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(starts), pa.int64()), pa.array(_digests(tokens, starts).view(np.int64), pa.int64())], ["id", "text_hash", "n_shingles", "sig"])
 
     return found
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The lower 48 bits of each; the block they are in stands for the upper ones."""
+    return tokens.view("<u2").reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(raw: bytes, block: int) -> np.ndarray:
+    out = np.full((len(raw) // 6, 4), block & 0xFFFF, "<u2")
+    out[:, :3] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view(np.uint64).ravel()
+
+
 def _dealt(size: int, blocks: int, least: int):
     """All tokens, dealt by hash into blocks: (block, sigs, sizes, owner of each token, tokens), of batches (id, text)."""
 
@@ -83,7 +95,7 @@ def _dealt(size: int, blocks: int, least: int):
             for b in np.flatnonzero(np.diff(ends)):
                 part = slice(ends[b], ends[b + 1])
                 own, which = np.unique(owner[part], return_inverse=True)
-                rows.append((int(b), sigs[own].tobytes(), n[own].astype("<u4").tobytes(), which.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), tokens[part].tobytes()))
+                rows.append((int(b), sigs[own].tobytes(), n[own].astype("<u4").tobytes(), which.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), _packed(tokens[part])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["block", "sigs", "sizes", "owner", "tokens"])
 
@@ -104,7 +116,7 @@ def _shared(blocks: int):
             o = np.frombuffer(row["owner"], "<u2" if len(s) < 1 << 16 else "<u4")
             sigs.append(s[o])
             sizes.append(n[o])
-            tokens.append(np.frombuffer(row["tokens"], np.uint64))
+            tokens.append(_unpacked(row["tokens"], row["block"]))
         tokens, sigs, sizes = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
         order = np.argsort(tokens)
         t = tokens[order]
@@ -159,11 +171,13 @@ def prefix_keys(tokens: np.ndarray, frequency: np.ndarray, n: int, percent: int)
     return np.unique(np.concatenate(keys))
 
 
-VIABLE = "sig long, n int, lacking double, tokens array<long>, keys array<long>"
+#: Parts into which a set's shared tokens are counted, to bound how many two sets have in common.
+PARTS = 64
+VIABLE = "sig long, n int, lacking double, tokens array<long>, counts array<int>, keys array<long>"
 
 
 def _viable(percent: int):
-    """Of one block's sets those that can be similar to another: (sig, n, share of unshared tokens, shared tokens, keys)."""
+    """Of one block's sets those that can be similar to another: (sig, n, share of unshared tokens, shared tokens, their number in each part, keys)."""
 
     def found(table: pa.Table) -> pa.Table:
         sigs, n, tokens, often = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("sigs", np.uint64), ("sizes", "<u4"), ("tokens", np.uint64), ("frequency", "<u4")))
@@ -174,15 +188,23 @@ def _viable(percent: int):
         for a, b in zip(starts, [*starts[1:], len(sigs)], strict=True):
             size = int(n[a])
             if size - (b - a) <= allowed(size, percent):
-                rows.append((int(sigs[a : a + 1].view(np.int64)[0]), size, (size - int(b - a)) / size, np.sort(tokens[a:b].view(np.int64)), prefix_keys(tokens[a:b], often[a:b], size, percent).view(np.int64)))
-        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["sig", "n", "lacking", "tokens", "keys"])
+                rows.append((int(sigs[a : a + 1].view(np.int64)[0]), size, (size - int(b - a)) / size, np.sort(tokens[a:b].view(np.int64)), np.bincount((tokens[a:b] >> np.uint64(13)).astype(np.int64) % PARTS, minlength=PARTS), prefix_keys(tokens[a:b], often[a:b], size, percent).view(np.int64)))
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["sig", "n", "lacking", "tokens", "counts", "keys"])
 
     return found
 
 
-def _fitting(a: Column, b: Column, percent: int) -> Column:
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+def _possible(n: Column, shared: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens can be similar when so many of them are shared with any set at all."""
+    most = F.least(shared, other)
+    return 100 * most >= percent * (n + m - most)
+
+
+def _overlapping(percent: int) -> Column:
+    """Whether the sums of the smaller counts, part by part, allow two sets to be similar."""
+    most = F.aggregate(F.zip_with("counts", "x_counts", lambda a, b: F.least(a, b)), F.lit(0), lambda a, c: a + c)
+    return 100 * most >= percent * (F.col("n") + F.col("x_n") - most)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,14 +218,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of links between viable sets; enough of them that every linked pair is in one component."""
-    listed = written(sets.select("sig", "n", "lacking", F.explode("keys").alias("key")), "keys")
-    lists = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("lacking", "sig", "n")).alias("c")).where("size > 1")
-    lists = written(lists.select("key", "size", F.col("c.sig").alias("center"), F.col("c.n").alias("center_n")), "lists")
-
-    short = listed.join(lists.where(F.col("size") <= SHORT).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("sig", "n")).alias("m"))
-    met = short.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["sig"] > x["sig"]) & _fitting(x["n"], y["n"], percent)), lambda y: F.struct(x["sig"].alias("a"), y["sig"].alias("b")))))).alias("p")).select("p.a", "p.b")
-    long = listed.join(lists.where(F.col("size") > SHORT).select("key", "center", "center_n"), "key").where("sig <> center")
-    starred = long.where(_fitting(F.col("n"), F.col("center_n"), percent)).select(F.least("sig", "center").alias("a"), F.greatest("sig", "center").alias("b"))
+    listed = written(sets.select("sig", "n", F.size("tokens").alias("s"), "lacking", F.explode("keys").alias("key")), "keys")
+    lists = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("lacking", "sig", "n", "s")).alias("c")).where("size > 1")
+    lists = written(lists.select("key", "size", F.col("c.sig").alias("center"), F.col("c.n").alias("center_n"), F.col("c.s").alias("center_s")), "lists")
+
+    short = listed.join(lists.where(F.col("size") <= SHORT).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("sig", "n", "s")).alias("m"))
+    met = short.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["sig"] > x["sig"]) & _possible(x["n"], x["s"], y["n"], y["s"], percent)), lambda y: F.struct(x["sig"].alias("a"), y["sig"].alias("b")))))).alias("p")).select("p.a", "p.b")
+    long = listed.join(lists.where(F.col("size") > SHORT).select("key", "center", "center_n", "center_s"), "key").where("sig <> center")
+    starred = long.where(_possible(F.col("n"), F.col("s"), F.col("center_n"), F.col("center_s"), percent)).select(F.least("sig", "center").alias("a"), F.greatest("sig", "center").alias("b"))
     first = written(_verified(met.union(starred).distinct(), sets, percent), "verified")
     links = first.where("linked").select("a", "b")
     if not lists.where(F.col("size") > SHORT).head(1):
@@ -212,37 +234,39 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # what is left of long lists: sets that are not yet in one component and not too far apart by their distances to the center
     roots = written(components(links), "roots")
     far = first.select(F.col("a").alias("sig"), F.col("b").alias("center"), "far").union(first.select("b", "a", "far"))
-    members = long.select("key", "sig", "n", "center").union(lists.where(F.col("size") > SHORT).select("key", F.col("center").alias("sig"), F.col("center_n").alias("n"), "center"))
+    members = long.select("key", "sig", "n", "s", "center").union(lists.where(F.col("size") > SHORT).select("key", F.col("center").alias("sig"), F.col("center_n").alias("n"), F.col("center_s").alias("s"), "center"))
     members = members.join(far, ["sig", "center"], "left").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    members = written(members.select("key", "sig", "n", F.when(F.col("sig") == F.col("center"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("root", "sig").alias("root")), "members")
+    members = written(members.select("key", "sig", "n", "s", F.when(F.col("sig") == F.col("center"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("root", "sig").alias("root")), "members")
     split = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     left = members.join(split, "key")
     # one side: the sets outside the list's largest component, which the center's mostly is
     main = left.where("far = 0").select("key", F.col("root").alias("main"))
-    left = written(left.join(main, "key").select("key", "sig", "n", "far", "root", (F.col("root") == F.col("main")).alias("in_main")), "left")
-    x = left.where("NOT in_main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "far", "root")))
+    left = left.join(main, "key").select("key", "sig", "n", "s", "far", "root", (F.col("root") == F.col("main")).alias("in_main"))
+    left = written(left.join(sets.select("sig", "counts"), "sig"), "left")
+    x = left.where("NOT in_main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "s", "far", "root", "counts")))
     limit = (100 - percent) / 100 + 1e-9
-    meet = x.join(left, "key").where(_fitting(F.col("n"), F.col("x_n"), percent) & (F.col("root") != F.col("x_root")) & (F.col("in_main") | (F.col("sig") > F.col("x_sig"))) & (F.col("far").isNull() | F.col("x_far").isNull() | (F.abs(F.col("far") - F.col("x_far")) <= limit)))
+    meet = x.join(left, "key").where(_possible(F.col("n"), F.col("s"), F.col("x_n"), F.col("x_s"), percent) & (F.col("root") != F.col("x_root")) & (F.col("in_main") | (F.col("sig") > F.col("x_sig"))) & (F.col("far").isNull() | F.col("x_far").isNull() | (F.abs(F.col("far") - F.col("x_far")) <= limit)) & _overlapping(percent))
     rest = meet.select(F.least("sig", "x_sig").alias("a"), F.greatest("sig", "x_sig").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     return links.union(_verified(rest, sets, percent).where("linked").select("a", "b"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, sig (a hash of the set; null if empty), component_id.
+    """Per row of ``docs``: id, text_hash, n_shingles, sig (a hash of the set; null if empty), component_id.
 
     A set is a text's distinct shingles of ``size`` words (A-Z lower-cased; a shorter text is one shingle). Sets link where
     100 * intersection >= ``percent`` * union; component_id is the smallest id that links reach. A null or empty text has
     no set and is its own component. Equal sets always link, so repeated rows share a component. A null id is never the
-    smallest unless all are null; other columns are ignored; an empty table gives no rows. Tokens are 64-bit hashes.
+    smallest unless all are null; other columns are ignored; an empty table gives no rows. Tokens are hashes, of which 48 bits and the block are compared.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(given.mapInArrow(_described(size), f"id {kind}, n_shingles long, sig long"), "sets")
-    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(given.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_described(size), f"id {kind}, text_hash long, n_shingles long, sig long"), "sets")
+    back = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = 2 * back
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))  # smaller sets link to equal ones only
     dealt = given.mapInArrow(_dealt(size, blocks, least), DEALT)
-    counted = dealt.groupBy("block").applyInArrow(_shared(blocks), COUNTED)
+    counted = dealt.groupBy("block").applyInArrow(_shared(back), COUNTED)
     sets = written(counted.groupBy("block").applyInArrow(_viable(percent), VIABLE), "viable")
     roots = components(written(_links(sets, percent), "similar"))
     classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("first")).join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
@@ -250,4 +274,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = written(classes.join(least_id, "root").select(F.col("sig").alias("s"), "component_id"), "components")
     out = rows.join(named, F.col("sig") == F.col("s"), "left")
     empty = F.col("n_shingles") == 0
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(~empty, F.col("sig")).alias("sig"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "text_hash", "n_shingles", F.when(~empty, F.col("sig")).alias("sig"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: those with its smallest id; equal rows become one."""
+    found = written(similar_components(docs, id_col, text_col, size, percent).where(F.col(id_col).eqNullSafe(F.col("component_id"))), "kept")
+    rows = docs.withColumn("__text", F.xxhash64(text_col))
+    # one shuffle by id serves the join and the equal rows
+    named = rows.join(found.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col, "__text"])
+    unnamed = rows.where(F.col(id_col).isNull()).join(found.where(F.col(id_col).isNull()).select(F.col("text_hash").alias("__text")).distinct(), "__text", "left_semi").dropDuplicates(["__text"])
+    return named.select(*docs.columns).union(unnamed.select(*docs.columns))
