@@ -250,8 +250,8 @@ def _changed(docs: DataFrame, id_col: str, text_col: str, window: int, index: Fi
         before = _hashed(history, id_col, text_col)
         found = found.unionByName(_candidates(before, _prints(before, window, "history"), shared).withColumn("old", F.lit(True)))
     found = written(found.withColumn("unit", F.col("unit") * 2 + F.col("old").cast("long")), "candidates")
-    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.select("unit", "copies", "text", "shared").mapInArrow(_windows(window, blocks), DEALT)
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.select("unit", "copies", "text", "shared").mapInArrow(_windows(window, 2 * blocks), DEALT)
     flagged = dealt.groupBy("block").applyInArrow(_flagged(blocks), FLAGGED)
     places = written(flagged.groupBy("block").applyInArrow(_places, "unit long, places array<int>"), "repeats")
     lost = found.where(~F.col("old")).select("unit", "text").join(places, "unit").mapInArrow(_kept(window), "unit long, n_removed long, kept_text string")
