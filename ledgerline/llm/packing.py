@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm._hashing import parts, split_words
 
 #: Distinct pieces of text that a worker remembers; beyond it the memory starts anew (results don't depend on it).
-REMEMBERED = 1_000_000
-#: ASCII letters, and ASCII punctuation without the apostrophe, which may begin a piece of its own.
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+REMEMBERED = 1_200_000
+#: ASCII punctuation without the apostrophe, which may begin a piece of its own.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text whose pieces are looked up at once.
 AT_ONCE = 12 << 20
 #: Documents, and tokens, that wait at once in a task.
@@ -57,33 +56,18 @@ class WordIds(dict):
             self[piece] = ids
         return ids
 
-    def learn(self, pieces: set[bytes]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Many pieces in one call: a special token between them shows where each one's ids end."""
         if len(self) > REMEMBERED:
             self.clear()
-        # punctuation behind a letter is a piece of its own to the tokenizer, so the word before it may be known
-        tails, fresh = [], set()
-        for p in pieces:
-            head = p.rstrip(TAIL)
-            if head and len(head) < len(p) and (head[-1] in LETTERS or head[-1] > 127 and head.decode()[-1].lower().isalpha()):
-                tails.append((p, head, p[len(head) :]))
-                fresh.update(tails[-1][1:])
-            else:
-                fresh.add(p)
-        new = [p for p in fresh if p not in self and b"<|" not in p and len(p) < 64]
+        new = [p for p in pieces if p not in self and b"<|" not in p and len(p) < 64]
         for at in range(0, len(new) if self.between else 0, 512):
             part = new[at : at + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([self.between.join([p.decode() for p in part])], add_special_tokens=False)[0].ids, "<u4")
             ends = [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
-            if len(ends) != len(part):
-                continue
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(part, ends, strict=True):
-                self[piece] = raw[4 * start : 4 * end]
-                start = end + 1
-        for p, head, tail in tails:
-            if b"<|" not in p and len(p) < 64:
-                self[p] = self[head] + self[tail]
+            if len(ends) == len(part):
+                raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
+                self.update((p, raw[4 * x : 4 * y]) for p, x, y in zip(part, starts, ends, strict=False))
 
     @staticmethod
     def lowered(text: str) -> bytes:
@@ -97,24 +81,56 @@ class WordIds(dict):
         return raw
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Each distinct piece of the texts is looked up once; ids are then gathered for all texts at a time."""
+        """Each distinct word, and punctuation behind a word, is looked up once; ids are then gathered for all texts at a time."""
         pieces, starts = split_words(pa.array([self.lowered(t) for t in texts], pa.binary()).cast(pa.string()))
         if not len(pieces):
             return [b""] * len(texts)
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        self.learn({p for p in distinct if p not in self})
-        own = [self[p] for p in distinct]
+        heads, tails = _apart(pieces)
+        index, own, known = [], [], 0
+        for part in (heads, tails):
+            coded = part.dictionary_encode()
+            distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+            self.learn(distinct)
+            own += [self[p] if p else b"" for p in distinct]
+            index.append(coded.indices.to_numpy(zero_copy_only=False) + known)
+            known += len(distinct)
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         pool, at = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[index]
+        turns = np.stack(index, 1).ravel()  # each word, then its punctuation
+        lengths = sizes[turns]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = pool[np.repeat(at[index] - ends[:-1], lengths) + np.arange(ends[-1])]
-        edges = ends[starts].tolist()
+        ids = pool[np.repeat(at[turns] - ends[:-1], lengths) + np.arange(ends[-1])]
+        edges = ends[2 * starts].tolist()
         return [ids[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def _apart(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words, and the punctuation behind each (empty if there is none, or if no ASCII letter stands before it).
+
+    To the tokenizer, punctuation behind a letter is a piece of its own; what may hold a special string stays whole.
+    """
+    heads = pc.ascii_rtrim(pieces, TAIL)
+    size = pc.binary_length(heads).to_numpy(zero_copy_only=False)
+    _, offsets, data = heads.buffers()
+    ends = np.frombuffer(offsets, np.int32)[heads.offset + 1 : heads.offset + 1 + len(heads)]
+    last = np.frombuffer(data, np.uint8)[np.maximum(ends - 1, 0)] if data is not None and data.size else np.zeros(len(heads), np.uint8)
+    letter = (size > 0) & ((last | 32) >= 97) & ((last | 32) <= 122)
+    letter = pa.array(letter & ~pc.match_substring(pieces, "<|").to_numpy(zero_copy_only=False))
+    words = pc.if_else(letter, heads, pieces)
+    return words, pc.if_else(letter, _rest(pieces, heads), "")
+
+
+def _rest(pieces: pa.Array, heads: pa.Array) -> pa.Array:
+    """What each piece has behind its head."""
+    whole, some = pc.binary_length(pieces).to_numpy(zero_copy_only=False), pc.binary_length(heads).to_numpy(zero_copy_only=False)
+    _, offsets, data = pieces.buffers()
+    ends = np.frombuffer(offsets, np.int32)[pieces.offset + 1 : pieces.offset + 1 + len(pieces)].astype(np.int64)
+    sizes = (whole - some).astype(np.int64)
+    to = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(ends - sizes - to[:-1], sizes) + np.arange(to[-1])
+    return pa.StringArray.from_buffers(len(pieces), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(np.frombuffer(data, np.uint8)[at])) if len(at) else pa.py_buffer(b""))
+
+
 class Packer:
     """Packs documents into sequences; ``out`` gets the pieces as rows.
 
