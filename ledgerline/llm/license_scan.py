@@ -1,104 +1,165 @@
 """License detection by ordered signature rules.
 
-Several hundred patterns over a text's words, made from families of licenses and forms of naming them. A text without
-any trigger word meets no pattern; one with a trigger meets only the rules whose keyword it has. Overlaps are resolved by
+Several hundred patterns over a text's words, made from families of licenses and forms of naming them. A text meets only
+the rules whose needed words it has; these are derived from the pattern, so each match has them. Overlaps are resolved by
 interval containment: a detection inside another of the same or a better priority goes.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm._common import NOT_WORD, ascii_lower, row_key, words, written
 
-#: family: label, keyword that each text naming it has, pattern of its name in words, versions, SPDX stem in words.
+#: family: label, pattern of its name in words, versions, SPDX stem in words.
 FAMILIES = [
-    ("mit", "mit", "mit", [], "mit"),
-    ("mit-0", "mit", "mit no attribution", [], "mit 0"),
-    ("apache", "apache", "apache(?: software)?", ["1 0", "1 1", "2 0"], "apache"),
-    ("gpl", "gpl", "(?:gnu )?gpl", ["1 0", "2 0", "3 0", "2", "3"], "gpl"),
-    ("gpl", "general", "(?:gnu )?general public", ["1 0", "2 0", "3 0", "2", "3"], "gnu gpl"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", ["2 0", "2 1", "3 0", "3"], "lgpl"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public", ["2 1", "3 0", "3"], "gnu lgpl"),
-    ("lgpl", "library", "(?:gnu )?library general public", ["2 0", "2"], "gnu library"),
-    ("agpl", "agpl", "(?:gnu )?agpl", ["1 0", "3 0", "3"], "agpl"),
-    ("agpl", "affero", "(?:gnu )?affero general public", ["1 0", "3 0", "3"], "gnu agpl"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation", ["1 1", "1 2", "1 3"], "gfdl"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", [], "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", [], "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", [], "bsd 4 clause"),
-    ("0bsd", "0bsd", "(?:0bsd|zero clause bsd)", [], "0bsd"),
-    ("bsd", "bsd", "bsd", [], "bsd"),
-    ("mpl", "mozilla", "mozilla public", ["1 0", "1 1", "2 0"], "mozilla mpl"),
-    ("mpl", "mpl", "mpl", ["1 0", "1 1", "2 0"], "mpl"),
-    ("epl", "eclipse", "eclipse public", ["1 0", "2 0"], "eclipse epl"),
-    ("epl", "epl", "epl", ["1 0", "2 0"], "epl"),
-    ("eupl", "eupl", "eupl", ["1 0", "1 1", "1 2"], "eupl"),
-    ("eupl", "european", "european union public", ["1 0", "1 1", "1 2"], "eu eupl"),
-    ("cddl", "cddl", "cddl", ["1 0", "1 1"], "cddl"),
-    ("cddl", "distribution", "common development and distribution", ["1 0", "1 1"], "common cddl"),
-    ("cpl", "cpl", "common public", ["0 5", "1 0"], "cpl"),
-    ("ipl", "ibm", "ibm public", ["1 0"], "ipl"),
-    ("artistic", "artistic", "artistic", ["1 0", "2 0"], "artistic"),
-    ("cc0", "cc0", "(?:cc0|creative commons zero)", ["1 0"], "cc0"),
-    ("cc-by", "creative", "creative commons attribution", ["1 0", "2 0", "2 5", "3 0", "4 0"], "cc by"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike", ["1 0", "2 0", "2 5", "3 0", "4 0"], "cc by sa"),
-    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:s|atives)", ["2 0", "3 0", "4 0"], "cc by nd"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial", ["2 0", "3 0", "4 0"], "cc by nc"),
-    ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike", ["2 0", "3 0", "4 0"], "cc by nc sa"),
-    ("isc", "isc", "isc", [], "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?", [], "zlib"),
-    ("boost", "boost", "boost software", ["1 0"], "bsl"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", [], "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", ["1", "2"], "wtfpl"),
-    ("postgresql", "postgresql", "postgresql", [], "postgresql"),
-    ("python", "python", "python(?: software foundation)?", ["2 0"], "psf"),
-    ("php", "php", "php", ["3 0", "3 01"], "php"),
-    ("ruby", "ruby", "ruby", [], "ruby"),
-    ("openssl", "openssl", "openssl", [], "openssl"),
-    ("w3c", "w3c", "w3c(?: software)?", [], "w3c"),
-    ("ofl", "sil", "sil open font", ["1 0", "1 1"], "ofl"),
-    ("ms-pl", "microsoft", "microsoft public", [], "ms pl"),
-    ("ms-rl", "microsoft", "microsoft reciprocal", [], "ms rl"),
-    ("osl", "osl", "open software", ["1 0", "2 0", "3 0"], "osl"),
-    ("afl", "academic", "academic free", ["2 0", "2 1", "3 0"], "afl"),
-    ("upl", "universal", "universal permissive", ["1 0"], "upl"),
-    ("vim", "vim", "vim", [], "vim"),
-    ("x11", "x11", "x11", [], "x11"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", [], "ncsa"),
-    ("proprietary", "proprietary", "(?:proprietary|commercial|evaluation)", [], "proprietary"),
+    ("mit", "mit", [], "mit"),
+    ("mit-0", "mit no attribution", [], "mit 0"),
+    ("apache", "apache(?: software)?", ["1 0", "1 1", "2 0"], "apache"),
+    ("gpl", "(?:gnu )?gpl", ["1 0", "2 0", "3 0", "2", "3"], "gpl"),
+    ("gpl", "(?:gnu )?general public", ["1 0", "2 0", "3 0", "2", "3"], "gnu gpl"),
+    ("lgpl", "(?:gnu )?lgpl", ["2 0", "2 1", "3 0", "3"], "lgpl"),
+    ("lgpl", "(?:gnu )?lesser general public", ["2 1", "3 0", "3"], "gnu lgpl"),
+    ("lgpl", "(?:gnu )?library general public", ["2 0", "2"], "gnu library"),
+    ("agpl", "(?:gnu )?agpl", ["1 0", "3 0", "3"], "agpl"),
+    ("agpl", "(?:gnu )?affero general public", ["1 0", "3 0", "3"], "gnu agpl"),
+    ("gfdl", "(?:gnu )?(?:free documentation|fdl|gfdl)", ["1 1", "1 2", "1 3"], "gfdl"),
+    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", [], "bsd 2 clause"),
+    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", [], "bsd 3 clause"),
+    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", [], "bsd 4 clause"),
+    ("0bsd", "(?:0bsd|zero clause bsd)", [], "0bsd"),
+    ("bsd", "bsd", [], "bsd"),
+    ("mpl", "mozilla public", ["1 0", "1 1", "2 0"], "mozilla mpl"),
+    ("mpl", "mpl", ["1 0", "1 1", "2 0"], "mpl"),
+    ("epl", "eclipse public", ["1 0", "2 0"], "eclipse epl"),
+    ("epl", "epl", ["1 0", "2 0"], "epl"),
+    ("eupl", "eupl", ["1 0", "1 1", "1 2"], "eupl"),
+    ("eupl", "european union public", ["1 0", "1 1", "1 2"], "eu eupl"),
+    ("cddl", "cddl", ["1 0", "1 1"], "cddl"),
+    ("cddl", "common development and distribution", ["1 0", "1 1"], "common cddl"),
+    ("cpl", "common public", ["0 5", "1 0"], "cpl"),
+    ("ipl", "ibm public", ["1 0"], "ipl"),
+    ("artistic", "artistic", ["1 0", "2 0"], "artistic"),
+    ("cc0", "(?:cc0|creative commons zero)", ["1 0"], "cc0"),
+    ("cc-by", "(?:creative commons attribution|cc by)", ["1 0", "2 0", "2 5", "3 0", "4 0"], "cc by"),
+    ("cc-by-sa", "(?:creative commons attribution share ?alike|cc by sa)", ["1 0", "2 0", "2 5", "3 0", "4 0"], "cc by sa"),
+    ("cc-by-nd", "(?:creative commons attribution no ?deriv(?:s|atives)|cc by nd)", ["2 0", "3 0", "4 0"], "cc by nd"),
+    ("cc-by-nc", "(?:creative commons attribution non ?commercial|cc by nc)", ["2 0", "3 0", "4 0"], "cc by nc"),
+    ("cc-by-nc-sa", "(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)", ["2 0", "3 0", "4 0"], "cc by nc sa"),
+    ("isc", "isc", [], "isc"),
+    ("zlib", "zlib(?: libpng)?", [], "zlib"),
+    ("boost", "boost software", ["1 0"], "bsl"),
+    ("unlicense", "(?:the )?unlicense", [], "unlicense"),
+    ("wtfpl", "wtfpl", ["1", "2"], "wtfpl"),
+    ("postgresql", "postgresql", [], "postgresql"),
+    ("python", "python(?: software foundation)?", ["2 0"], "psf"),
+    ("php", "php", ["3 0", "3 01"], "php"),
+    ("ruby", "ruby", [], "ruby"),
+    ("openssl", "openssl", [], "openssl"),
+    ("w3c", "w3c(?: software)?", [], "w3c"),
+    ("ofl", "(?:sil open font|(?:sil )?ofl)", ["1 0", "1 1"], "ofl"),
+    ("ms-pl", "(?:microsoft public|ms pl)", [], "ms pl"),
+    ("ms-rl", "(?:microsoft reciprocal|ms rl)", [], "ms rl"),
+    ("osl", "open software", ["1 0", "2 0", "3 0"], "osl"),
+    ("afl", "(?:academic free|afl)", ["2 0", "2 1", "3 0"], "afl"),
+    ("upl", "(?:universal permissive|upl)", ["1 0"], "upl"),
+    ("vim", "vim", [], "vim"),
+    ("x11", "x11", [], "x11"),
+    ("ncsa", "(?:university of illinois )?ncsa(?: open source)?", [], "ncsa"),
+    ("proprietary", "(?:proprietary|commercial|evaluation)", [], "proprietary"),
 ]
-#: Single rules: label, keyword, pattern, priority, confidence.
+#: Single rules: label, pattern, priority, confidence.
 SINGLE = [
-    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy", 1, 0.98),
-    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose", 1, 0.97),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 1, 0.95),
-    ("public-domain", "domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain", 2, 0.9),
-    ("all-rights-reserved", "reserved", "all rights reserved", 4, 0.6),
-    ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 4, 0.3),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 1, 0.98),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", 1, 0.97),
+    ("bsd", "redistribution and use in source and binary forms with or without modification", 1, 0.95),
+    ("public-domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain", 2, 0.9),
+    ("all-rights-reserved", "all rights reserved", 4, 0.6),
+    ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 4, 0.3),
 ]
-#: Words one of which each detectable text has.
-TRIGGERS = ["license", "licence", "licensed", "licenses", "spdx", "copyright", "reserved", "hereby", "redistribution", "domain", "unlicense", "gpl", "lgpl", "agpl", "wtfpl", "cc0", "0bsd"]
 PRIORITIES = 4
 #: phrase: label. These hold always, whatever the rules say.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern over words, priority from 1, confidence), best first."""
+def rules() -> list[tuple[str, list[list[str]], str, int, float]]:
+    """(label, sets of words of each of which a match has one, pattern over words, priority from 1, confidence), best first."""
     out = list(SINGLE)
     word = "licen[sc]e"
-    for label, key, name, versions, spdx in FAMILIES:
-        name = name.strip()
-        out.append((label, key, f"spdx {word} identifier {spdx}", 1, 1.0))
+    for label, name, versions, spdx in FAMILIES:
+        out.append((label, f"spdx {word} identifier {spdx}", 1, 1.0))
         for v in versions:
-            out.append((f"{label}-{v.replace(' ', '.')}", key, f"spdx {word} identifier {spdx} {v}(?: (?:only|or later))?", 1, 1.0))
-            out.append((f"{label}-{v.replace(' ', '.')}", key, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?{name}(?: {word})? (?:version |v )?{v}", 2, 0.95))
-            out.append((f"{label}-{v.replace(' ', '.')}", key, f"{name}(?: {word})? (?:version |v )?{v}", 3, 0.9))
-        out.append((label, key, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?{name}(?: {word})?", 2, 0.85))
-        out.append((label, key, f"{name} {word}", 4, 0.7))
-    return sorted(out, key=lambda r: r[3])
+            out.append((f"{label}-{v.replace(' ', '.')}", f"spdx {word} identifier {spdx} {v}(?: (?:only|or later))?", 1, 1.0))
+            out.append((f"{label}-{v.replace(' ', '.')}", f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?{name}(?: {word})? (?:version |v )?{v}", 2, 0.95))
+            out.append((f"{label}-{v.replace(' ', '.')}", f"{name}(?: {word})? (?:version |v )?{v}", 3, 0.9))
+        out.append((label, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?{name}(?: {word})?", 2, 0.85))
+        out.append((label, f"{name} {word}", 4, 0.7))
+    return sorted(((label, needed(pattern), pattern, priority, sure) for label, pattern, priority, sure in out), key=lambda r: r[3])
+
+
+#: Words that tell little of a license, taken to gate a rule only where a part of its pattern has no other.
+PLAIN = frozenset("the of terms in to or and a v c version license licence software public open free".split())
+
+
+def expansions(pattern: str) -> list[str]:
+    """The texts that a pattern matches; one of literals, groups, alternatives, ``?``, and sets of letters or digits (as ``#``)."""
+    at = 0
+
+    def alternatives() -> list[str]:
+        nonlocal at
+        out, now = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            c = pattern[at]
+            if c == "|":
+                out, now, at = out + now, [""], at + 1
+                continue
+            if c == "(":
+                at += 3  # (?:
+                part = alternatives()
+                at += 1
+            elif c == "[":
+                end = pattern.index("]", at)
+                part = ["#"] if "-" in pattern[at:end] else list(pattern[at + 1 : end])
+                at = end + 1
+            elif re.match("[a-z0-9 ]", c):
+                part, at = [c], at + 1
+            else:
+                raise ValueError(f"not expanded: {pattern}")
+            if many := re.compile(r"\{([0-9]+)\}").match(pattern, at):
+                part, at = [x * int(many[1]) for x in part], many.end()
+            elif pattern[at : at + 1] == "?":
+                part, at = [*part, ""], at + 1
+            now = [x + y for x in now for y in part]
+        return out + now
+
+    return alternatives()
+
+
+@cache
+def needed(pattern: str) -> list[list[str]]:
+    """Sets of words, from each of which any match of the pattern has one: a set for each of its parts between spaces outside groups."""
+    parts, depth = [""], 0
+    for i, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if c == " " and not depth and pattern[i + 1 : i + 2] != "?":
+            parts.append("")
+        else:
+            parts[-1] += c
+    out = []
+    for part in parts:
+        left, chosen = [{w for w in x.split() if "#" not in w} for x in expansions(part)], []
+        while left and all(left):
+            n = Counter(w for x in left for w in x)
+            chosen.append(max(n, key=lambda w: (w not in PLAIN, n[w], len(w), w)))
+            left = [x for x in left if chosen[-1] not in x]
+        if not left:
+            out.append(sorted(chosen))
+    return out
 
 
 def _spaces(text: Column) -> Column:
@@ -146,14 +207,26 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null; other columns are ignored; an empty table gives no rows. Only detections are shuffled.
     """
     table = rules()
-    literal = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(key).alias("keyword"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"), F.lit(priority).alias("priority"), F.lit(float(sure)).alias("confidence")) for label, key, pattern, priority, sure in table))
-    keywords = F.array(*(F.lit(k) for k in sorted({r[1] for r in table})))
-    triggers = F.array(*(F.lit(t) for t in TRIGGERS))
+    used = Counter(w for r in table for n in r[1] for w in n)
+    need = [sorted(r[1], key=lambda n: sum(used[w] for w in n)) for r in table]  # the set that fewest rules share first
+    groups: dict[tuple[str, ...], list[str]] = {}  # by the first set, as SQL: built word by word, so large an array takes seconds
+    listed = lambda xs: f"array({', '.join(xs)})"
+    quoted = lambda xs: listed(f"'{x}'" for x in xs)
+    for (label, _, pattern, priority, sure), n in zip(table, need, strict=True):
+        rest = listed(map(quoted, n[1:])) if n[1:] else "cast(array() AS array<array<string>>)"
+        groups.setdefault(tuple(n[0]), []).append(f"named_struct('label', '{label}', 'need', {rest}, 'pattern', '(?<= )(?:{pattern})(?= )', 'priority', {priority}, 'confidence', {float(sure)}D)")
+    literal = F.expr(listed(f"named_struct('first', {quoted(k)}, 'rules', {listed(v)})" for k, v in groups.items()))
+    keywords = F.expr(quoted(sorted({w for n in need for x in n for w in x})))
+    first = F.expr(quoted(sorted({w for k in groups for w in k} | {p.split()[-1] for p in BASE})))
     text = F.col(text_col).cast("string")
     given = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("key"), words(ascii_lower(text), NOT_WORD).alias("words"))
-    given = given.select("id", "key", "words", F.arrays_overlap("words", triggers).alias("any"))
-    given = given.select("id", "key", F.size("words").cast("long").alias("n_words"), F.when(F.col("any"), F.col("words")).alias("words"), F.when(F.col("any"), F.array_intersect("words", keywords)).alias("present"), F.when(F.col("any"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("line"))
-    found = F.flatten(F.transform(F.filter(literal, lambda r: F.array_contains("present", r["keyword"])), lambda r: _found(F.col("line"), r)))
+    given = given.select("id", "key", "words", F.arrays_overlap("words", first).alias("any"))
+    given = given.select("id", "key", F.size("words").cast("long").alias("n_words"), F.when(F.col("any"), F.col("words")).alias("words"), F.when(F.col("any"), F.array_intersect("words", keywords)).alias("present"))
+    near = F.flatten(F.transform(F.filter(literal, lambda g: F.arrays_overlap(g["first"], F.col("present"))), lambda g: g["rules"]))
+    met = F.filter(near, lambda r: F.forall(r["need"], lambda n: F.arrays_overlap(n, F.col("present"))))
+    given = given.select("id", "key", "n_words", "words", F.when(F.col("present").isNotNull(), met).alias("met"))
+    given = given.select("id", "key", "n_words", "words", "met", F.when(F.size("met") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("line"))
+    found = F.flatten(F.transform("met", lambda r: _found(F.col("line"), r)))
     none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string,confidence:double>>")
     scanned = given.select("id", "key", "n_words", F.when(F.col("words").isNotNull(), _base(F.col("words"))).otherwise(F.array().cast("array<struct<start:int,label:string>>")).alias("base"), F.when(F.col("line").isNotNull(), found).otherwise(none).alias("found"))
     scanned = written(scanned, "license-scan")

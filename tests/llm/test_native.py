@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm.decontamination import contaminated, decontaminate, without_contaminated
-from ledgerline.llm.license_scan import rules, scan_licenses
+from ledgerline.llm.license_scan import expansions, rules, scan_licenses
 from ledgerline.llm.quality_rules import SAMPLE, judge_quality, keep_good, learn_rules
 from ledgerline.llm.sharding import shard_documents
 
@@ -59,6 +60,28 @@ def test_license_suppression(spark, text, labels):
     assert found.score == max((d.confidence for d in found.detections), default=0)
 
 
+def _brute_detections(text, table):
+    """(start, end, label) of all rules tried on all of a text, less what another of the same or a better priority holds."""
+    line = f" {' '.join(brute.ascii_words(text))} "
+    spans = sorted({(line[: m.start()].count(" ") - 1, -(line[: m.end()].count(" ")), priority, label) for label, pattern, priority in table for m in pattern.finditer(line)})
+    kept = [s for i, s in enumerate(spans) if not any(t[1] <= s[1] and t[2] <= s[2] for t in spans[:i])]
+    return sorted((start, -end, label) for start, end, _, label in kept)
+
+
+def test_license_rules_alone(spark):
+    """Each rule is found in a text that holds nothing but its match."""
+    texts = set()
+    for _, need, pattern, _, _ in rules():
+        matches = [x.replace("##", "07") for x in expansions(pattern)]
+        assert all(re.fullmatch(pattern, x) and all(set(n) & set(x.split()) for n in need) for x in matches)
+        texts |= {*matches[:: max(1, len(matches) // 6)], matches[-1]}
+    texts |= {"Released under the Apache 2.0.", "Mozilla Public 2.0", "Creative Commons Attribution 4.0", "SPDX-License-Identifier: CC-BY-4.0", "the FreeBSD license", "zero clause BSD licence", "CC BY-NC 4.0", "mit dem Boot", "released in 2.0"}
+    table = [(label, re.compile(f"(?<= )(?:{pattern})(?= )"), priority) for label, _, pattern, priority, _ in rules()]
+    got = {r.text: sorted((d.start, d.end, d.label) for d in r.detections) for r in scan_licenses(spark.createDataFrame([(t, t) for t in sorted(texts)], "text string, copy string"), "text", "copy").collect()}
+    assert got == {t: _brute_detections(t, table) for t in texts}
+    assert sum(not d for d in got.values()) == 2
+
+
 def test_quality_statistics(spark, docs, rows, none):
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (7, None), (99999, 0)], "doc_id long, quality int")
     out = judge_quality(docs, labels)
