@@ -3,7 +3,8 @@
 Pages of a host are ordered by URL path and each is paired with the neighbour whose path is more alike. The two pages'
 lines are aligned by longest common subsequence; lines that both share are the site's, not the page's, and are deleted.
 Markup then has a say: lines inside an article are the page's even if a neighbour has them too, and lines in navigation,
-headers, footers, forms, adverts, notices and comments are not the page's even if no neighbour has them.
+headers, footers, forms, adverts, notices and comments are not the page's even if no neighbour has them. All others are
+decided by differencing, whether or not the page has an article.
 """
 
 from __future__ import annotations
@@ -197,7 +198,7 @@ def _neighbours(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, url, text (the main text's lines joined by a line feed), n_shared (lines that the neighbour has too).
 
-    Null or empty html gives an empty text. A page without a URL, or alone on its host, has no neighbour and only markup speaks. A
+    Null or empty html gives an empty text. A page without a URL, or alone on its host, has no neighbour and only markup speaks; its lines outside any mark stay. A
     neighbour that has all of a page's lines is a copy of it and deletes nothing. Repeated rows are one page for pairing and each
     give a row; null ids stay null; other columns are ignored; an empty table gives no rows.
     """
@@ -216,7 +217,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     parsed = given.mapInArrow(_parsed, f"id {kind}, url string, key string, lines array<string>, kinds array<tinyint>")
     out = parsed.join(shared, F.col("key") == F.col("k"), "left")
     out = out.withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
-    out = out.withColumn("gone", F.when(F.size("shared") < F.size("lines"), F.col("shared")).otherwise(F.array().cast("array<int>"))).withColumn("has_own", F.array_contains("kinds", F.lit(OWN).cast("tinyint")))
+    out = out.withColumn("gone", F.when(F.size("shared") < F.size("lines"), F.col("shared")).otherwise(F.array().cast("array<int>")))
     kind_of = lambda i: F.get("kinds", i)
-    stays = F.filter(F.col("lines"), lambda line, i: F.when(F.col("has_own"), kind_of(i) == OWN).otherwise((kind_of(i) == LOOSE) & ~F.array_contains("gone", i)))
+    stays = F.filter(F.col("lines"), lambda line, i: (kind_of(i) == OWN) | (kind_of(i) == LOOSE) & ~F.array_contains("gone", i))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(stays, "\n").alias("text"), F.size("shared").cast("long").alias("n_shared"))

@@ -205,6 +205,14 @@ def test_extraction(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_lines_outside_the_article(spark):
+    """On a page with an article, lines outside it that no neighbour shares stay, shared ones go."""
+    page = "<body><div>Site name</div><h1>{0} title</h1><div><p>{0} body</p></div><article>{0} teaser</article><div class=ad>{0} ad</div><div>Legal</div></body>"
+    rows = [(i, f"http://h/a/{i}", page.format(f"p{i}")) for i in (1, 2, 3)] + [(4, None, page.format("p4"))]
+    out = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"p{i} title\np{i} body\np{i} teaser" for i in (1, 2, 3)} | {4: "Site name\np4 title\np4 body\np4 teaser\nLegal"}
+
+
 def test_pipeline(spark, tmp_path, rows, benchmark_items):
     import corpus_pipeline as C
 
