@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm._common import written
 
-#: Elements whose content is never text.
-SILENT = "script style noscript template iframe object svg math canvas audio video head title textarea select option datalist xmp noembed noframes".split()
+#: Elements whose content is never text: raw characters, to the end of the page if the end tag is missing.
+RAW = "script style title textarea xmp noembed noframes".split()
+#: Those that count only if they are closed; an open one hides nothing.
+SILENT = "noscript template object svg math canvas audio video select datalist".split()
 #: Elements that hold no part of an article.
 AROUND = "nav footer aside form menu dialog button fieldset".split()
 #: Elements that hold the article.
@@ -34,16 +36,34 @@ INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 #: Words of a class, id or role that mark what stands around an article.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|overlay|sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|comments?|disqus|replies|reactions|toolbar|skip-link|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(?P<silent>" + "|".join(SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?<=/>)|.*?(?:</(?P=silent)\s*>|$))|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>", re.I | re.S)
+_ATTRIBUTES = r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+#: Comments, raw elements with their content, iframes with theirs up to the next iframe's start, options (which need no end tag) with their text, other tags.
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(?P<raw>" + "|".join(RAW) + r")" + _ATTRIBUTES + r"(?:(?<=/>)|.*?(?:</(?P=raw)\s*>|$))|<iframe" + _ATTRIBUTES + r"(?:(?<=/>)|(?:[^<]*(?:<(?!/?iframe[\s/>])[^<]*)*</iframe\s*>)?)|<option" + _ATTRIBUTES + r"[^<]*|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>", re.I | re.S)
+#: Whether a page may have elements of SILENT.
+HIDES = re.compile(r"<(?:" + "|".join(SILENT) + r")[\s/>]", re.I)
 MARKED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Up to so many pages with shared lines, their places are broadcast; beyond, joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Kinds of lines.
 LOOSE, OWN, OUTSIDE = 0, 1, 2
-_AROUND, _ARTICLE, _INLINE, _VOID = map(frozenset, (AROUND, ARTICLE, INLINE, VOID))
+_AROUND, _ARTICLE, _INLINE, _VOID, _SILENT = map(frozenset, (AROUND, ARTICLE, INLINE, VOID, SILENT))
 SPACES = re.compile(r"\s+")
 
 
+def _hidden(tags: list[re.Match]) -> dict[int, int]:
+    """Where closed elements of SILENT start and end; an end tag closes the last open start of its name."""
+    open_: dict[str, list[int]] = {name: [] for name in SILENT}
+    out: dict[int, int] = {}
+    for tag in tags:
+        if tag["name"] and (starts := open_.get(tag["name"].lower())) is not None:
+            if not tag["end"]:
+                if not tag[0].endswith("/>"):
+                    starts.append(tag.start())
+            elif starts:
+                out[starts.pop()] = tag.end()
+    return out
+
+
 def page_lines(html: str) -> tuple[list[str], list[int]]:
     """The visible lines of a page and the kind of each: OWN inside an article, OUTSIDE in what stands around it, or LOOSE."""
     lines: list[str] = []
@@ -60,16 +80,23 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             buffer.clear()
 
     at = 0
-    for tag in TAG.finditer(html):
+    tags = list(TAG.finditer(html))
+    hidden = _hidden(tags) if HIDES.search(html) else {}
+    for tag in tags:
+        if tag.start() < at:
+            continue
         if tag.start() > at:
             buffer.append(html[at : tag.start()])
         at = tag.end()
         name = tag["name"]
         if not name:
-            if tag["silent"] is None and tag[0].startswith("<![CDATA["):
+            if tag[0].startswith("<![CDATA["):
                 buffer.append(tag[0][9:-3])
             continue
         name = name.lower()
+        if name in _SILENT or name == "option":
+            at = hidden.get(tag.start(), at)
+            continue
         if name in _INLINE and not (tag["rest"] and MARKED.search(tag["rest"])):
             if name not in ("a", "span", "label") or not open_:
                 continue
@@ -96,7 +123,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                 open_[:] = [(n, w) for n, w in open_ if w != "around"]
         elif name in _AROUND or name == "header" and not counts["article"]:
             what = "around"
-        elif name not in ("body", "html") and tag["rest"] and any(MARKS.search(next(filter(None, m.groups()), "")) for m in MARKED.finditer(tag["rest"])):
+        elif name not in ("body", "html", "head") and tag["rest"] and any(MARKS.search(next(filter(None, m.groups()), "")) for m in MARKED.finditer(tag["rest"])):
             what = "around"
             if name in _INLINE:
                 end_line()

@@ -197,6 +197,27 @@ def test_page_lines():
     assert page_lines("") == ([], []) and page_lines("plain < text")[0] == ["plain < text"]
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>x</title><body><article><p>Main text.</p></article>", ["Main text."]),
+        ("<head class=banner><meta charset=u><style>p{}</style><script>'<p>'</script><p>Body", ["Body"]),
+        ("<p>Pick<select><option>a<option selected>b</select><p>Text", ["Pick", "Text"]),
+        ("<select><option>a<option>b<p>Text</p>", ["Text"]),
+        ("<datalist><option value=a></datalist><option>c<p>Text</option>", ["Text"]),
+        *((f"<p>A</p><{x} class=y><p>B</p>", ["A", "B"]) for x in "iframe object svg math canvas video audio select noscript template".split()),
+        *((f"<p>A</p><{x}>no<{x}/></{x}><p>B</p>", ["A", "B"]) for x in "object svg video noscript".split()),
+        ("<iframe src=a><p>A</p><iframe src=b>no <b>frames</b></iframe><p>B", ["A", "B"]),
+        ("<video src=a><p>A</p><video src=b><p>no</p></video><p>B", ["A", "B"]),
+        ("<object>no<object>no</object>no</object>B", ["B"]),
+        ("<video-list>A</video-list>", ["A"]),
+        ("<p>A</p><script>no <p>no", ["A"]),
+    ],
+)
+def test_silent_elements(html, text):
+    assert page_lines(html)[0] == text
+
+
 def test_extraction(spark):
     loose = "<body><div>Site name</div><p>{}</p><div>Legal</div></body>"
     rows = [(1, "http://h/a/1", ARTICLE), (2, "http://h/a/2", ARTICLE.replace("one", "1")), (3, "http://g/x/1", loose.format("first")), (4, "http://g/x/2", loose.format("second")), (5, "http://g/y", loose.format("third")), (6, None, None), (7, "http://only/", "<p>alone</p>"), (3, "http://g/x/1", loose.format("first")), (None, "bad url", "")]
