@@ -203,6 +203,14 @@ def keyed_asof(spark, sf_dir):
     return log.as_of(r.where("at % 5 = 0"), table, ["door", "request"], "at", "pos", "reply_at").withColumnRenamed("found", "reply")
 
 
+@query(EX + """ SELECT p."offset" AS at, p.kind AS door, p.v % 20 AS request, e.reply FROM records p ASOF LEFT JOIN ex e ON e.door = p.kind AND e.request = p.v % 20 AND p."offset" > e.pos""")
+def keyed_asof_all(spark, sf_dir):
+    """As ``keyed_asof``, for every record."""
+    r = T.records(spark, sf_dir).select(F.col("offset").alias("at"), F.col("kind").alias("door"), (F.col("v") % 20).alias("request"))
+    table = r.select("door", "request", F.col("at").alias("pos"), F.col("at").alias("reply_at"))
+    return log.as_of(r, table, ["door", "request"], "at", "pos", "reply_at").withColumnRenamed("found", "reply")
+
+
 @query(SL + """, i AS (SELECT session, "offset", client_id = 0 AS human FROM session_log WHERE kind = 'In'), t AS (SELECT session, "offset" FROM session_log WHERE event_type = 'purchase'),
     n AS (SELECT i.session, i."offset", human, (SELECT min(t."offset") FROM t WHERE t.session = i.session AND t."offset" > i."offset") AS turn FROM i)
     SELECT t.session, t."offset" AS turn, coalesce(max(n."offset") FILTER (WHERE human), max(n."offset")) AS input FROM t LEFT JOIN n ON n.session = t.session AND n.turn = t."offset" GROUP BY ALL""")
@@ -447,12 +455,32 @@ def filter_oldest(spark, sf_dir):
     return floors.where(S.matches(F.col("subject"), "/f/beta/>")).agg(F.max("floor").alias("oldest"))
 
 
+@query(CLASSED + """ SELECT subject, max("offset") + 1 AS floor FROM classed WHERE "offset" < (SELECT count(*) * 9 // 10 FROM events) AND rule <> 1 GROUP BY subject""")
+def retain_floors_all(spark, sf_dir):
+    """As ``retain_floors``, with the cut of ``retain_carry``."""
+    n = T.table(spark, sf_dir, "events").agg(F.floor(F.count(F.lit(1)) * 9 / 10).alias("cut"))
+    return _classed(spark, sf_dir).crossJoin(F.broadcast(n)).where("offset < cut AND rule <> 1").groupBy("subject").agg((F.max("offset") + 1).alias("floor"))
+
+
+@query(CLASSED + """ SELECT max("offset") + 1 AS oldest FROM classed WHERE "offset" < (SELECT count(*) * 9 // 10 FROM events) AND rule <> 1 AND regexp_matches(subject, '^/f/beta/.+$')""")
+def filter_oldest_all(spark, sf_dir):
+    """As ``filter_oldest``, with the cut of ``retain_carry``."""
+    return retain_floors_all(spark, sf_dir).where(S.matches(F.col("subject"), "/f/beta/>")).agg(F.max("floor").alias("oldest"))
+
+
 @query(R + """, stamps AS (SELECT "offset" + 1 AS head, bt_ms AS ms FROM records WHERE "offset" % 100 = 99 AND "offset" < 900) SELECT r."offset", coalesce((SELECT arg_min(ms, head) FROM stamps WHERE head > r."offset"), 9999999999999) AS ms FROM records r""")
 def record_age(spark, sf_dir):
     r = T.records(spark, sf_dir)
     return retention.record_age(r, r.where("offset % 100 = 99 AND offset < 900").select((F.col("offset") + 1).alias("head"), F.col("bt_ms").alias("ms")), 9_999_999_999_999)
 
 
+@query(R + """, stamps AS (SELECT "offset" + 1 AS head, bt_ms AS ms FROM records WHERE "offset" % 100 = 99) SELECT r."offset", coalesce(s.ms, 9999999999999) AS ms FROM records r ASOF LEFT JOIN stamps s ON r."offset" < s.head""")
+def record_age_all(spark, sf_dir):
+    """As ``record_age``, with a stamp at every hundredth record of the whole table."""
+    r = T.records(spark, sf_dir)
+    return retention.record_age(r, r.where("offset % 100 = 99").select((F.col("offset") + 1).alias("head"), F.col("bt_ms").alias("ms")), 9_999_999_999_999)
+
+
 @query(R + """, now AS (SELECT subject, max("offset") AS last FROM records GROUP BY subject) SELECT r."offset", last = r."offset" AS retired FROM records r JOIN now USING (subject) WHERE r."offset" % 7 = 0""")
 def retire_cas(spark, sf_dir):
     """A retirement holds only if the subject's newest record is still the one meant."""
@@ -461,6 +489,14 @@ def retire_cas(spark, sf_dir):
     return r.where("offset % 7 = 0").join(last, "subject").select("offset", (F.col("last") == F.col("offset")).alias("retired"))
 
 
+@query(R + """ SELECT "offset", NOT EXISTS (SELECT 1 FROM records n WHERE n.subject = r.subject AND n."offset" > r."offset") AS retired FROM records r""")
+def retire_cas_all(spark, sf_dir):
+    """As ``retire_cas``, for every record."""
+    r = T.records(spark, sf_dir)
+    last = r.groupBy("subject").agg(F.max("offset").alias("last"))
+    return r.join(last, "subject").select("offset", (F.col("last") == F.col("offset")).alias("retired"))
+
+
 @query(R + """ SELECT producer_id, min(producer_seq) AS will_seq, max(producer_seq) <= 60 AS fires FROM records WHERE producer_seq >= 30 GROUP BY producer_id""")
 def will_fire(spark, sf_dir):
     """A last will filed at sequence 60 fires unless a higher sequence landed."""

@@ -51,3 +51,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_record_is_looked_up(spark):
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    for name, column in (("keyed_asof_all", "at"), ("retire_cas_all", "offset"), ("record_age_all", "offset")):
+        assert catalog.QUERIES[name](spark, SF).select(column).distinct().count() == n
+    assert catalog.QUERIES["record_age_all"](spark, SF).select("ms").distinct().count() > n // 100 - 1
