@@ -240,6 +240,8 @@ def _candidates(sources: DataFrame, prints: DataFrame, shared: DataFrame) -> Dat
 def _changed(docs: DataFrame, id_col: str, text_col: str, window: int, index: FingerprintIndex | None, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """All rows' (id, t1, t2, n_words, words_sha256), and (t1, t2, n_removed, kept_text) of the texts that lose words."""
     spark = docs.sparkSession
+    if index is not None and index.runs and history is None:
+        raise ValueError("an index with runs needs the rows of its batches as history, or what repeats them would stay")
     index = index or FingerprintIndex(spark, window=window)
     sources = _hashed(docs, id_col, text_col)
     prints = _prints(sources, window, "fingerprints")
@@ -263,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns per row: id, n_words, n_removed, kept_text (the kept words joined by a space; null where nothing is removed)
     and words_sha256 (all words joined by a space). ``index`` holds the runs of earlier batches and gets one more for this
-    batch; ``history`` are those batches' rows (same columns), needed to verify what a batch shares with them.
+    batch; ``history`` are those batches' rows (same columns), needed to verify what a batch shares with them: an index with runs and no history is an error.
 
     Null and empty texts have no words. Equal texts of ``window`` words or more are removed wholly; one of them stands
     for all, so that copies never meet. Null ids stay null; other columns are ignored; an empty table gives no rows.

@@ -88,6 +88,14 @@ def test_incremental_index(spark, docs, rows):
     assert len(index.runs) == 1 and Counter(map(tuple, index.merged().collect())) == before
 
 
+def test_index_without_history(spark, docs):
+    index = FingerprintIndex(spark, window=35)
+    remove_repeats(docs, index=index)
+    with pytest.raises(ValueError, match="history"):
+        remove_repeats(docs, index=index)
+    assert len(index.runs) == 1
+
+
 def test_token_counts(docs, rows, none):
     import sentencepiece
 
