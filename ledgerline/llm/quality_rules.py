@@ -8,12 +8,13 @@ as one Spark conditional expression over statistics of the text, and reads like
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import SPACE, words
+from ledgerline.llm._common import SPACE, words, written
 
 #: Labelled rows that a fit uses at most: those with the smallest hash of their id.
 SAMPLE = 4000
@@ -52,11 +53,20 @@ def _without(text: Column, pattern: str) -> Column:
     return F.char_length(F.regexp_replace(text, pattern, ""))
 
 
+def _window_hash(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
+
+def _shifted(name: str, value: Column, bits: Column) -> Column:
+    return F.call_function(name, value, bits)
+
+
 def text_statistics(docs: DataFrame, *keep: Column, text: Column) -> DataFrame:
     """The kept columns and, of each text (null: empty): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_exclaims, n_distinct.
 
     Repeated words are those in a window of three words found twice or more. A text's windows are sorted as numbers: the
-    window's hash in the upper bits, its place in the lower.
+    window's hash in the upper bits, its place in the lower. The words of neighbours with equal hashes are compared; a text in
+    which they differ anywhere is sorted by its words instead, so the count is exact for texts of any length.
     """
     text = F.coalesce(text.cast("string"), F.lit(""))
     given = docs.select(*keep, text.alias("__text"))
@@ -66,18 +76,30 @@ def text_statistics(docs: DataFrame, *keep: Column, text: Column) -> DataFrame:
     given = given.withColumn("__bits", F.length(F.bin(n.cast("long"))).cast("int"))
     bits = F.col("__bits")
     # the upper bits as they are, the lower ones replaced by the place
-    coded = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits), bits) + i)).otherwise(F.array().cast("array<bigint>"))
+    window = lambda i: (F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    coded = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: _shifted("shiftleft", _shifted("shiftrightunsigned", _window_hash(*window(i)), bits), bits) + i)).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("__text", "\n"), lambda s: s.rlike(f"[^{SPACE}]"))
-    given = given.select(
-        *names, "__text", "__words", "__bits", F.sort_array(coded).alias("__coded"), lines.alias("__lines"),
-    )
+    given = given.select(*names, "__text", "__words", "__bits", F.sort_array(coded).alias("__coded"), lines.alias("__lines"))
     code = F.col("__coded")
-    group = lambda c: F.call_function("shiftrightunsigned", c, bits)
+    group = lambda c: _shifted("shiftrightunsigned", c, bits)
+    place = lambda c: (c - _shifted("shiftleft", group(c), bits)).cast("int")
     again = F.filter(code, lambda c, j: (group(c) == group(F.get(code, j + 1))) | (group(c) == group(F.get(code, j - 1))))
-    places = F.sort_array(F.transform(again, lambda c: c - F.call_function("shiftleft", group(c), bits)))
-    given = given.select(*names, "__text", "__words", "__lines", places.alias("__places"))
+    given = given.select(*names, "__text", "__words", "__bits", "__lines", again.alias("__again"))
+    hit = F.col("__again")
+
+    def differ(c: Column, j: Column) -> Column:
+        """Whether the window has the hash of the one before it, but other words."""
+        before = F.get(hit, j - 1)
+        return (group(c) == group(before)) & ~_all(x == y for x, y in zip(window(place(c)), window(place(before)), strict=True))
+
+    by_words = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(*(x.alias(f"w{k}") for k, x in enumerate(window(i))), i.alias("at"))))
+    given = given.select(*names, "__text", "__words", "__bits", "__lines", "__again", F.when(F.size(F.filter(hit, differ)) > 0, by_words).alias("__by_words"))
+    sorted_ = F.col("__by_words")
+    alike = lambda a, b: F.coalesce(_all(a[f"w{k}"] == b[f"w{k}"] for k in range(3)), F.lit(False))
+    exact = F.transform(F.filter(sorted_, lambda a, j: alike(a, F.get(sorted_, j + 1)) | alike(a, F.get(sorted_, j - 1))), lambda a: a["at"])
+    given = given.select(*names, "__text", "__words", "__lines", F.sort_array(F.coalesce(exact, F.transform(hit, place))).alias("__places"))
     at = F.col("__places")
-    covered = F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, j + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, g: a + g)
+    covered = F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, j + 1) - p, F.lit(3)).cast("long"))), F.lit(0).cast("long"), lambda a, g: a + g)
     return given.select(
         *names, F.size("__words").cast("long").alias("n_words"), _without(F.col("__text"), f"[{SPACE}]+").cast("long").alias("word_chars"),
         _without(F.col("__text"), "[^#*$%&|<>]+").cast("long").alias("n_symbols"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
@@ -86,16 +108,25 @@ def text_statistics(docs: DataFrame, *keep: Column, text: Column) -> DataFrame:
     )
 
 
+def _all(conditions) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
 def with_features(statistics: DataFrame) -> DataFrame:
     return statistics.selectExpr("*", *(f"CAST({sql} AS DOUBLE) AS f_{name}" for name, sql in FEATURES.items()))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = SAMPLE) -> list[dict]:
-    """Features and label (1 good, 0 bad) of at most ``limit`` labelled rows; null labels and ids are left out."""
+    """Features and label (1 good, 0 bad) of at most ``limit`` labelled rows; null labels and ids are left out.
+
+    Labels with the smallest hashes of their ids are looked up; of ids that repeat in ``docs``, the rows that come first by all features
+    count, so the sample depends on the rows alone.
+    """
     chosen = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__good")).where("__id IS NOT NULL AND __good IN (0, 1)")
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__good").limit(limit)
-    picked = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-    rows = with_features(text_statistics(picked, F.col("__id"), F.col("__good"), F.xxhash64("__id", F.lit(5)).alias("__h"), text=F.col(text_col))).limit(4 * limit)
+    picked = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__body")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    rows = with_features(text_statistics(picked, F.col("__id"), F.col("__good"), F.xxhash64("__id", F.lit(5)).alias("__h"), text=F.col("__body")))
+    rows = rows.orderBy("__h", "__id", "__good", *(f"f_{n}" for n in FEATURES)).limit(limit)
     return [{k: r[k] for k in r.asDict() if k.startswith("f_")} | {"good": r["__good"], "grow": r["__h"] % 3 != 0} for r in rows.collect()]
 
 
@@ -175,10 +206,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     The list is fitted on at most SAMPLE labelled rows; without usable labels it is empty and only the base rule counts.
     Null and empty texts have no words and so fail the base rule. Repeated rows each give a row; null ids stay null; other
-    columns are ignored; an empty table gives no rows. Needs no shuffle of texts.
+    columns are ignored; an empty table gives no rows. Needs no shuffle of texts; the statistics (numbers only) are written once.
     """
     rules = learn_rules(labelled_sample(docs, labels, id_col, text_col, label_col))
-    rows = with_features(text_statistics(docs, F.col(id_col), text=F.col(text_col)))
+    # written: a filter on the result would otherwise be pushed below the statistics and repeat them at each mention
+    rows = with_features(written(text_statistics(docs, F.col(id_col), text=F.col(text_col)), "statistics"))
     return rows.select(id_col, *STATISTICS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
 
 

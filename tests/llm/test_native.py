@@ -98,6 +98,40 @@ def test_quality_statistics(spark, docs, rows, none):
     assert kept.columns == docs.columns and kept.count() == out.where("NOT base_failed").count()
 
 
+def test_quality_under_filters(spark):
+    """Filters and projections on the result don't repeat the statistics: a long text stays cheap."""
+    import time
+
+    long = " ".join(f"w{i % 7000}" for i in range(20000))
+    df = spark.createDataFrame([(1, long), (2, "x " * 60), (3, " ".join(f"v{i}" for i in range(60)))], "doc_id long, text string")
+    out = judge_quality(df, spark.createDataFrame([], "doc_id long, quality int"))
+    began = time.monotonic()
+    assert out.where("kept AND base_failed").count() == 0
+    assert {r.doc_id for r in out.where("kept").select("doc_id").collect()} == {3}
+    assert out.where("n_repeat_words > 0 AND base_failed").select("base_failed").count() == 2
+    assert time.monotonic() - began < 60
+
+
+def test_repeated_windows_with_equal_hashes(spark, docs, rows, monkeypatch):
+    """The count doesn't depend on the hash: with three values for all windows it is the same."""
+    from ledgerline.llm import quality_rules as Q
+
+    monkeypatch.setattr(Q, "_window_hash", lambda a, b, c: F.pmod(F.xxhash64(a, b, c), F.lit(3)) * 2**50)
+    some = docs.where("length(text) < 3000 OR text IS NULL")
+    got = Counter((r.doc_id, r.n_repeat_words) for r in Q.text_statistics(some, F.col("doc_id"), text=F.col("text")).collect())
+    assert got == Counter((i, brute.statistics(t)[4]) for i, t in rows if t is None or len(t) < 3000)
+
+
+def test_labelled_sample_of_repeated_ids(spark):
+    """A repeated id can't push the sample over its bound, and the order of rows doesn't matter."""
+    from ledgerline.llm.quality_rules import labelled_sample
+
+    rows = [(i % 5, " ".join(["a"] * (i % 11 + 1))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    one, two = (labelled_sample(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, "doc_id", "text", "quality", limit=20) for r, n in ((rows, 3), (rows[::-1], 2)))
+    assert one == two and len(one) == 20
+
+
 def test_learned_rules_hold_out():
     import random
 
