@@ -6,17 +6,22 @@ common, something is. Rare tokens are indexed alone. Frequent tokens are dealt i
 class: a class of c tokens has no pair in common only if c - 1 tokens differ, so the prefix is extended until the
 classes' c - 1 and the rare tokens add up to e(n) + 1. Few sets share a pair of frequent tokens, so lists stay short.
 
-Frequencies are counted over all tokens of all sets, packed into a few blocks per task. A token of frequency 1 can't be
-shared; a set that has more than e(n) of those is similar to nothing and leaves at once.
-
-Equal sets are one node. In a long list each set is compared with the most central one first; what that links
-needs no more comparison among itself; of the rest, most pairs can't be similar by their numbers of tokens that any other
+Frequencies are counted over all tokens of all sets, packed into blocks whose number follows from the number of tokens. A token
+of frequency 1 can't be shared; a set that has more than e(n) of those is similar to nothing and leaves at once. What would
+gather in one block is dealt apart: tokens that very many sets have are counted by slices first and go straight to their
+sets, and of sets with very many copies one copy stands for all.
+
+Equal sets are one node, named by 64 bits of a hash; where the other 64 bits differ, the name is made anew from both.
+In a long list each set is compared with the most central one first; what that links
+needs no more comparison among itself; of the rest, most pairs can't be similar by their sizes, their numbers of tokens that any other
 set has, or by the triangle inequality of the Jaccard distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,16 @@ FREQUENT = 256
 SHORT = 24
 #: A class of frequent tokens for so many tokens of a set.
 PER_CLASS = 16
+#: Tokens of a block, about.
+BLOCK_TOKENS = 4_000_000
+#: A token that so many sets of a slice have is counted apart; it is hot if its counts come to HOT, or to a millionth of all tokens.
+OFTEN, HOT, HOT_SHARE = 4, 10_000, 1_000_000
+#: A set has many copies from so many on, or from a hundred-thousandth of all rows.
+COPIES, COPIES_SHARE = 1_000, 100_000
+#: Lists are joined by broadcast from so many members on, or from a hundred-thousandth of all keys; their rests are dealt into parts of so many.
+HOT_LIST, HOT_LIST_SHARE, TILE = 20_000, 100_000, 20_000
+#: Bits of a set's first name.
+NAME_BITS = 64
 
 
 def _sets(batch: pa.RecordBatch, text: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,21 +62,64 @@ def _sets(batch: pa.RecordBatch, text: int, size: int) -> tuple[np.ndarray, np.n
     return np.concatenate(found) if found else h[:0], np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
 
 
-def _digests(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _digests(tokens: np.ndarray, starts: np.ndarray, factor: int = H.FACTORS[1]) -> np.ndarray:
     """A hash of each set, 0 where it is empty."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(H.mixed(tokens ^ np.uint64(H.FACTORS[1])), dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(H.mixed(tokens ^ np.uint64(factor)), dtype=np.uint64)])
     n = np.diff(starts).astype(np.uint64)
     out = H.mixed((sums[starts[1:]] - sums[starts[:-1]]) * np.uint64(H.FACTORS[0]) + n)
     return np.where(n > 0, np.where(out == 0, np.uint64(1), out), np.uint64(0))
 
 
+def _named(sigs: np.ndarray, checks: np.ndarray, renamed: list[np.ndarray], bits: int) -> np.ndarray:
+    """The names of sets: the first hash, mixed with the second for names that two different sets would have."""
+    if bits < 64:
+        sigs = np.where(sigs > 0, (sigs >> np.uint64(64 - bits)) + np.uint64(1), sigs)
+    for names in renamed:
+        mixed = H.mixed(sigs ^ H.mixed(checks))
+        sigs = np.where(np.isin(sigs, names), np.where(mixed == 0, np.uint64(1), mixed), sigs)
+    return sigs
+
+
 def _described(size: int):
-    """(id, text_hash, n_shingles, sig) of batches (id, text, text_hash)."""
+    """(id, text_hash, n_shingles, sig, check, often) of batches (id, text, text_hash); ``often``, once a slice: tokens that OFTEN sets of it have, and their counts."""
+    often, bits = OFTEN, NAME_BITS
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.parts(batches, 1):
             tokens, starts = _sets(batch, 1, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(starts), pa.int64()), pa.array(_digests(tokens, starts).view(np.int64), pa.int64())], ["id", "text_hash", "n_shingles", "sig"])
+            sigs, checks, n = _digests(tokens, starts), _digests(tokens, starts, H.FACTORS[0] ^ H.FACTORS[1]), np.diff(starts)
+            many = [None] * len(batch)
+            if len(batch) >= often:
+                values, counts = np.unique(tokens[np.repeat(_first(sigs), n)], return_counts=True)
+                if (counts >= often).any():
+                    many[0] = values[counts >= often].tobytes() + counts[counts >= often].astype("<u8").tobytes()
+            sigs = _named(sigs, checks, [], bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sigs.view(np.int64), pa.int64()), pa.array(checks.view(np.int64), pa.int64()), pa.array(many, pa.binary())], ["id", "text_hash", "n_shingles", "sig", "check", "often"])
+
+    return found
+
+
+def _first(sigs: np.ndarray) -> np.ndarray:
+    """Whether a set is the first of its copies in a slice."""
+    out = np.zeros(len(sigs), bool)
+    out[np.unique(sigs, return_index=True)[1]] = True
+    return out
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of batches (often)."""
+    for batch in batches:
+        pairs = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in batch.column(0)]
+        if pairs:
+            both = np.concatenate(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["token", "n"])
+
+
+def _renamed(renamed: list[np.ndarray]):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, checks = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_named(sigs, checks, renamed[-1:], 64).view(np.int64), pa.int64()), batch.column(4)], schema=batch.schema)
 
     return found
 
@@ -77,25 +135,55 @@ def _unpacked(raw: bytes, block: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _dealt(size: int, blocks: int, least: int):
-    """All tokens, dealt by hash into blocks: (block, sigs, sizes, owner of each token, tokens), of batches (id, text)."""
+class Apart(NamedTuple):
+    """What is dealt apart: hot tokens (sorted) with their counts, the names of sets with many copies, names that were made anew."""
+
+    hot: np.ndarray
+    counts: np.ndarray
+    copied: np.ndarray
+    renamed: list[np.ndarray]
+
+
+def _in_blocks(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by block, and where each block begins in it."""
+    block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    order = np.argsort(block.astype(np.uint32), kind="stable")
+    return order, np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
+
+
+def _dealt(size: int, blocks: int, back: int, least: int, apart: Apart, copied: bool):
+    """All tokens, dealt by hash into blocks: (block, sigs, sizes, owner of each token, tokens), of batches (id, text).
+
+    Hot tokens, as numbers in their list, go to blocks after the others, by set. Sets with many copies are left out, or (``copied``) all others.
+    """
+    bits = NAME_BITS
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.parts(batches, 1):
             tokens, starts = _sets(batch, 1, size)
             sigs, n = _digests(tokens, starts), np.diff(starts)
-            once = np.zeros(len(n), bool)
-            once[np.unique(sigs, return_index=True)[1]] = True  # copies within a slice count once anyway
+            once = _first(sigs)  # copies within a slice count once anyway
+            sigs = _named(sigs, _digests(tokens, starts, H.FACTORS[0] ^ H.FACTORS[1]) if apart.renamed else sigs, apart.renamed, bits)
+            if len(apart.copied):
+                once &= np.isin(sigs, apart.copied) == copied
             keep = np.repeat(once & (n >= least), n)
             owner, tokens = np.repeat(np.arange(len(n), dtype=np.uint16 if len(n) < 1 << 16 else np.uint32), n)[keep], tokens[keep]
-            block = ((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-            order = np.argsort(block.astype(np.uint32), kind="stable")
-            tokens, owner, ends = tokens[order], owner[order], np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
             rows = []
-            for b in np.flatnonzero(np.diff(ends)):
-                part = slice(ends[b], ends[b + 1])
-                own, which = np.unique(owner[part], return_inverse=True)
-                rows.append((int(b), sigs[own].tobytes(), n[own].astype("<u4").tobytes(), which.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), _packed(tokens[part])))
+
+            def add(first: int, own: np.ndarray, order: np.ndarray, ends: np.ndarray, pack) -> None:
+                for b in np.flatnonzero(np.diff(ends)):
+                    part = order[ends[b] : ends[b + 1]]
+                    sets, which = np.unique(own[part], return_inverse=True)
+                    rows.append((first + int(b), sigs[sets].tobytes(), n[sets].astype("<u4").tobytes(), which.astype("<u2" if len(sets) < 1 << 16 else "<u4").tobytes(), pack(part)))  # noqa: B023
+
+            if len(apart.hot):
+                at = np.minimum(np.searchsorted(apart.hot, tokens), len(apart.hot) - 1)
+                is_hot = apart.hot[at] == tokens
+                if is_hot.any():
+                    own, at = owner[is_hot], at[is_hot].astype("<u4")
+                    add(blocks, own, *_in_blocks(sigs[own], back), lambda part: at[part].tobytes())  # noqa: B023
+                    owner, tokens = owner[~is_hot], tokens[~is_hot]
+            add(0, owner, *_in_blocks(tokens, blocks), lambda part: _packed(tokens[part]))  # noqa: B023
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["block", "sigs", "sizes", "owner", "tokens"])
 
@@ -106,34 +194,37 @@ DEALT = "block int, sigs binary, sizes binary, owner binary, tokens binary"
 COUNTED = "block int, sigs binary, sizes binary, tokens binary, frequency binary"
 
 
-def _shared(blocks: int):
+def _shared(blocks: int, back: int, apart: Apart):
     """Of one block's tokens those that two sets or more have, with their frequency, dealt by set."""
 
     def found(table: pa.Table) -> pa.Table:
         sigs, sizes, tokens = [], [], []
+        hot = table.column("block")[0].as_py() >= blocks
         for row in table.to_pylist():
             s, n = np.frombuffer(row["sigs"], np.uint64), np.frombuffer(row["sizes"], "<u4")
             o = np.frombuffer(row["owner"], "<u2" if len(s) < 1 << 16 else "<u4")
             sigs.append(s[o])
             sizes.append(n[o])
-            tokens.append(_unpacked(row["tokens"], row["block"]))
+            tokens.append(np.frombuffer(row["tokens"], "<u4") if hot else _unpacked(row["tokens"], row["block"]))
         tokens, sigs, sizes = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
-        order = np.argsort(tokens)
-        t = tokens[order]
-        same = t[1:] == t[:-1]
-        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
+        if not hot:
+            order = np.argsort(tokens)
+            t = tokens[order]
+            same = t[1:] == t[:-1]
+            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
         order = np.lexsort((sigs, tokens))
         tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1])
         tokens, sigs, sizes = tokens[new], sigs[new], sizes[new]
-        _, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        often = counts[which]
-        tokens, sigs, sizes, often = (x[often > 1] for x in (tokens, sigs, sizes, often))
-        block = ((sigs >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        order = np.argsort(block, kind="stable")
-        ends = np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
+        if hot:
+            tokens, often = apart.hot[tokens], apart.counts[tokens]
+        else:
+            _, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            often = counts[which]
+            tokens, sigs, sizes, often = (x[often > 1] for x in (tokens, sigs, sizes, often))
+        order, ends = _in_blocks(sigs, back)
         rows = []
         for b in np.flatnonzero(np.diff(ends)):
             part = order[ends[b] : ends[b + 1]]
@@ -148,14 +239,14 @@ def allowed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def prefix_keys(tokens: np.ndarray, frequency: np.ndarray, n: int, percent: int) -> np.ndarray:
+def prefix_keys(tokens: np.ndarray, frequency: np.ndarray, n: int, percent: int, frequent: int = FREQUENT) -> np.ndarray:
     """The index keys of a set of n tokens, of which ``tokens`` are shared (in order: frequency, then hash)."""
     need = allowed(n, percent) + 1 - (n - len(tokens))
-    rare = tokens[: np.searchsorted(frequency, FREQUENT, "right")][:need]
+    rare = tokens[: np.searchsorted(frequency, frequent, "right")][:need]
     keys = [H.mixed(rare)]
     need -= len(rare)
     if need > 0:
-        common = tokens[np.searchsorted(frequency, FREQUENT, "right") :]
+        common = tokens[np.searchsorted(frequency, frequent, "right") :]
         for classes in {1 << max(0, (m // PER_CLASS).bit_length() - 1) for m in (n, -(-percent * n // 100))}:
             cls = (common >> np.uint64(7)) % np.uint64(classes)
             seen = np.zeros(classes, bool)
@@ -178,6 +269,7 @@ VIABLE = "sig long, n int, lacking double, tokens array<long>, counts array<int>
 
 def _viable(percent: int):
     """Of one block's sets those that can be similar to another: (sig, n, share of unshared tokens, shared tokens, their number in each part, keys)."""
+    frequent = FREQUENT
 
     def found(table: pa.Table) -> pa.Table:
         sigs, n, tokens, often = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("sigs", np.uint64), ("sizes", "<u4"), ("tokens", np.uint64), ("frequency", "<u4")))
@@ -188,7 +280,7 @@ def _viable(percent: int):
         for a, b in zip(starts, [*starts[1:], len(sigs)], strict=True):
             size = int(n[a])
             if size - (b - a) <= allowed(size, percent):
-                rows.append((int(sigs[a : a + 1].view(np.int64)[0]), size, (size - int(b - a)) / size, np.sort(tokens[a:b].view(np.int64)), np.bincount((tokens[a:b] >> np.uint64(13)).astype(np.int64) % PARTS, minlength=PARTS), prefix_keys(tokens[a:b], often[a:b], size, percent).view(np.int64)))
+                rows.append((int(sigs[a : a + 1].view(np.int64)[0]), size, (size - int(b - a)) / size, np.sort(tokens[a:b].view(np.int64)), np.bincount((tokens[a:b] >> np.uint64(13)).astype(np.int64) % PARTS, minlength=PARTS), prefix_keys(tokens[a:b], often[a:b], size, percent, frequent).view(np.int64)))
         kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["sig", "n", "lacking", "tokens", "counts", "keys"])
 
@@ -207,6 +299,11 @@ def _overlapping(percent: int) -> Column:
     return 100 * most >= percent * (F.col("n") + F.col("x_n") - most)
 
 
+def _band(n: Column, percent: int) -> Column:
+    """A number for sizes, by which those of similar sets differ by 1 at most."""
+    return F.floor(F.log(n) / F.lit(log(100 / min(percent, 99)) + 1e-9)).cast("int")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, far, linked): the Jaccard distance of each pair, from the shared tokens and the sizes."""
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -224,7 +321,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
     short = listed.join(lists.where(F.col("size") <= SHORT).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("sig", "n", "s")).alias("m"))
     met = short.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["sig"] > x["sig"]) & _possible(x["n"], x["s"], y["n"], y["s"], percent)), lambda y: F.struct(x["sig"].alias("a"), y["sig"].alias("b")))))).alias("p")).select("p.a", "p.b")
-    long = listed.join(lists.where(F.col("size") > SHORT).select("key", "center", "center_n", "center_s"), "key").where("sig <> center")
+    # so few lists can be so long that these are broadcast: no task gets all members of one
+    hot = max(HOT_LIST, listed.count() // HOT_LIST_SHARE)
+    centers = lists.where(F.col("size") > SHORT).select("key", "size", "center", "center_n", "center_s")
+    long = listed.join(F.broadcast(centers.where(F.col("size") > hot)), "key").union(listed.join(centers.where(F.col("size") <= hot), "key")).where("sig <> center")
     starred = long.where(_possible(F.col("n"), F.col("s"), F.col("center_n"), F.col("center_s"), percent)).select(F.least("sig", "center").alias("a"), F.greatest("sig", "center").alias("b"))
     first = written(_verified(met.union(starred).distinct(), sets, percent), "verified")
     links = first.where("linked").select("a", "b")
@@ -234,18 +334,21 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # what is left of long lists: sets that are not yet in one component and not too far apart by their distances to the center
     roots = written(components(links), "roots")
     far = first.select(F.col("a").alias("sig"), F.col("b").alias("center"), "far").union(first.select("b", "a", "far"))
-    members = long.select("key", "sig", "n", "s", "center").union(lists.where(F.col("size") > SHORT).select("key", F.col("center").alias("sig"), F.col("center_n").alias("n"), F.col("center_s").alias("s"), "center"))
+    members = long.select("key", "sig", "n", "s", "center").union(centers.select("key", F.col("center").alias("sig"), F.col("center_n").alias("n"), F.col("center_s").alias("s"), "center"))
     members = members.join(far, ["sig", "center"], "left").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     members = written(members.select("key", "sig", "n", "s", F.when(F.col("sig") == F.col("center"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("root", "sig").alias("root")), "members")
-    split = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = members.join(split, "key")
-    # one side: the sets outside the list's largest component, which the center's mostly is
-    main = left.where("far = 0").select("key", F.col("root").alias("main"))
-    left = left.join(main, "key").select("key", "sig", "n", "s", "far", "root", (F.col("root") == F.col("main")).alias("in_main"))
+    split = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("far") == 0, F.col("root"))).alias("main"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    split = written(split.select("key", "main", "size", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "split-lists")
+    left = members.join(F.broadcast(split.where(F.col("size") > hot)), "key").union(members.join(split.where(F.col("size") <= hot), "key"))
+    # one side: the sets outside the component of the list's center, which is mostly the largest
+    left = left.select("key", "sig", "n", "s", "far", "root", (F.col("root") == F.col("main")).alias("in_main"), "tiles", _band(F.col("n"), percent).alias("band"))
     left = written(left.join(sets.select("sig", "counts"), "sig"), "left")
-    x = left.where("NOT in_main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "s", "far", "root", "counts")))
+    # similar sets are of one band of sizes or of neighbouring ones; the members of a list are dealt into parts
+    x = left.where("NOT in_main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "s", "far", "root", "counts")), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "band")
+    x = x.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    left = left.withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     limit = (100 - percent) / 100 + 1e-9
-    meet = x.join(left, "key").where(_possible(F.col("n"), F.col("s"), F.col("x_n"), F.col("x_s"), percent) & (F.col("root") != F.col("x_root")) & (F.col("in_main") | (F.col("sig") > F.col("x_sig"))) & (F.col("far").isNull() | F.col("x_far").isNull() | (F.abs(F.col("far") - F.col("x_far")) <= limit)) & _overlapping(percent))
+    meet = x.join(left, ["key", "tile", "band"]).where(_possible(F.col("n"), F.col("s"), F.col("x_n"), F.col("x_s"), percent) & (F.col("root") != F.col("x_root")) & (F.col("in_main") | (F.col("sig") > F.col("x_sig"))) & (F.col("far").isNull() | F.col("x_far").isNull() | (F.abs(F.col("far") - F.col("x_far")) <= limit)) & _overlapping(percent))
     rest = meet.select(F.least("sig", "x_sig").alias("a"), F.greatest("sig", "x_sig").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     return links.union(_verified(rest, sets, percent).where("linked").select("a", "b"))
 
@@ -256,20 +359,41 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A set is a text's distinct shingles of ``size`` words (A-Z lower-cased; a shorter text is one shingle). Sets link where
     100 * intersection >= ``percent`` * union; component_id is the smallest id that links reach. A null or empty text has
     no set and is its own component. Equal sets always link, so repeated rows share a component. A null id is never the
-    smallest unless all are null; other columns are ignored; an empty table gives no rows. Tokens are hashes, of which 48 bits and the block are compared.
+    smallest unless all are null; other columns are ignored; an empty table gives no rows. Tokens are 64-bit hashes, of which 48 bits and the block are
+    compared; sets are told apart by 128 bits.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(given.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_described(size), f"id {kind}, text_hash long, n_shingles long, sig long"), "sets")
-    back = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = 2 * back
+    rows = written(given.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_described(size), f"id {kind}, text_hash long, n_shingles long, sig long, check long, often binary"), "sets")
+    counts = rows.where("often IS NOT NULL").select("often").mapInArrow(_counts, "token long, n long")
+    rows, renamed = rows.drop("often"), []
+    while True:
+        named = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("text_hash").alias("text_hash"))
+        named = written(named, "names")
+        double = [r[0] for r in named.where("low <> high").select("sig").collect()]  # two of 2**32 sets share a name
+        if not double:
+            break
+        renamed.append(np.array(double, np.int64).view(np.uint64))
+        rows = written(rows.mapInArrow(_renamed(renamed), rows.schema), "sets")
+    sums = rows.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    n_rows, n_tokens = sums[0], sums[1] or 0
+    copied = named.where(F.col("copies") >= max(COPIES, n_rows // COPIES_SHARE)).select("sig", "text_hash").collect()
+    hot = sorted((r[0] % (1 << 64), r[1]) for r in counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT, n_tokens // HOT_SHARE)).collect())
+    apart = Apart(np.array([t for t, _ in hot], np.uint64), np.array([c for _, c in hot], np.int64), np.array([r[0] for r in copied], np.int64).view(np.uint64), renamed)
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back, blocks = max(partitions, -(-n_tokens // BLOCK_TOKENS)), max(2 * partitions, -(-n_tokens // BLOCK_TOKENS))
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))  # smaller sets link to equal ones only
-    dealt = given.mapInArrow(_dealt(size, blocks, least), DEALT)
-    counted = dealt.groupBy("block").applyInArrow(_shared(back), COUNTED)
+    dealt = given.mapInArrow(_dealt(size, blocks, back, least, apart, False), DEALT)
+    if copied:
+        stand = spark.createDataFrame([(r[1],) for r in copied], "text_hash long")
+        texts = given.where("text IS NOT NULL").withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(stand), "text_hash", "left_semi").select("text").distinct()
+        dealt = dealt.union(texts.select(F.lit(None).cast(kind).alias("id"), "text").mapInArrow(_dealt(size, blocks, back, least, apart, True), DEALT))
+    counted = dealt.groupBy("block").applyInArrow(_shared(blocks, back, apart), COUNTED)
     sets = written(counted.groupBy("block").applyInArrow(_viable(percent), VIABLE), "viable")
     roots = components(written(_links(sets, percent), "similar"))
-    classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("first")).join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
+    classes = named.select("sig", "first").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
     least_id = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(classes.join(least_id, "root").select(F.col("sig").alias("s"), "component_id"), "components")
     out = rows.join(named, F.col("sig") == F.col("s"), "left")
@@ -278,10 +402,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component: those with its smallest id; equal rows become one."""
-    found = written(similar_components(docs, id_col, text_col, size, percent).where(F.col(id_col).eqNullSafe(F.col("component_id"))), "kept")
-    rows = docs.withColumn("__text", F.xxhash64(text_col))
+    """The rows of ``docs``, all columns (of any names), that stand for their component: those with its smallest id; of rows with equal id and text one stays."""
+    found = written(similar_components(docs, id_col, text_col, size, percent).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("k"), "text_hash"), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))
     # one shuffle by id serves the join and the equal rows
-    named = rows.join(found.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col, "__text"])
-    unnamed = rows.where(F.col(id_col).isNull()).join(found.where(F.col(id_col).isNull()).select(F.col("text_hash").alias("__text")).distinct(), "__text", "left_semi").dropDuplicates(["__text"])
-    return named.select(*docs.columns).union(unnamed.select(*docs.columns))
+    named = rows.join(found.select(F.col("k").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
+    unnamed = rows.where("id IS NULL").join(found.where("k IS NULL").select(F.col("text_hash").alias("text")).distinct(), "text", "left_semi").dropDuplicates(["text"])
+    return named.select("row.*").union(unnamed.select("row.*"))

@@ -42,11 +42,28 @@ def test_jaccard_frequent_tokens(spark, monkeypatch):
             rows.append(" ".join(v))
     rng.shuffle(rows)
     rows = list(enumerate(rows))
-    monkeypatch.setattr(J, "FREQUENT", 10)
-    monkeypatch.setattr(J, "SHORT", 4)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df).collect()}
-    assert got == {i: g for (i, _), g in zip(rows, brute.similar_groups(rows), strict=True)}
+    want = {i: g for (i, _), g in zip(rows, brute.similar_groups(rows), strict=True)}
+    for limits in ({"FREQUENT": 10, "SHORT": 4}, {"FREQUENT": 10, "SHORT": 4, "OFTEN": 2, "HOT": 12, "COPIES": 2, "HOT_LIST": 8, "TILE": 5, "BLOCK_TOKENS": 500}, {"SHORT": 2, "HOT": 2, "OFTEN": 2, "NAME_BITS": 5}):
+        for name, value in limits.items():
+            monkeypatch.setattr(J, name, value)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df).collect()} == want
+
+
+def test_jaccard_hot_copies(spark, docs, rows, monkeypatch):
+    """Sets with many copies, hot tokens and names that several sets would share change nothing."""
+    from ledgerline.llm import jaccard_join as J
+
+    for name, value in {"OFTEN": 2, "HOT": 3, "COPIES": 2, "NAME_BITS": 4, "BLOCK_TOKENS": 1000}.items():
+        monkeypatch.setattr(J, name, value)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in similar_components(docs).collect())
+    assert got == Counter((i, n, c if n else i) for (i, _), (n, c) in zip(rows, brute.similar_groups(rows), strict=True))
+
+
+def test_one_of_each_keeps_any_columns(spark):
+    names = "doc_id long, text string, row string, id string, `__text` string, k string, sig string"
+    out = one_of_each(spark.createDataFrame([(2, "a b c d e", "r", "i", "t", "k", "s"), (1, "A b c d e", "r1", "i1", "keep", "k1", "s1")], names))
+    assert [tuple(r) for r in out.collect()] == [(1, "A b c d e", "r1", "i1", "keep", "k1", "s1")]
 
 
 def test_prefix_keys_share():
