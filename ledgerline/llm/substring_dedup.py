@@ -1,10 +1,12 @@
 """Incremental removal of repeated passages over a log-structured fingerprint index.
 
 Each batch of texts adds one immutable run to the index: the fingerprints of its texts, bucketed and sorted by hash, so
-that runs are merge-joined bucket by bucket without a shuffle. A fingerprint is the smallest K-gram hash of a window's
+that runs are merge-joined bucket by bucket without a shuffle. There are never more than two runs: a third is made one with the
+smaller of the others. A fingerprint is the smallest K-gram hash of a window's
 K-grams; equal windows have equal fingerprints, so only windows whose fingerprint stands in two places, in whichever
-runs, can repeat. Those windows alone are then verified over all their words with two independent 64-bit hashes.
-``compact`` merges the runs into one.
+runs, can repeat. Those windows alone are then verified over all their words, by 96 bits of two hashes of differently hashed words.
+
+A large table comes in as several batches, so that no run is made at once from all of it.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,12 @@ from ledgerline.llm._common import shared_dir, written
 
 #: Words in a fingerprinted gram.
 K = 8
+#: Batches that a table comes in as, and runs that an index has at most.
+BATCHES, RUNS = 4, 2
+#: Words of a block in which windows are verified, about.
+BLOCK_WORDS = 4_000_000
+#: A text has many copies from so many on, or from a hundred-thousandth of all rows.
+COPIES, COPIES_SHARE = 1_000, 100_000
 
 
 def _grams(batch: pa.RecordBatch, text: int, window: int) -> tuple:
@@ -98,7 +107,7 @@ def _windows(window: int, blocks: int):
             one = H.run_hashes(h, window)[place]
             order = np.argsort(one)
             one, place = one[order], place[order]
-            two = (H.run_hashes(H.mixed(h ^ np.uint64(H.FACTORS[1])), window, H.FACTORS[1])[place] >> np.uint64(32)).astype("<u4")
+            two = (H.run_hashes(H.word_hashes(words, 1), window, H.FACTORS[1])[place] >> np.uint64(32)).astype("<u4")
             text = np.searchsorted(starts, place, "right") - 1
             unit = batch.column(0).to_numpy(zero_copy_only=False)[text]
             copies = batch.column(1).to_numpy(zero_copy_only=False)[text]
@@ -181,34 +190,51 @@ class FingerprintIndex:
         self.path = path or f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex[:12]}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.batches: dict[str, int] = {}  # in each run
 
-    def _write(self, counted: DataFrame) -> None:
+    def _write(self, counted: DataFrame, batches: int) -> None:
         name = f"ledgerline_run_{uuid.uuid4().hex[:12]}"
         counted.write.bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.path}/{name}").saveAsTable(name)
         self.runs.append(name)
+        self.batches[name] = batches
 
     def add(self, prints: DataFrame) -> None:
         """A new run from a batch's fingerprints (column ``prints``, an array per text)."""
         counted = prints.select("prints").mapInArrow(_counted, "print long, places long").repartition(self.buckets, "print")
-        self._write(counted.groupBy("print").agg(F.sum("places").alias("places")).sortWithinPartitions("print"))
+        self._write(counted.groupBy("print").agg(F.sum("places").alias("places")).sortWithinPartitions("print"), 1)
+        while len(self.runs) > RUNS:
+            self._merge(sorted(self.runs, key=self.batches.__getitem__)[:2])
 
-    def merged(self) -> DataFrame:
-        """All runs merge-joined: (print, places)."""
-        tables = [self.spark.table(r).withColumnRenamed("places", f"p{i}") for i, r in enumerate(self.runs)]
+    def merged(self, runs: list[str] | None = None) -> DataFrame:
+        """Runs (default: all) merge-joined: (print, places)."""
+        tables = [self.spark.table(r).withColumnRenamed("places", f"p{i}") for i, r in enumerate(self.runs if runs is None else runs)]
         joined = reduce(lambda a, b: a.join(b.hint("merge"), "print", "full"), tables)
         return joined.select("print", sum((F.coalesce(f"p{i}", F.lit(0)) for i in range(len(tables))), F.lit(0)).alias("places"))
 
-    def compact(self) -> None:
-        """Merges the runs into one; the old runs go when the new one is complete."""
-        old, whole = self.runs, self.merged()
-        self.runs = []
-        self._write(whole)
-        for name in old:
+    def _merge(self, runs: list[str]) -> None:
+        """Makes one run of some; the old ones go when the new one is complete."""
+        self._write(self.merged(runs), sum(self.batches[r] for r in runs))
+        for name in runs:
             self.drop(name)
 
+    def compact(self) -> None:
+        """Makes one run of all."""
+        self._merge([*self.runs])
+
     def drop(self, name: str) -> None:
+        self.runs.remove(name)
+        del self.batches[name]
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Removes all runs."""
+        for name in [*self.runs]:
+            self.drop(name)
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def shared(self) -> DataFrame:
@@ -216,6 +242,16 @@ class FingerprintIndex:
         return self.merged().where("places > 1").select("print")
 
 
+def in_batches(prints: DataFrame, batches: int) -> list[DataFrame]:
+    """The written rows of ``prints`` (with ``unit``, whose upper bits number the task that made them) in ranges of tasks."""
+    last = prints.agg(F.max("unit")).first()[0]
+    if last is None:
+        return [prints]
+    tasks = (last >> 33) + 1
+    edges = [(tasks * i // batches) << 33 for i in range(batches + 1)]
+    return [prints.where((F.col("unit") >= a) & (F.col("unit") < b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+
+
 def _hashed(of: DataFrame, id_col: str, text_col: str) -> DataFrame:
     given = of.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return given.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
@@ -227,37 +263,57 @@ def _prints(sources: DataFrame, window: int, name: str) -> DataFrame:
     return written(found.withColumn("unit", F.monotonically_increasing_id()), name)
 
 
-def _candidates(sources: DataFrame, prints: DataFrame, shared: DataFrame) -> DataFrame:
-    """One row for each distinct text with a shared fingerprint: unit, t1, t2, copies, shared, text. The text's first row stands for all."""
-    long = prints.where(F.size("prints") > 0)
-    groups = long.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("unit", "id")).alias("first"))
-    groups = groups.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "copies", F.col("first.unit").alias("unit"), F.col("first.id").alias("uid"))
-    units = long.select("unit", F.explode("prints").alias("print")).join(shared, "print").groupBy("unit").agg(F.collect_set("print").alias("shared"))
+def _groups(prints: DataFrame) -> DataFrame:
+    """Distinct texts that have windows: (u1, u2, copies, n_words, unit, uid); the text's first row stands for all."""
+    groups = prints.where(F.size("prints") > 0).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"), F.min(F.struct("unit", "id")).alias("first"))
+    return groups.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "copies", "n_words", F.col("first.unit").alias("unit"), F.col("first.id").alias("uid"))
+
+
+def _candidates(sources: DataFrame, prints: DataFrame, groups: DataFrame, shared: DataFrame) -> DataFrame:
+    """One row for each distinct text with a shared fingerprint: unit, t1, t2, copies, n_words, shared, text."""
+    units = prints.where(F.size("prints") > 0).select("unit", F.explode("prints").alias("print")).join(shared, "print").groupBy("unit").agg(F.collect_set("print").alias("shared"))
     units = units.join(groups, "unit")
-    return sources.join(units, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("id").eqNullSafe(F.col("uid"))).select("unit", "t1", "t2", "copies", "shared", "text")
+    return sources.join(units, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("id").eqNullSafe(F.col("uid"))).select("unit", "t1", "t2", "copies", "n_words", "shared", "text")
+
+
+class Changed(NamedTuple):
+    """rows: id, t1, t2, n_words, words_sha256 of all. copied: t1, t2 of texts with many copies, which lose all words. lost: t1, t2, n_removed, kept_text of the other texts that lose some."""
+
+    rows: DataFrame
+    copied: DataFrame
+    lost: DataFrame
 
 
-def _changed(docs: DataFrame, id_col: str, text_col: str, window: int, index: FingerprintIndex | None, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """All rows' (id, t1, t2, n_words, words_sha256), and (t1, t2, n_removed, kept_text) of the texts that lose words."""
+def _changed(docs: DataFrame, id_col: str, text_col: str, window: int, index: FingerprintIndex | None, history: DataFrame | None) -> Changed:
     spark = docs.sparkSession
     if index is not None and index.runs and history is None:
         raise ValueError("an index with runs needs the rows of its batches as history, or what repeats them would stay")
-    index = index or FingerprintIndex(spark, window=window)
     sources = _hashed(docs, id_col, text_col)
     prints = _prints(sources, window, "fingerprints")
-    index.add(prints)
-    shared = written(index.shared(), "shared-fingerprints")
-    found = _candidates(sources, prints, shared).withColumn("old", F.lit(False))
+    if index is not None:
+        index.add(prints)
+        shared = written(index.shared(), "shared-fingerprints")
+    else:
+        own = FingerprintIndex(spark, window=window)
+        for batch in in_batches(prints, BATCHES):
+            own.add(batch)
+        shared = written(own.shared(), "shared-fingerprints")
+        own.close()
+    groups = written(_groups(prints), "texts")
+    limit = max(COPIES, prints.count() // COPIES_SHARE)
+    copied = written(groups.where(F.col("copies") >= limit).select(F.col("u1").alias("t1"), F.col("u2").alias("t2")), "copied")
+    found = _candidates(sources, prints, groups, shared).withColumn("old", F.lit(False))
     if history is not None:
         before = _hashed(history, id_col, text_col)
-        found = found.unionByName(_candidates(before, _prints(before, window, "history"), shared).withColumn("old", F.lit(True)))
+        old = _prints(before, window, "history")
+        found = found.unionByName(_candidates(before, old, _groups(old), shared).withColumn("old", F.lit(True)))
     found = written(found.withColumn("unit", F.col("unit") * 2 + F.col("old").cast("long")), "candidates")
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(found.agg(F.sum("n_words")).first()[0] or 0) // BLOCK_WORDS))
     dealt = found.select("unit", "copies", "text", "shared").mapInArrow(_windows(window, 2 * blocks), DEALT)
     flagged = dealt.groupBy("block").applyInArrow(_flagged(blocks), FLAGGED)
     places = written(flagged.groupBy("block").applyInArrow(_places, "unit long, places array<int>"), "repeats")
     lost = found.where(~F.col("old")).select("unit", "text").join(places, "unit").mapInArrow(_kept(window), "unit long, n_removed long, kept_text string")
-    return prints.drop("prints", "unit"), lost.join(found.select("unit", "t1", "t2"), "unit").dropDuplicates(["t1", "t2"]).select("t1", "t2", "n_removed", "kept_text")
+    return Changed(prints.drop("prints", "unit"), copied, lost.join(found.select("unit", "t1", "t2"), "unit").dropDuplicates(["t1", "t2"]).select("t1", "t2", "n_removed", "kept_text"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
@@ -266,19 +322,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns per row: id, n_words, n_removed, kept_text (the kept words joined by a space; null where nothing is removed)
     and words_sha256 (all words joined by a space). ``index`` holds the runs of earlier batches and gets one more for this
     batch; ``history`` are those batches' rows (same columns), needed to verify what a batch shares with them: an index with runs and no history is an error.
+    Without ``index`` the rows come in as BATCHES batches of an index of their own, which is removed afterwards.
 
     Null and empty texts have no words. Equal texts of ``window`` words or more are removed wholly; one of them stands
     for all, so that copies never meet. Null ids stay null; other columns are ignored; an empty table gives no rows.
     """
-    rows, lost = _changed(docs, id_col, text_col, window, index, history)
-    out = rows.join(lost, ["t1", "t2"], "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept_text", "words_sha256")
+    rows, copied, lost = _changed(docs, id_col, text_col, window, index, history)
+    copied = F.broadcast(copied)
+    whole = rows.join(copied, ["t1", "t2"], "left_semi").select("id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), "words_sha256")
+    rest = rows.join(copied, ["t1", "t2"], "left_anti").join(lost, ["t1", "t2"], "left")
+    out = rest.select("id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept_text", "words_sha256").union(whole)
+    return out.withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
-    """``docs``, all columns, with the words of ``remove_repeats`` taken out; texts that lose none stay as they are."""
-    _, lost = _changed(docs, id_col, text_col, window, None, None)
-    lost = written(lost.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("kept_text").alias("__kept")), "kept-texts")
+    """``docs``, all columns (of any names), with the words of ``remove_repeats`` taken out; texts that lose none stay as they are."""
+    _, copied, lost = _changed(docs, id_col, text_col, window, None, None)
+    lost, copied = written(lost.drop("n_removed"), "kept-texts"), F.broadcast(copied)
     text = F.col(text_col).cast("string")
-    joined = docs.join(lost, (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(F.lit(1), text) == F.col("__t2")), "left")
-    return joined.withColumn(text_col, F.coalesce("__kept", F.col(text_col))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    whole = rows.join(copied, ["t1", "t2"], "left_semi").select("row", F.lit("").alias("kept_text"))
+    rest = rows.join(copied, ["t1", "t2"], "left_anti").join(lost, ["t1", "t2"], "left").select("row", "kept_text")
+    return rest.union(whole).select(*(F.coalesce("kept_text", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

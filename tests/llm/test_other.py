@@ -105,6 +105,36 @@ def test_incremental_index(spark, docs, rows):
     assert len(index.runs) == 1 and Counter(map(tuple, index.merged().collect())) == before
 
 
+def test_index_in_batches(spark, docs, rows, monkeypatch):
+    """Runs of several batches are merge-joined without a shuffle, kept to two, and removed; many copies are taken out without a join."""
+    from ledgerline.llm import substring_dedup as D
+
+    seen = []
+    shared = FingerprintIndex.shared
+
+    def spied(self):
+        plan = self.merged()._jdf.queryExecution().executedPlan().toString()
+        seen.append((len(self.runs), sorted(self.batches.values()), "Exchange" in plan, plan.count("SortMergeJoin")))
+        return shared(self)
+
+    monkeypatch.setattr(FingerprintIndex, "shared", spied)
+    monkeypatch.setattr(D, "COPIES", 2)
+    monkeypatch.setattr(D, "BLOCK_WORDS", 500)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.words_sha256 if r.kept_text is None else brute.sha(r.kept_text)) for r in remove_repeats(docs.repartition(6)).collect())
+    assert got == Counter((i, n, x, brute.sha(k)) for (i, _), (n, x, k) in zip(rows, brute.without_repeats([t for _, t in rows]), strict=True))
+    assert seen == [(2, [2, 2], False, 1)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ledgerline_run_")]
+    left = without_repeats(docs)
+    assert left.columns == docs.columns and left.count() == len(rows)
+
+
+def test_repeats_with_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    names = "doc_id long, text string, row string, t1 string, t2 string, kept_text string, `__kept` string"
+    out = without_repeats(spark.createDataFrame([(1, long, "a", "b", "c", "d", "e"), (2, f"{long} more", "f", "g", "h", "i", "j")], names))
+    assert sorted(map(tuple, out.collect())) == [(1, "", "a", "b", "c", "d", "e"), (2, "more", "f", "g", "h", "i", "j")]
+
+
 def test_index_without_history(spark, docs):
     index = FingerprintIndex(spark, window=35)
     remove_repeats(docs, index=index)
