@@ -2,7 +2,8 @@
 
 A piece vocabulary in which no piece has a word mark behind another character can never merge across the start of a
 word. Then a text's token count is the sum over its words, and a word that is known to encode as one token need not be
-merged at all. ``prove_whole_tokens`` establishes both facts from the model alone, once, before any text is read.
+merged at all. ``prove_whole_tokens`` establishes both facts from the model's own specification and pieces, once, before any
+text is read; a model of another kind encodes whole texts.
 """
 
 from __future__ import annotations
@@ -21,17 +22,57 @@ REMEMBERED = 400_000
 _models: dict[str, Counter] = {}
 
 
+def proto_fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a protocol buffer message; messages and strings come as bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or number()
+        yield tag >> 3, raw[at : at + size]
+        at += size
+
+
+#: Numbers of fields in a model's specification of its training (2) and its normalizer (3): fixed values.
+MODEL_TYPE, SUFFIX_MARK, BYTE_FALLBACK = 3, 24, 35
+CHARACTER_MAP, MARK_FIRST, TRIM_SPACES, MARK_SPACES, RULES = 2, 3, 4, 5, 6
+PAIR_MERGES = 2
+
+
+def counts_by_word(model: bytes) -> bool:
+    """Whether the model's specification lets words be counted apart.
+
+    It must merge pairs, fall back to bytes (or unknown characters of neighbouring words would be one token), and its normalizer
+    must map no character, trim nothing, and put the mark before the text and for every space.
+    """
+    parts = dict(proto_fields(model))  # the pieces (1) repeat; of the specifications each is there once
+    trained, normal = (dict(proto_fields(parts.get(n, b""))) for n in (2, 3))
+    merges = trained.get(MODEL_TYPE, 1) == PAIR_MERGES and trained.get(BYTE_FALLBACK, 0) == 1 and not trained.get(SUFFIX_MARK, 0)
+    plain = not normal.get(CHARACTER_MAP) and not normal.get(RULES) and normal.get(TRIM_SPACES, 1) == 0
+    return merges and plain and normal.get(MARK_FIRST, 1) == 1 and normal.get(MARK_SPACES, 1) == 1
+
+
 def prove_whole_tokens(processor) -> set[str] | None:
     """The strings that, as a word of their own, encode as exactly one token; None if words can't be counted apart.
 
-    Words can be counted apart if no piece has the word mark behind another character, none holds a line feed and the
-    normalizer changes nothing but the mark; each candidate is then proved by encoding it.
+    Words can be counted apart if the specification lets them (``counts_by_word``), no piece has the word mark behind another
+    character and none holds a line feed; each candidate is then proved by encoding it.
     """
     pieces = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
     normal = [p for i, p in enumerate(pieces) if not (processor.is_control(i) or processor.is_byte(i) or processor.is_unknown(i))]
-    if any(MARK in p.lstrip(MARK) or "\n" in p for p in normal) or processor.normalize(" a  b\n") != f"{MARK}{MARK}a{MARK}{MARK}b\n":
-        return None
-    if processor.normalize("ﬁÅÅ\t　") != f"{MARK}ﬁÅÅ\t　":
+    if not counts_by_word(processor.serialized_model_proto()) or any(MARK in p.lstrip(MARK) or "\n" in p for p in normal):
         return None
     found = [p[1:] for p in normal if p[0] == MARK and len(p) > 1 and MARK not in p[1:]]
     return {p for p, ids in zip(found, processor.encode(found), strict=True) if len(ids) == 1}
