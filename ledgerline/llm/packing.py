@@ -8,6 +8,7 @@ sequence is filled to the token. What is left at a task's end is cut into powers
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
@@ -31,19 +32,33 @@ AT_ONCE = 12 << 20
 WAITING, WAITING_TOKENS = 256, 1 << 20
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, sequence_length long"
 _tokenizers: dict[str, WordIds] = {}
+#: What a tokenizer's file must say for its texts to be encoded by pieces (fixed values): it normalizes, makes white space one space,
+#: lower-cases, drops what stands between words, numbers and punctuation, and merges within each of these.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def encodes_by_piece(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its file's JSON) is of the form that ``WordIds`` relies on; others encode whole texts."""
+    model = tokenizer["model"]
+    added = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].startswith("<|") for t in tokenizer["added_tokens"])
+    return added and tokenizer["normalizer"] == NORMALIZER and tokenizer["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, LEVEL]} and model["type"] == "BPE" and not model.get("dropout") and not (tokenizer["truncation"] or tokenizer["padding"])
 
 
 class WordIds(dict):
     """Token ids (as little-endian unsigned 32-bit bytes) of a piece of text without white space.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its pieces in turn. It also
-    lower-cases, so A-Z are lower-cased first, but for texts that may hold one of its special strings.
+    A tokenizer of the form that ``encodes_by_piece`` asks for drops white space and never merges across it, so a text's ids are
+    those of its pieces in turn. It also lower-cases, so A-Z are lower-cased first, but for texts that may hold one of its special
+    strings. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = encodes_by_piece(json.loads(self.tokenizer.to_str()))
         special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
         self.between_id, self.between = (special[0][0], special[0][1].content) if special else (None, "")
 
@@ -81,7 +96,9 @@ class WordIds(dict):
         return raw
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Each distinct word, and punctuation behind a word, is looked up once; ids are then gathered for all texts at a time."""
+        """The ids of each text. Each distinct word, and punctuation behind a word, is looked up once; ids are then gathered for all texts at a time."""
+        if not self.by_piece:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         pieces, starts = split_words(pa.array([self.lowered(t) for t in texts], pa.binary()).cast(pa.string()))
         if not len(pieces):
             return [b""] * len(texts)
@@ -104,6 +121,16 @@ class WordIds(dict):
         return [ids[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
 
+    def masked(self, text: str, spans: list[dict]) -> tuple[bytes, np.ndarray]:
+        """A text's ids, and which of them stand for a character of one of the spans (start, end in code points)."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        at = np.array(found.offsets, np.int64).reshape(-1, 2)
+        inside = np.zeros(len(at), bool)
+        for s in spans:
+            inside |= (at[:, 0] < s["end"]) & (at[:, 1] > s["start"])
+        return np.array(found.ids, "<u4").tobytes(), inside
+
+
 def _apart(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Words, and the punctuation behind each (empty if there is none, or if no ASCII letter stands before it).
 
@@ -234,12 +261,14 @@ class Packer:
                 self.close()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, max_segments: int = 512, max_loss: int | None = None, loss_col: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, max_segments: int = 512, max_loss: int | None = None, loss_col: str | None = None, spans_col: str | None = None) -> DataFrame:
     """Texts as token ids (the tokenizer's, without special tokens, then ``end_id``), packed; one row per piece.
 
     Returns id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, sequence_length. No sequence has
     more than ``limit`` tokens, ``max_segments`` pieces or ``max_loss`` loss-bearing tokens (default: ``limit``).
-    ``loss_col`` (boolean) says whether a row's tokens bear loss; null or no such column: they do. Each task packs its
+    ``loss_col`` (boolean) says whether a row's tokens bear loss; null or no such column: they do. ``spans_col`` (array of
+    structs start, end: code points of the text) says which parts do: the tokens that overlap one, and ``end_id`` if one reaches
+    the text's end; null: ``loss_col`` decides. Each task packs its
     own rows, so nothing is shuffled; a task's rest is cut into power-of-two sequences. sequence_id is unique: the
     task's number times 2**40 plus a count. A null text is empty (only ``end_id``); null ids stay null; repeated rows are
     packed each; other columns are ignored; an empty table gives no rows.
@@ -253,9 +282,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
         schema = None
         for part in parts(batches, 1, AT_ONCE):
             schema = schema or pa.schema([pa.field("doc_id", part.schema.field(0).type), *(pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_length"))])
-            found = words.batch(pc.fill_null(part.column(1), "").to_pylist())
-            for doc, ids, every in zip(part.column(0).to_pylist(), found, pc.fill_null(part.column(2), True).to_pylist(), strict=True):
-                packer.add(doc, ids + end, every)
+            texts = pc.fill_null(part.column(1), "").to_pylist()
+            spans = part.column(3).to_pylist() if spans_col else [None] * len(texts)
+            found = words.batch([t if s is None else "" for t, s in zip(texts, spans, strict=True)])
+            for doc, ids, every, text, parts_ in zip(part.column(0).to_pylist(), found, pc.fill_null(part.column(2), True).to_pylist(), texts, spans, strict=True):
+                loss = None
+                if parts_ is not None:
+                    ids, inside = words.masked(text, parts_)
+                    loss = np.append(inside, any(s["end"] >= len(text) > s["start"] for s in parts_))
+                packer.add(doc, ids + end, every, loss)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows.clear()
@@ -264,5 +299,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(loss_col).cast("boolean") if loss_col else F.lit(True)).alias("loss"))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(loss_col).cast("boolean") if loss_col else F.lit(True)).alias("loss"), *([F.col(spans_col).cast("array<struct<start:int,end:int>>").alias("spans")] if spans_col else []))
     return given.mapInArrow(packed, PIECE.format(id=kind)).withColumnRenamed("doc_id", id_col)

@@ -178,6 +178,56 @@ def test_packing(docs, rows, none):
     assert pack_documents(none, path, 2).count() == 0
 
 
+def test_packing_by_spans(spark):
+    """Instruction data: loss on answers alone, three limits that bind; ids are those of whole texts."""
+    from tokenizers import Tokenizer
+
+    path = str(tokenizers.path("word_bpe_49k.json"))
+    tok = Tokenizer.from_file(path)
+    rows = []
+    for i in range(120):
+        ask, answer = f"Question number {i}: " + "what is this? " * (i % 7), "It's an ANSWER, part " * (i % 11)
+        rows.append((i, ask + answer, [(len(ask), len(ask + answer))] if i % 10 else None if i % 20 else []))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,end:int>>").repartition(2)
+    out = pack_documents(df, path, 2, limit=128, max_segments=4, max_loss=40, spans_col="spans").collect()
+    sums, bears = defaultdict(lambda: [0, 0, 0]), Counter()
+    for r in out:
+        for k, v in enumerate((r.length, 1, r.loss_tokens)):
+            sums[r.sequence_id][k] += v
+        bears[r.doc_id] += r.loss_tokens
+    tops = [max(s[k] for s in sums.values()) for k in range(3)]
+    assert tops[0] <= 128 and tops[1] == 4 and tops[2] == 40
+    for i, text, spans in rows:
+        enc = tok.encode(text, add_special_tokens=False)
+        want = len(enc.ids) + 1 if spans is None else sum(any(a < e and b > s for s, e in spans) for a, b in enc.offsets) + any(e >= len(text) > s for s, e in spans)
+        assert bears[i] == want
+        assert {r.doc_tokens for r in out if r.doc_id == i} == {len(enc.ids) + 1}
+
+
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    """The shortcuts hold for files that say so alone."""
+    import json
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from ledgerline.llm.packing import WordIds, encodes_by_piece
+    from ledgerline.llm.token_counts import counts_by_word, proto_fields
+
+    spec = json.load(open(tokenizers.path("word_bpe_49k.json")))
+    assert encodes_by_piece(spec) and not encodes_by_piece(json.load(open(tokenizers.path("byte_bpe_50k.json"))))
+    spec["normalizer"]["normalizers"].pop()
+    assert not encodes_by_piece(spec)
+    path = str(tokenizers.path("byte_bpe_50k.json"))
+    tok, texts = Tokenizer.from_file(path), ["Two words", "  It's 1 <|endoftext|>x", ""]
+    assert WordIds(path).batch(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    model = sentencepiece.SentencePieceProcessor(model_file=str(tokenizers.path("piece_bpe_32k.model"))).serialized_model_proto()
+    assert counts_by_word(model)
+    trained, normal = (v for n, v in proto_fields(model) if n in (2, 3))
+    assert not counts_by_word(model.replace(normal, normal.replace(b"\x20\x00", b"\x20\x01")))  # trims spaces
+    assert not counts_by_word(model.replace(trained, trained.replace(b"\x18\x02", b"\x18\x01", 1)))  # no pair merges
+
+
 def test_packing_limits():
     """Instruction data: three limits at once, loss on part of the tokens."""
     rng = np.random.default_rng(1)
