@@ -349,7 +349,7 @@ def test_pipeline(spark, tmp_path, rows, benchmark_items):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/d/labels.parquet")
     spark.createDataFrame(benchmark_items, "item_id long, text string").write.parquet(f"{tmp_path}/d/benchmark.parquet")
     kept = [(i, t) for i, t, *_ in data if (s := brute.statistics(t))[0] >= 50 and 100 * s[4] <= 50 * s[0]]
-    kept = [(i, t) for (i, t), (_, c) in zip(kept, brute.similar_groups(kept), strict=True) if c == i]
+    kept = [(i, t) for (i, t), (_, c) in zip(kept, brute.similar_groups(kept, size=5, percent=80), strict=True) if c == i]
     kept = [(i, k if x else t) for (i, t), (_, x, k) in zip(kept, brute.without_repeats([t for _, t in kept]), strict=True)]
     kept = [(i, t) for i, t in kept for n, h, _ in [brute.contamination(t, benchmark_items)] if not (h and 20 * h >= n)]
     docs = spark.read.parquet(f"{tmp_path}/d/documents.parquet")
