@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,31 +19,54 @@ _to_remove: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode a temporary one where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _to_remove:
+        atexit.register(_remove_all)
+    _to_remove[path] = spark
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
 
     The folder is removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = temporary(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if not _to_remove:
-        atexit.register(_remove_all)
-    _to_remove[path] = spark
     if not spark.sparkContext.master.startswith("local["):
         for _ in range(2):  # on a cluster the finished job's shuffle files go when the driver forgets them
             spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def many_to_one(rows: DataFrame, key: str, ones: DataFrame, one_key: str, of: DataFrame | None = None, part: int = 50_000) -> DataFrame:
+    """Inner join of many ``rows`` with the single row of ``ones`` for their key; a key with more than ``part`` rows is dealt into several.
+
+    ``of``: a cheap table with the same keys as often as in ``rows`` (default: ``rows``, which should then be a written table).
+    The heavy keys are broadcast: with the bound rising with the table there are never more than 100,000.
+    """
+    keys = (rows if of is None else of).select(F.col(key).alias("__heavy"))
+    limit = max(part, keys.count() // 100_000)
+    heavy = keys.groupBy("__heavy").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    heavy = F.broadcast(heavy.select("__heavy", F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
+    left = rows.join(heavy, F.col(key) == F.col("__heavy"), "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("__parts")).cast("int"))).drop("__heavy", "__parts")
+    right = ones.join(heavy, F.col(one_key) == F.col("__heavy"), "left").withColumn("__of", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__heavy", "__parts")
+    return left.join(right, (F.col(key) == F.col(one_key)) & (F.col("__part") == F.col("__of"))).drop("__part", "__of")
+
+
 def _remove_all() -> None:
     for path, spark in _to_remove.items():
         try:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import shared_dir
+from ledgerline.llm._common import temporary
 from ledgerline.llm.decontamination import contaminated, decontaminate
 from ledgerline.llm.html_extraction import extract_pages
 from ledgerline.llm.jaccard_join import similar_components
@@ -62,7 +61,7 @@ def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    path = f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex[:12]}"
+    path = temporary(spark, "warc")
     write_archive(pages, path)
     kind = pages.schema["page_id"].dataType
     return read_archive(spark, path).select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

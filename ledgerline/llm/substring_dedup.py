@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import _hashing as H
-from ledgerline.llm._common import shared_dir, written
+from ledgerline.llm._common import temporary, written
 
 #: Words in a fingerprinted gram.
 K = 8
@@ -187,7 +187,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = 35, buckets: int | None = None):
         self.spark, self.window = spark, window
-        self.path = path or f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex[:12]}"
+        self.path = path or temporary(spark, "index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
         self.batches: dict[str, int] = {}  # in each run

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm._common import many_to_one, written
+
 CRLF = "\r\n"
 #: Equal payloads of at least so many bytes are stored as one response and revisits.
 REVISIT_FROM = 100
@@ -33,12 +35,15 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     Of records with equal payloads of at least ``REVISIT_FROM`` bytes the one with the smallest id is the response and
     the others revisit it; smaller payloads are responses all. A null body is an empty payload. A null id never is the
     smallest unless all are null (then all are responses); rows that repeat the smallest id are responses too. Only
-    digests are shuffled to choose responses; payloads are collapsed to one per digest before they are shuffled.
+    digests are shuffled to choose responses; payloads are collapsed to one per digest and task before they are shuffled; a digest that
+    very many records have is dealt into several tasks wherever records meet it.
     """
-    given = pages.select(F.col(id_col).cast("string").alias("record"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(body_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
+    payload = F.coalesce(F.encode(F.col(body_col).cast("string"), "UTF-8"), F.lit(b""))
+    given = pages.select(F.col(id_col).cast("string").alias("record"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     given = given.select("record", "id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("length"), "payload")
-    first = given.groupBy("digest").agg(F.min("id").alias("first"))
-    records = given.select("record", "id", "url", "digest", "length").join(first.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"))
+    listed = written(given.drop("payload"), "warc-records")
+    first = listed.groupBy("digest").agg(F.min("id").alias("first")).withColumnRenamed("digest", "d")
+    records = many_to_one(listed, "digest", first, "d")
     revisit = (F.col("length") >= REVISIT_FROM) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     header = _header(kind, F.coalesce(F.col("record"), F.lit("")), F.col("url"), F.col("digest"), F.col("length"), F.col("first").cast("string"), date)
@@ -54,13 +59,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     head = F.decode(F.col("header"), "UTF-8")
     field = lambda name, of: F.nullif(F.regexp_extract(head, f"(?md)^{name}: {of}\r$", 1), F.lit(""))
-    headers = spark.read.parquet(f"{path}/headers").select(
+    stored = spark.read.parquet(f"{path}/headers")
+    headers = stored.select(
         field("WARC-Record-ID", "<urn:page:(.*)>").alias("record_id"), field("WARC-Target-URI", "(.*)").alias("url"), field("WARC-Type", "(.*)").alias("record_type"),
         field("WARC-Refers-To", "<urn:page:(.*)>").alias("refers_to"), field("WARC-Payload-Digest", "sha256:(.*)").alias("payload_digest"), "header",
     )
     payloads = spark.read.parquet(f"{path}/payloads")
     checked = payloads.select(F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest")))).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
-    return headers.join(checked, F.col("payload_digest") == F.col("digest")).drop("digest")
+    return many_to_one(headers, "payload_digest", checked, "digest", stored.withColumnRenamed("digest", "payload_digest")).drop("digest")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
