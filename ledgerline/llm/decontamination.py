@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import NOT_WORD, ascii_lower, row_key, words, written
+from ledgerline.llm._common import NOT_WORD, ascii_lower, many_to_one, row_key, words, written
 
-#: Benchmark fingerprints are broadcast up to this number (24 bytes each), beyond it shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Benchmark fingerprints are broadcast up to this number (24 bytes each), items up to so many bytes; beyond it they are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def winnow_parameters(span: int) -> tuple[int, int]:
@@ -24,10 +24,14 @@ def winnow_parameters(span: int) -> tuple[int, int]:
     return k, span - k + 1
 
 
-def _grams(of: Column, n: Column, k: int) -> Column:
-    """Hashes of the k-grams in turn; none if there are fewer than k words."""
+def _hashes(of: Column) -> Column:
+    return F.transform(of, lambda w: F.xxhash64(w))
+
+
+def _grams(hashes: Column, n: Column, k: Column | int) -> Column:
+    """Hashes of the k-grams in turn, from the hashes of the words; none if there are fewer than k words."""
     at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(of, i, k)))
+    return F.transform(at, lambda i: F.xxhash64(F.slice(hashes, i, k)))
 
 
 def _fingerprints(grams: Column, w: int) -> Column:
@@ -43,21 +47,27 @@ def _tagged(hashes: Column, span: int) -> Column:
 
 def _marks(texts: DataFrame, layers: list[int], *keep: str, per_text: bool = False) -> DataFrame:
     """One row per fingerprint of ``words``: the kept columns, span, hash; ``per_text`` adds a row of span 0 for each text."""
-    grams = texts.select(*keep, *(_grams(F.col("words"), F.col("n_words"), winnow_parameters(t)[0]).alias(f"grams{t}") for t in layers))
+    hashed = texts.select(*keep, F.col("n_words").alias("n"), _hashes(F.col("words")).alias("hashes"))
+    grams = hashed.select(*keep, *(_grams(F.col("hashes"), F.col("n"), winnow_parameters(t)[0]).alias(f"grams{t}") for t in layers))
     parts = [_tagged(_fingerprints(F.col(f"grams{t}"), winnow_parameters(t)[1]), t) for t in layers]
     if per_text:
         parts.append(F.array(F.struct(F.lit(0).alias("span"), F.lit(0).cast("long").alias("hash"))))
     return grams.select(*keep, F.explode(F.concat(*parts)).alias("f")).select(*keep, "f.span", "f.hash")
 
 
-def _with_runs(diagonals: DataFrame) -> DataFrame:
-    """key, item, start, end of the maximal stretches of at least ``own`` equal words along ``diagonal``."""
-    d = F.col("diagonal")
-    low, high = F.greatest(F.lit(0), d), F.least(F.size("words"), F.size("item_words") + d)
-    differ = F.filter(F.sequence(low, high), lambda i: (i == high) | (F.get("words", i) != F.get("item_words", i - d)))
-    at = diagonals.select("key", "item", "own", low.alias("low"), differ.alias("differ"))
-    stretches = F.transform("differ", lambda e, j: F.struct(F.when(j == 0, F.col("low")).otherwise(F.get("differ", j - 1) + 1).alias("start"), e.alias("end")))
-    return at.select("key", "item", "own", F.explode(stretches).alias("s")).where(F.col("s.end") - F.col("s.start") >= F.col("own")).select("key", "item", "s.start", "s.end")
+def _runs(offset: Column) -> Column:
+    """Structs (start, end) of the maximal stretches of at least ``own`` words that are equal along a diagonal of ``words`` and ``item_words``.
+
+    One pass with the stretch's start at hand; no copy of the words is made.
+    """
+    low, high = F.greatest(F.lit(0), offset), F.least(F.size("words"), F.size("item_words") + offset)
+
+    def step(acc: Column, i: Column) -> Column:
+        ends = (i == high) | (F.get("words", i) != F.get("item_words", i - offset))
+        out = F.when(ends & (i - acc["start"] >= F.col("own")), F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), i.alias("end"))))).otherwise(acc["out"])
+        return F.struct(F.when(ends, i + 1).otherwise(acc["start"]).alias("start"), out.alias("out"))
+
+    return F.aggregate(F.sequence(low, high), F.struct(low.alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("out")), step, lambda acc: acc["out"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 13) -> DataFrame:
@@ -80,7 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     index = written(_marks(index, layers, "item_key", "own").where(F.col("own") == F.col("span")).drop("own"), "benchmark-fingerprints")
     known = index.select("span", "hash").distinct().withColumn("known", F.lit(True))
     if index.count() <= BROADCAST_ROWS:
-        known, index, items = F.broadcast(known), F.broadcast(index), F.broadcast(items)
+        known, index = F.broadcast(known), F.broadcast(index)
 
     # every document's words are counted and fingerprinted in one pass; a row of span 0 stands for the document
     probe = _marks(split, layers, "id", "key", "n_words", per_text=True).join(known, ["span", "hash"], "left").where("known OR span = 0")
@@ -93,17 +103,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hit = F.broadcast(hit)
     again = texts.select("key", "text").join(hit, "key", "left_semi").dropDuplicates(["key"])
     again = again.select("key", words(ascii_lower(F.col("text")), NOT_WORD).alias("words"))
-    pairs = hits.join(again, "key").join(items.select("item_key", "item", "item_words", F.col("span").alias("own")), "item_key")
-    pairs = pairs.select("key", "item", "words", "item_words", "own", "hashes", F.expr(f"element_at(map({', '.join(f'{t}, {winnow_parameters(t)[0]}' for t in layers)}), own)").alias("k"))
+    pairs = hits.join(again, "key")
+    of = items.select(F.col("item_key").alias("item_of"), "item", "item_words", F.col("span").alias("own"))
+    if (items.agg(F.sum(F.aggregate("item_words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16))).first()[0] or 0) <= BROADCAST_BYTES:
+        pairs = pairs.join(F.broadcast(of), F.col("item_key") == F.col("item_of"))
+    else:  # an item that very many documents hold is dealt into several tasks
+        pairs = many_to_one(pairs, "item_key", of, "item_of", hits)
+    pairs = pairs.select("key", "item", "words", "item_words", "own", "hashes", F.expr(f"element_at(map({', '.join(f'{t}, {winnow_parameters(t)[0]}' for t in layers)}), own)").alias("k"), _hashes(F.col("words")).alias("w_hashes"), _hashes(F.col("item_words")).alias("i_hashes"))
 
     def places(of: str) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(of) - F.col("k") + 1), lambda i: F.struct(F.xxhash64(F.slice(of, i, F.col("k"))).alias("hash"), i.alias("at")))
         return F.filter(grams, lambda g: F.array_contains("hashes", g["hash"]))
 
-    crossed = pairs.select("key", "item", "words", "item_words", "own", places("words").alias("here"), places("item_words").alias("there"))
+    crossed = pairs.select("key", "item", "words", "item_words", "own", places("w_hashes").alias("here"), places("i_hashes").alias("there"))
     offsets = F.when(F.size("there") > 0, F.array_distinct(F.flatten(F.transform("here", lambda d: F.transform(F.filter("there", lambda b: b["hash"] == d["hash"]), lambda b: d["at"] - b["at"])))))
-    diagonals = crossed.select("key", "item", "words", "item_words", "own", F.explode(offsets).alias("diagonal"))
-    spans = written(_with_runs(diagonals).distinct(), "hits")
+    diagonals = crossed.select("key", "item", "words", "item_words", "own", offsets.alias("offsets"))
+    spans = diagonals.select("key", "item", F.explode(F.flatten(F.transform("offsets", _runs))).alias("s")).select("key", "item", "s.start", "s.end")
+    spans = written(spans.distinct(), "hits")
 
     listed = spans.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     ends = spans.groupBy("key", "start").agg(F.max("end").alias("end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ends"))
@@ -119,8 +135,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the rule doesn't find contaminated."""
+    """The rows of ``docs``, all columns (of any names), that the rule doesn't find contaminated."""
     found = decontaminate(docs, benchmark, id_col, text_col)
-    found = written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("__key")).distinct(), "contaminated")
-    key = row_key(F.col(id_col), F.col(text_col).cast("string"))
-    return docs.join(found, key == F.col("__key"), "left_anti")
+    found = written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("key").distinct(), "contaminated")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col(id_col), F.col(text_col).cast("string")).alias("key"))
+    return rows.join(found, "key", "left_anti").select("row.*")

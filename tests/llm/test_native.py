@@ -27,6 +27,20 @@ def test_decontamination(spark, docs, rows, benchmark_items, none):
     assert contaminated is not None
 
 
+def test_decontamination_without_broadcasts(spark, docs, rows, benchmark_items, monkeypatch):
+    """Beyond the bounds of the broadcasts the result is the same; columns of any name pass."""
+    from ledgerline.llm import decontamination as D
+
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    bench = spark.createDataFrame(benchmark_items, "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate(docs, bench).collect())
+    assert got == Counter((i, n, h, tuple(x)) for i, t in rows for n, h, x in [brute.contamination(t, benchmark_items)])
+    odd = docs.withColumn("__key", F.lit("k")).withColumn("row", F.lit("r")).withColumn("item", F.lit(1))
+    left = without_contaminated(odd, bench)
+    assert left.columns == odd.columns and left.where("__key = 'k' AND row = 'r'").count() == without_contaminated(docs, bench).count()
+
+
 def test_license_rules():
     table = rules()
     assert len(table) > 200 and [r[3] for r in table] == sorted(r[3] for r in table)

@@ -270,6 +270,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert read_archive(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_many_to_one(spark):
+    """A key with more rows than a part is dealt into several; the result is the plain join's."""
+    from ledgerline.llm._common import many_to_one
+
+    rows = [(None if i == 7 else "hot" if i % 3 else f"k{i}", i) for i in range(100)]
+    ones = [("hot", "H"), ("k0", "A"), ("k3", "B"), (None, "N"), ("other", "O")]
+    left, right = spark.createDataFrame(rows, "k string, v int"), spark.createDataFrame(ones, "o string, x string")
+    got = many_to_one(left, "k", right, "o", part=5)
+    assert got.columns == ["k", "v", "o", "x"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, v, o, x) for k, v in rows for o, x in ones if k is not None and k == o)
+
+
 def test_warc_detects_damage(spark, tmp_path):
     write_archive(spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string"), f"file://{tmp_path}/a")
     bad = spark.createDataFrame([(r.digest, b"other") for r in spark.read.parquet(f"file://{tmp_path}/a/payloads").collect()], "digest string, payload binary")
