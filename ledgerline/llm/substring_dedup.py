@@ -119,11 +119,12 @@ def _windows(window: int, blocks: int):
             known = (weight > 1)[np.cumsum(new) - 1]
             rows = []
             order, ends = _blocks(one[first], blocks)
+            done_unit, done_at = unit[known], place[known]
+            done, done_ends = _blocks(one[known], blocks)  # with their window, so that no block gets them all
             for b in np.flatnonzero(np.diff(ends)):
-                part = order[ends[b] : ends[b + 1]]
+                part, own = order[ends[b] : ends[b + 1]], done[done_ends[b] : done_ends[b + 1]]
                 at_ = first[part]
-                rows.append([int(b), unit[at_].tobytes(), place[at_].tobytes(), one[at_].tobytes(), two[at_].tobytes(), weight[part].tobytes(), b"", b""])
-            rows[0][6:] = unit[known].tobytes(), place[known].tobytes()
+                rows.append([int(b), unit[at_].tobytes(), place[at_].tobytes(), one[at_].tobytes(), two[at_].tobytes(), weight[part].tobytes(), done_unit[own].tobytes(), done_at[own].tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)], ["block", "unit", "at", "h1", "h2", "weight", "done_unit", "done_at"])
 
     return found
