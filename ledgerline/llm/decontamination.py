@@ -28,8 +28,12 @@ def _hashes(of: Column) -> Column:
     return F.transform(of, lambda w: F.xxhash64(w))
 
 
-def _grams(hashes: Column, n: Column, k: Column | int) -> Column:
-    """Hashes of the k-grams in turn, from the hashes of the words; none if there are fewer than k words."""
+def _grams(hashes: Column, k: int) -> Column:
+    """Hashes of the k-grams in turn, from the hashes of the words; none if there are fewer than k words.
+
+    ``hashes`` is a column of its own, mentioned twice: so the optimizer doesn't compute it anew for each gram.
+    """
+    n = F.size(hashes)
     at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.xxhash64(F.slice(hashes, i, k)))
 
@@ -47,8 +51,8 @@ def _tagged(hashes: Column, span: int) -> Column:
 
 def _marks(texts: DataFrame, layers: list[int], *keep: str, per_text: bool = False) -> DataFrame:
     """One row per fingerprint of ``words``: the kept columns, span, hash; ``per_text`` adds a row of span 0 for each text."""
-    hashed = texts.select(*keep, F.col("n_words").alias("n"), _hashes(F.col("words")).alias("hashes"))
-    grams = hashed.select(*keep, *(_grams(F.col("hashes"), F.col("n"), winnow_parameters(t)[0]).alias(f"grams{t}") for t in layers))
+    hashed = texts.select(*keep, _hashes(F.col("words")).alias("hashes"))
+    grams = hashed.select(*keep, *(_grams(F.col("hashes"), winnow_parameters(t)[0]).alias(f"grams{t}") for t in layers))
     parts = [_tagged(_fingerprints(F.col(f"grams{t}"), winnow_parameters(t)[1]), t) for t in layers]
     if per_text:
         parts.append(F.array(F.struct(F.lit(0).alias("span"), F.lit(0).cast("long").alias("hash"))))

@@ -41,6 +41,17 @@ def test_decontamination_without_broadcasts(spark, docs, rows, benchmark_items,
     assert left.columns == odd.columns and left.where("__key = 'k' AND row = 'r'").count() == without_contaminated(docs, bench).count()
 
 
+def test_decontamination_of_long_texts(spark):
+    """One layer of 13 words and texts of 20,000: each gram is hashed from words that are hashed once."""
+    import time
+
+    long = " ".join(f"w{i % 900}" for i in range(20000))
+    item = " ".join(f"w{i}" for i in range(100, 120))
+    began = time.monotonic()
+    out = decontaminate(spark.createDataFrame([(i, long) for i in range(8)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.n_hit for r in out} == {20 * 23} and time.monotonic() - began < 60
+
+
 def test_license_rules():
     table = rules()
     assert len(table) > 200 and [r[3] for r in table] == sorted(r[3] for r in table)
