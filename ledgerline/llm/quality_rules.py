@@ -14,7 +14,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import SPACE, words, written
+from ledgerline.llm._common import SPACE, words
 
 #: Labelled rows that a fit uses at most: those with the smallest hash of their id.
 SAMPLE = 4000
@@ -206,22 +206,26 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     The list is fitted on at most SAMPLE labelled rows; without usable labels it is empty and only the base rule counts.
     Null and empty texts have no words and so fail the base rule. Repeated rows each give a row; null ids stay null; other
-    columns are ignored; an empty table gives no rows. Needs no shuffle of texts; the statistics (numbers only) are written once.
+    columns are ignored; an empty table gives no rows. Needs no shuffle of texts.
     """
     rules = learn_rules(labelled_sample(docs, labels, id_col, text_col, label_col))
-    # written: a filter on the result would otherwise be pushed below the statistics and repeat them at each mention
-    rows = with_features(written(text_statistics(docs, F.col(id_col), text=F.col(text_col)), "statistics"))
-    return rows.select(id_col, *STATISTICS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+    rows = with_features(_computed_once(text_statistics(docs, F.col(id_col), text=F.col(text_col))))
+    found = {c: F.col(c) for c in STATISTICS} | {"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)}
+    return rows.select(id_col, *(F.when(F.col("__at") >= 0, c).alias(name) for name, c in found.items()))
 
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _computed_once(statistics: DataFrame) -> DataFrame:
+    """With a row number ``__at``, below which no filter is pushed: pushed into the statistics, it would repeat them at each mention."""
+    return statistics.withColumn("__at", F.monotonically_increasing_id())
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs``, all columns, that ``judge_quality`` keeps."""
     learned = learn_rules(labelled_sample(docs, labels, id_col, text_col, label_col))
     given = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__t"))
     rows = text_statistics(given, F.col("__row"), text=F.col("__t"))
-    # a filter isn't pushed below a row number; pushed into the statistics it would repeat them at each mention
-    rows = with_features(rows.withColumn("__at", F.monotonically_increasing_id()))
+    rows = with_features(_computed_once(rows))
     return rows.where((F.col("__at") >= 0) & ~base_failed() & verdict(learned)).select("__row.*")
