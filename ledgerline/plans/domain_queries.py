@@ -248,6 +248,14 @@ def unified_from_capture(spark, sf_dir):
 
 # workflow
 
+
+def stepped(rows: str, key: str, start: str, step: str, out: str) -> str:
+    """SQL of an ordered fold: ``rows`` (with ``key``, ``at``) are numbered; ``start`` and ``step`` give the state before them and after each."""
+    return f"""WITH RECURSIVE {rows}, r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY "at") AS rn FROM rows_),
+        f AS (SELECT DISTINCT {key}, 0::BIGINT AS rn, NULL::BIGINT AS "at", {start} FROM r UNION ALL SELECT r.{key}, r.rn, r."at", {step} FROM f JOIN r ON r.{key} = f.{key} AND r.rn = f.rn + 1)
+        SELECT {out} FROM f WHERE rn > 0"""
+
+
 DAG = "p AS (SELECT p_partkey AS node FROM part), deps AS (SELECT DISTINCT node, dep FROM (SELECT node, unnest([node // 2, node // 3]) AS dep FROM p WHERE node > 0) WHERE dep <> node AND dep IN (SELECT node FROM p))"
 
 
@@ -277,26 +285,42 @@ def dag_winner(spark, sf_dir):
     return e.groupBy((F.col("event_id") % 50).alias("node")).agg(F.min("event_id").alias("winner"), F.min_by(F.col("user_id") % 4, "event_id").alias("worker"))
 
 
-@query()
+@query(stepped(
+    "rows_ AS (SELECT event_id % 50 AS node, event_id AS \"at\", user_id % 4 AS worker, epoch_us(ts) // 1000 AS ms, event_type = 'purchase' AND event_id > 900 AS commit_ FROM events)", "node",
+    "NULL::BIGINT AS holder, NULL::BIGINT AS expiry, FALSE AS done, FALSE AS granted",
+    """CASE WHEN f.done THEN f.holder WHEN r.commit_ THEN coalesce(f.holder, r.worker) WHEN f.holder IS NULL OR f.holder = r.worker OR f.expiry <= r.ms THEN r.worker ELSE f.holder END,
+        CASE WHEN f.done OR r.commit_ THEN f.expiry WHEN f.holder = r.worker THEN greatest(coalesce(f.expiry, 0), r.ms + 600000) WHEN f.holder IS NULL OR f.expiry <= r.ms THEN r.ms + 600000 ELSE f.expiry END,
+        f.done OR r.commit_, NOT f.done AND NOT r.commit_ AND (f.holder IS NULL OR f.holder = r.worker OR f.expiry <= r.ms)""",
+    'node, "at", holder, granted',
+))
 def lease_holder(spark, sf_dir):
     e = T.table(spark, sf_dir, "events")
     rows = e.select((F.col("event_id") % 50).alias("node"), F.col("event_id").alias("at"), (F.col("user_id") % 4).alias("worker"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.lit(600_000).cast("long").alias("ttl"), ((F.col("event_type") == "purchase") & (F.col("event_id") > 900)).alias("commit"))
     return folds.leases(rows)
 
 
-@query()
+@query(stepped(
+    "x AS (SELECT 1), " + T.RECORDS + """, rows_ AS (SELECT producer_id % 11 AS key, "offset" AS "at", v % 3 = 0 AS claims, v % 4 AS by_, v % 5 AS to_ FROM records)""", "key",
+    "NULL::BIGINT AS holder", "CASE WHEN r.claims THEN r.by_ WHEN f.holder = r.by_ THEN r.to_ ELSE f.holder END", 'key, "at", holder',
+))
 def control_holder(spark, sf_dir):
     r = T.records(spark, sf_dir)
     return folds.control_token(r.select((F.col("producer_id") % 11).alias("key"), F.col("offset").alias("at"), F.when(F.col("v") % 3 == 0, "claim").otherwise("grant").alias("verb"), (F.col("v") % 4).alias("by"), (F.col("v") % 5).alias("to")))
 
 
-@query()
+@query(stepped(
+    "x AS (SELECT 1), " + T.RECORDS + """, rows_ AS (SELECT producer_id AS producer, "offset" AS "at", producer_seq AS seq, CASE WHEN v % 9 = 0 THEN 'refuse' WHEN v % 5 = 0 THEN 'commit' ELSE 'publish' END AS verb FROM records)""", "producer",
+    "NULL::BIGINT AS fence, FALSE AS accepted",
+    """CASE WHEN r.verb = 'refuse' THEN least(coalesce(f.fence, r.seq), r.seq) WHEN r.verb = 'commit' AND r.seq <= f.fence THEN NULL ELSE f.fence END,
+        r.verb <> 'refuse' AND (f.fence IS NULL OR r.seq <= f.fence)""",
+    'producer, "at", accepted',
+))
 def sticky_fence(spark, sf_dir):
     r = T.records(spark, sf_dir)
     return folds.sticky_fence(r.select(F.col("producer_id").alias("producer"), F.col("offset").alias("at"), F.col("producer_seq").alias("seq"), F.when(F.col("v") % 9 == 0, "refuse").when(F.col("v") % 5 == 0, "commit").otherwise("publish").alias("verb")))
 
 
-@query()
+@query(stepped("x AS (SELECT 1), " + T.RECORDS + """, rows_ AS (SELECT producer_id AS key, "offset" AS "at", body FROM records)""", "key", "'' AS hash", "sha256(f.hash || '|' || r.body)", 'key, "at", hash'))
 def hash_chain(spark, sf_dir):
     r = T.records(spark, sf_dir)
     return folds.hash_chain(r.select(F.col("producer_id").alias("key"), F.col("offset").alias("at"), "body"))
@@ -309,7 +333,14 @@ def osc_marks(spark, sf_dir):
     return folds.osc_marks(s.select(F.col("session").alias("key"), F.col("offset").alias("at"), text.alias("text")))
 
 
-@query()
+@query(stepped(
+    "x AS (SELECT 1), " + T.RECORDS + """, rows_ AS (SELECT producer_id % 7 AS key, "offset" AS "at", bt_ms AS ms, CASE kind WHEN 'signup' THEN 'control' WHEN 'error' THEN 'note' ELSE 'task' END AS what FROM records)""", "key",
+    "[]::BIGINT[] AS stamps, '' AS decision, NULL::BIGINT AS retry_ms",
+    """CASE WHEN r.what = 'task' AND len(list_filter(f.stamps, lambda s: r.ms - s < 600000)) < 2 THEN list_append(list_filter(f.stamps, lambda s: r.ms - s < 600000), r.ms) ELSE list_filter(f.stamps, lambda s: r.ms - s < 600000) END,
+        CASE WHEN r.what = 'note' THEN 'SilentNote' WHEN r.what = 'task' AND len(list_filter(f.stamps, lambda s: r.ms - s < 600000)) >= 2 THEN 'Throttled' ELSE 'Wake' END,
+        CASE WHEN r.what = 'task' AND len(list_filter(f.stamps, lambda s: r.ms - s < 600000)) >= 2 THEN 600000 - (r.ms - list_filter(f.stamps, lambda s: r.ms - s < 600000)[1]) END""",
+    'key, "at", decision, retry_ms',
+))
 def wake_budget(spark, sf_dir):
     r = T.records(spark, sf_dir)
     kind = F.when(F.col("kind") == "signup", "control").when(F.col("kind") == "error", "note").otherwise("task")
@@ -621,24 +652,43 @@ def map_diff(spark, sf_dir):
 # hashes
 
 
+def sql_bytes(text: str) -> str:
+    """A text's bytes as a list of wide numbers, in SQL."""
+    return f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::UHUGEINT)"
+
+
+def sql_fnv(words: str) -> str:
+    return f"list_reduce(list_prepend({hashes.FNV_OFFSET}::UHUGEINT, {words}), lambda h, b: (xor(h, b) * {hashes.FNV_PRIME}::UHUGEINT) % {1 << 64}::UHUGEINT)"
+
+
+def sql_crc(text: str) -> str:
+    """A reflected CRC-32; ``crc_table`` must be in the query."""
+    return f"xor({0xFFFFFFFF}::UHUGEINT, list_reduce(list_prepend({0xFFFFFFFF}::UHUGEINT, {sql_bytes(text)}), lambda c, b: xor(crc_table[((xor(c, b) % 256)::BIGINT) + 1], c >> 8)))::BIGINT"
+
+
+def sql_crc_table(polynomial: int) -> str:
+    return f"crcs AS MATERIALIZED (SELECT list(v ORDER BY i) AS crc_table FROM (SELECT i, list_reduce(list_prepend(i::UHUGEINT, [0::UHUGEINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, CASE WHEN c % 2 = 1 THEN {polynomial}::UHUGEINT ELSE 0::UHUGEINT END)) AS v FROM range(256) r(i)))"
+
+
+
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
 def sha256_of(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
 
 
-@query()
+@query(R + " SELECT subject, format('{:016x}', (" + sql_fnv(sql_bytes("subject")) + ")::UBIGINT) AS hash FROM (SELECT DISTINCT subject FROM records)")
 def fnv1a(spark, sf_dir):
-    return T.records(spark, sf_dir).select("subject").distinct().select("subject", hashes.fnv1a_hex("subject").alias("hash"))
+    return T.records(spark, sf_dir).select("subject").distinct().select("subject", hashes.fnv1a_hex(F.col("subject")).alias("hash"))
 
 
-@query()
+@query(R + ' SELECT "offset", ((' + sql_fnv(sql_bytes("producer_id::VARCHAR")) + ") % 16)::INT AS partition FROM records")
 def partition_assign(spark, sf_dir):
     return T.records(spark, sf_dir).select("offset", hashes.assign_partition(F.col("producer_id"), 16).alias("partition"))
 
 
-@query()
+@query(R + ", " + sql_crc_table(hashes.CRC32C_POLYNOMIAL) + ' SELECT "offset", ' + sql_crc("body") + " AS crc FROM records, crcs")
 def crc32c(spark, sf_dir):
-    return T.records(spark, sf_dir).select("offset", hashes.crc32c("body").alias("crc"))
+    return T.records(spark, sf_dir).select("offset", hashes.crc32c(F.col("body")).alias("crc"))
 
 
 # joins that the above rely on

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import subjects as S
 from ledgerline.operators import summary
+from ledgerline.plans.domain_queries import sql_crc, sql_crc_table
 from ledgerline.plans.registry import query
 from ledgerline.sources import tables as T
 
@@ -135,7 +136,7 @@ def base64_hex(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", F.base64(F.encode("lang", "UTF-8")).alias("b64"), F.lower(F.hex(F.encode("source", "UTF-8"))).alias("hexed"))
 
 
-@query()
+@query("WITH " + sql_crc_table(0xEDB88320) + " SELECT doc_id, " + sql_crc("text") + " AS crc FROM documents, crcs")
 def crc32_of(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
 
