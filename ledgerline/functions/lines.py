@@ -128,3 +128,13 @@ def producer_id(principal: Column, domain: str = "ledgerline-producer") -> Colum
     high = F.concat(*(F.substring(digest, 2 * i + 1, 2) for i in range(7, 3, -1)))
     low = F.concat(*(F.substring(digest, 2 * i + 1, 2) for i in range(3, -1, -1)))
     return F.shiftleft(F.conv(high, 16, 10).cast("long"), 32).bitwiseOR(F.conv(low, 16, 10).cast("long"))
+
+
+def strict_json(doc: Column) -> Column:
+    """A document as a variant; null unless the text is one whole document.
+
+    The parser alone ignores what follows a document. Inside brackets and inside braces at once, nothing can follow.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]"))), "$", "array<variant>")
+    inside = F.try_parse_json(F.concat(F.lit('{"a":'), doc, F.lit("}")))
+    return F.when((F.size(listed) == 1) & inside.isNotNull(), F.try_parse_json(doc))
