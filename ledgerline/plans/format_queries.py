@@ -158,14 +158,14 @@ def tag_equal(spark, sf_dir):
     return T.records(spark, sf_dir).select("offset", (tag(F.col("body")) == tag(F.when(F.col("v") % 4 == 0, F.concat(F.col("body"), F.lit("."))).otherwise(F.col("body")))).alias("genuine"))
 
 
-DOCS = """d AS (SELECT "offset", CASE "offset" % 6 WHEN 0 THEN body WHEN 1 THEN body || 'x' WHEN 2 THEN '{"a": 01}' WHEN 3 THEN '{"a": [1, {"b": "q\\u00e9"}], "z": null}' WHEN 4 THEN '[1, 2,]' ELSE '"' || kind || '"' END AS doc FROM records)"""
+DOCS = """d AS (SELECT "offset", CASE "offset" % 6 WHEN 0 THEN body WHEN 1 THEN body || 'x' WHEN 2 THEN '{"a": 01}' WHEN 3 THEN '{"a": [1, {"b": "q\\u00e9"}], "z": null}' WHEN 4 THEN '[1 2]' ELSE '"' || kind || '"' END AS doc FROM records)"""
 
 
 @query(R + ", " + DOCS + """ SELECT "offset", json_valid(doc) AS valid, CASE WHEN json_valid(doc) THEN json(doc)::VARCHAR END AS rendered, CASE WHEN json_valid(doc) THEN json_extract_string(doc, '$.a[1].b') END AS b FROM d""")
 def json_documents(spark, sf_dir):
     """Strictly read documents, rendered again, and a member of a member."""
     o = F.col("offset")
-    doc = F.when(o % 6 == 0, F.col("body")).when(o % 6 == 1, F.concat(F.col("body"), F.lit("x"))).when(o % 6 == 2, F.lit('{"a": 01}')).when(o % 6 == 3, F.lit('{"a": [1, {"b": "q\\u00e9"}], "z": null}')).when(o % 6 == 4, F.lit("[1, 2,]")).otherwise(F.concat(F.lit('"'), F.col("kind"), F.lit('"')))
+    doc = F.when(o % 6 == 0, F.col("body")).when(o % 6 == 1, F.concat(F.col("body"), F.lit("x"))).when(o % 6 == 2, F.lit('{"a": 01}')).when(o % 6 == 3, F.lit('{"a": [1, {"b": "q\\u00e9"}], "z": null}')).when(o % 6 == 4, F.lit("[1 2]")).otherwise(F.concat(F.lit('"'), F.col("kind"), F.lit('"')))
     rows = T.records(spark, sf_dir).select("offset", L.strict_json(doc).alias("v"))
     return rows.select("offset", F.col("v").isNotNull().alias("valid"), F.to_json("v").alias("rendered"), F.try_variant_get("v", "$.a[1].b", "string").alias("b"))
 
