@@ -31,8 +31,8 @@ def dominates(a: DataFrame, b: DataFrame) -> DataFrame:
     return short.agg((F.count(F.lit(1)) == 0).alias("dominates"))
 
 
-def heal(edges: DataFrame, cut: DataFrame, checkpoint=None, rounds: int = 1000) -> DataFrame:
-    """The smallest consistent cut that holds this one: causes are let in until none is missing.
+def heal(edges: DataFrame, cut: DataFrame, checkpoint=None) -> DataFrame:
+    """The smallest consistent cut that holds this one: causes are let in until none is missing; each round lets some in, so there is an end.
 
     ``checkpoint`` cuts lineage each round (a written table on a cluster); by default a reliable checkpoint.
     """
@@ -40,19 +40,28 @@ def heal(edges: DataFrame, cut: DataFrame, checkpoint=None, rounds: int = 1000)
     if checkpoint is None:
         _ensure_checkpoint_dir(spark)
         checkpoint = lambda df: df.checkpoint()
-    for _ in range(rounds):
+    while True:
         missing = violations(edges, cut).groupBy("cause_stream").agg(F.max("cause_off").alias("upto")).withColumnRenamed("cause_stream", "stream")
         missing = checkpoint(missing)
         if missing.isEmpty():
             return cut
         cut = checkpoint(join(cut, missing))
-    raise RuntimeError("no fixed point")
 
 
-def _ensure_checkpoint_dir(spark) -> None:
-    """The folder in spark.checkpoint.dir is used as it is; only where that is unset, as in tests, a temporary one."""
+def shared_folder(spark) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; in local mode a temporary one where that is unset, as in tests."""
+    import re
     import tempfile
 
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-"))
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def _ensure_checkpoint_dir(spark) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

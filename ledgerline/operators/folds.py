@@ -138,3 +138,101 @@ def osc_marks(rows: DataFrame) -> DataFrame:
         return out
 
     return fold(rows, "key", "at", dict, step, "key long, at long, kind string, exit int")
+
+
+def rate_bucket(rows: DataFrame, rate_ms: int = 1000, burst: int = 3) -> DataFrame:
+    """rows: key, at, ms. A token comes every ``rate_ms``, up to ``burst``; a record takes one or is refused with the wait.
+
+    The state is the instant at which the bucket would be full again: no fractions.
+    """
+
+    def step(state: dict, r: dict) -> list[tuple]:
+        full = max(state.get("full", r["ms"]), r["ms"])
+        wait = full + rate_ms - r["ms"] - burst * rate_ms
+        if wait > 0:
+            return [(r["key"], r["at"], False, wait)]
+        state["full"] = full + rate_ms
+        return [(r["key"], r["at"], True, 0)]
+
+    return fold(rows, "key", "at", dict, step, "key long, at long, accepted boolean, wait_ms long")
+
+
+#: What a line discipline shows for control input: carriage return and line feed as both, rubout as back, space, back. Fixed values.
+ECHOES = {"\r": "\r\n", "\n": "\r\n", "\x7f": "\x08 \x08", "\x08": "\x08 \x08"}
+#: Escape sequences of keys, which show nothing.
+KEY_SEQUENCE = re.compile(r"\x1b(?:\[[ -?]*[@-~]|[\]PX^_].*?(?:\x07|\x1b\\\\)|[ -/]*[0-~])", re.S)
+
+
+def echo_of(text: str) -> list[str]:
+    """What each character of an input shows: itself, or a caret and a letter for control characters."""
+    return [ECHOES.get(c) or (f"^{chr(ord(c) + 64)}" if c < " " and c != "\t" else c) for c in KEY_SEQUENCE.sub("", text)]
+
+
+class EchoQueue:
+    """Inputs whose echo is awaited, first in first out; output is matched to them character by character."""
+
+    def __init__(self):
+        self.waiting: deque[list] = deque()  # [offset of the input, what its character shows]
+        self.newest: int | None = None
+
+    def put(self, at: int, text: str) -> None:
+        self.waiting += ([at, shown] for shown in echo_of(text))
+
+    def answer(self, out: str) -> list[tuple[int, int, int]]:
+        """(input, from, to) of the parts of an output that echo inputs; the rest is the program's own."""
+        spans: list[tuple[int, int, int]] = []
+        i = 0
+        while i < len(out) and self.waiting:
+            at, shown = self.waiting[0]
+            if shown == "\x08 \x08" and out[i] == "^" and out[i + 1 : i + 2] in ("", "?"):
+                self.waiting[0][1] = shown = "^?"  # rubouts may be shown so
+            if out[i] == shown[0]:
+                rest = shown[1:]
+            elif shown == "\r\n" and out[i] == "\n":
+                rest = ""  # a bare line feed will do
+            else:
+                break
+            i += 1
+            self.newest = at if self.newest is None else max(at, self.newest)
+            spans = [*spans[:-1], (at, spans[-1][1], i)] if spans and spans[-1][0] == at and spans[-1][2] == i - 1 else [*spans, (at, i - 1, i)]
+            if rest:
+                self.waiting[0][1] = rest
+            else:
+                self.waiting.popleft()
+        return spans
+
+
+def attribute_echoes(rows: DataFrame) -> DataFrame:
+    """rows: key, at, kind (In, Out), text. For each output that echoes inputs: the span of each, and the newest input seen so far."""
+
+    def step(state: EchoQueue, r: dict) -> list[tuple]:
+        if r["kind"] == "In":
+            state.put(r["at"], r["text"])
+            return []
+        return [(r["key"], r["at"], at, a, b, state.newest) for at, a, b in state.answer(r["text"])] if r["kind"] == "Out" else []
+
+    return fold(rows, "key", "at", EchoQueue, step, "key long, at long, input long, begin int, end int, newest long")
+
+
+def predict(rows: DataFrame) -> DataFrame:
+    """rows: key, at, kind (In, Out), text. Each input's echo is shown at once; the verdict on it comes with the output.
+
+    Right: all of an input's echo came; wrong: the output went on otherwise, and what else was predicted is dropped.
+    """
+
+    def step(state: EchoQueue, r: dict) -> list[tuple]:
+        if r["kind"] == "In":
+            state.put(r["at"], r["text"])
+            return []
+        if r["kind"] != "Out" or not state.waiting:
+            return []
+        inputs = dict.fromkeys(at for at, _ in state.waiting)
+        echoed = sum(b - a for _, a, b in state.answer(r["text"]))
+        left = dict.fromkeys(at for at, _ in state.waiting)
+        out = [(r["key"], at, r["at"], "Right") for at in inputs if at not in left]
+        if echoed < len(r["text"]) and left:
+            state.waiting.clear()
+            out += [(r["key"], at, r["at"], "Wrong") for at in left]
+        return out
+
+    return fold(rows, "key", "at", EchoQueue, step, "key long, input long, at long, verdict string")

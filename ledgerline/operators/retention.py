@@ -80,3 +80,28 @@ def record_age(rows: DataFrame, stamps: DataFrame, now: int) -> DataFrame:
     parts = both.select("part").distinct().join(firsts, "part", "left")
     later = parts.withColumn("next", F.first("first", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))).select("part", "next")
     return inner.where("side = 1").join(F.broadcast(later), "part").select("offset", F.coalesce("found", "next", F.lit(now)).alias("ms"))
+
+
+def write_segments(log: DataFrame, path: str, size: int) -> None:
+    """The log as segment folders named by their base offset, each of ``size`` offsets."""
+    base = (F.floor(F.col("offset") / size) * size).cast("long")
+    log.withColumn("segment", base).repartition("segment").write.mode("overwrite").partitionBy("segment").parquet(path)
+
+
+def unlink_below(spark, path: str, floor: int, size: int) -> None:
+    """Removes the segments that lie wholly below an offset; names alone decide, no record is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(hadoop):
+        name = status.getPath().getName()
+        if name.startswith("segment=") and int(name[8:]) + size <= floor:
+            files.delete(status.getPath(), True)
+
+
+def compact(log: DataFrame, held: DataFrame, cut: int, path: str) -> None:
+    """Rewrites the log from a cut: records below it go unless they are in ``held`` (offset). Offsets stay as they were.
+
+    The new log is written whole beside the old one; a reader changes over when the folder's success mark is there.
+    """
+    kept = log.where(F.col("offset") < cut).join(held.select("offset").distinct(), "offset", "left_semi")
+    log.where(F.col("offset") >= cut).unionByName(kept).write.mode("overwrite").parquet(path)

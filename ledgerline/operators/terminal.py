@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\x1b\[([?>=!]?)([0-9;:]*)([ -/]*)([@-~])|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[PX^_].*?\x1b\\|\x1b[()*+].|\x1b([78DEMc=>])|[\x00-\x1a\x1c-\x1f\x7f]|[^\x00-\x1f\x7f]+", re.S)
 #: A sequence that goes on in the next record.
@@ -175,27 +178,108 @@ class Screen:
     def text(self) -> list[str]:
         return ["".join(line).rstrip() for line in self.cells]
 
+    def dump(self) -> str:
+        """All state as text; ``load`` goes on from there."""
+        return json.dumps([self.cols, self.rows, self.cells, self.row, self.col, self.top, self.bottom, self.wrap, self.saved, self.main, self.rest])
+
+    @classmethod
+    def load(cls, text: str) -> Screen:
+        cols, rows, *rest = json.loads(text)
+        out = cls(cols, rows)
+        out.cells, out.row, out.col, out.top, out.bottom, out.wrap, out.saved, out.main, out.rest = rest
+        return out
+
+    def apply(self, r) -> None:
+        if r.kind == "Out":
+            self.feed(r.text)
+        elif r.kind == "Resize":
+            self.resize(int(r.cols), int(r.rows))
+
+    def hash(self) -> str:
+        """Of what is shown: size, cells and cursor."""
+        return f"{xxhash.xxh3_64_intdigest(json.dumps([self.cols, self.rows, self.cells, self.row, self.col])):016x}"
+
+
+def _each(batches: Iterator[pd.DataFrame], cols: int, rows: int) -> Iterator[tuple]:
+    """(row, screen after it, whether the key ends there is told by the next) of sorted records; a Snapshot record sets the state."""
+    key = screen = None
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if screen is None or r.key != key:
+                key, screen = r.key, Screen(cols, rows)
+            if r.kind == "Snapshot":
+                screen = Screen.load(r.text)
+            else:
+                screen.apply(r)
+            yield r, screen
+
+
+def _folded(records: DataFrame, cols: int, rows: int, schema: str, row: Callable[[object, Screen], tuple], last_only: bool) -> DataFrame:
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, before = [], None
+        for r, screen in _each(batches, cols, rows):
+            if last_only:
+                if before is not None and before[0].key != r.key:
+                    out.append(row(*before))
+                before = r, screen
+            elif r.kind != "Snapshot":
+                out.append(row(r, screen))
+            if len(out) >= 1000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if before is not None:
+            out.append(row(*before))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return records.repartition("key").sortWithinPartitions("key", "at").mapInPandas(fold, schema)
+
 
 def fold_screens(records: DataFrame, cols: int = 80, rows: int = 24) -> DataFrame:
     """records: key, at, kind (Out, Resize, others paint nothing), text, cols, rows. Each key's final screen, rows streamed in order."""
+    return _folded(records, cols, rows, "key long, screen string, row int, col int", lambda r, s: (r.key, "\n".join(s.text()).rstrip("\n"), s.row, s.col), True)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = screen = None
-
-        def done() -> pd.DataFrame:
-            return pd.DataFrame({"key": [key], "screen": ["\n".join(screen.text()).rstrip("\n")], "row": [screen.row], "col": [screen.col]})
-
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if screen is None or r.key != key:
-                    if screen is not None:
-                        yield done()
-                    key, screen = r.key, Screen(cols, rows)
-                if r.kind == "Out":
-                    screen.feed(r.text)
-                elif r.kind == "Resize":
-                    screen.resize(int(r.cols), int(r.rows))
-        if screen is not None:
-            yield done()
-
-    return records.repartition("key").sortWithinPartitions("key", "at").mapInPandas(fold, "key long, screen string, row int, col int")
+
+def frames(records: DataFrame, cols: int = 80, rows: int = 24) -> DataFrame:
+    """(key, at, hash, last_line) after each record: a hash of what is shown, and the last line with text."""
+    return _folded(records, cols, rows, "key long, at long, hash string, last_line string", lambda r, s: (r.key, r.at, s.hash(), next((t for t in reversed(s.text()) if t), "")), False)
+
+
+def materialize(records: DataFrame, cut: DataFrame | None = None, cols: int = 80, rows: int = 24) -> DataFrame:
+    """Snapshots (key, folded_through, state, screen) of each key's records up to its offset in ``cut`` (key, upto); all without one."""
+    part = records if cut is None else records.join(cut.select(F.col("key").alias("__k"), "upto"), F.col("key") == F.col("__k")).where("at <= upto").drop("__k", "upto")
+    return _folded(part, cols, rows, "key long, folded_through long, state string, screen string", lambda r, s: (r.key, r.at, s.dump(), "\n".join(s.text()).rstrip("\n")), True)
+
+
+def resume(snapshots: DataFrame, records: DataFrame, cols: int = 80, rows: int = 24) -> DataFrame:
+    """Each key's final screen from its snapshot and the records after it; equal to the fold of all. A key without a snapshot starts anew."""
+    known = snapshots.select(F.col("key").alias("__k"), "folded_through")
+    rest = records.join(known, F.col("key") == F.col("__k"), "left").where("folded_through IS NULL OR at > folded_through").drop("__k", "folded_through")
+    first = snapshots.select("key", F.col("folded_through").alias("at"), F.lit("Snapshot").alias("kind"), F.col("state").alias("text"), F.lit(cols).alias("cols"), F.lit(rows).alias("rows"))
+    return fold_screens(rest.select(*first.columns).union(first), cols, rows)
+
+
+#: Ends of a line that mean that a program waits, by profile. Fixed values.
+PROFILES = {
+    "common": ["❯", ">>>", "$", "%", "#"],
+    "claude": ["❯"],
+    "codex": [],
+    "repl": [">>>", "...", "irb>", "iex>", "sqlite>"],
+    "emacs": ["ELISP>", "Eval:", "M-x", "eshell>"],
+    "shell": ["$", "%", "#"],
+    "none": [],
+}
+
+
+def settled(records: DataFrame, profile: str = "common", cols: int = 80, rows: int = 24) -> DataFrame:
+    """(key, quiesced, prompt): the last record that changed a key's screen, and whether the last line with text there ends like a prompt of the profile."""
+    shown = frames(records, cols, rows)
+    before = F.lag("hash").over(Window.partitionBy("key").orderBy("at"))
+    changed = shown.withColumn("before", before).where("NOT (before <=> hash)")
+    marks = PROFILES[profile]
+    ends = F.lit(False)
+    for m in marks:
+        ends = ends | F.endswith(F.rtrim("last_line"), F.lit(m))
+    return changed.groupBy("key").agg(F.max(F.struct("at", "last_line")).alias("l")).select("key", F.col("l.at").alias("quiesced"), F.col("l.last_line").alias("last_line")).select("key", "quiesced", ends.alias("prompt"))

@@ -185,3 +185,167 @@ def test_fold_screens(spark):
     rows = [(1, 0, "Out", "ab\r\n", 0, 0), (1, 1, "In", "zzz", 0, 0), (1, 2, "Resize", "", 5, 2), (1, 3, "Out", "cd", 0, 0), (2, 0, "Out", "x", 0, 0)]
     got = fold_screens(spark.createDataFrame(rows, "key long, at long, kind string, text string, cols int, rows int"), 10, 4)
     assert {r.key: (r.screen, r.row, r.col) for r in got.collect()} == {1: ("ab\ncd", 1, 2), 2: ("x", 0, 1)}
+
+
+def test_codes(spark):
+    """Codes of the JVM expressions beside plain versions."""
+    from pyspark.sql import functions as F
+
+    values = [0, 1, -1, 63, 64, -64, 300, 2**62, -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(v, f"t{v}é") for v in values], "v long, t string")
+    v, t = F.col("v"), F.col("t")
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return (out + bytes([n])).hex()
+
+    def mix(seed, n):
+        m = (1 << 64) - 1
+        z = (seed + n * hashes.MIX_STEP) & m
+        z = ((z ^ z >> 30) * hashes.MIX_FACTORS[0]) & m
+        z = ((z ^ z >> 27) * hashes.MIX_FACTORS[1]) & m
+        return f"{z ^ z >> 31:016x}"
+
+    zig = hashes.zigzag(v)
+    rows = df.select("v", "t", hashes.varint_hex(zig).alias("code"), hashes.from_zigzag(hashes.from_varint_hex(hashes.varint_hex(zig))).alias("back"), hashes.hex_of(hashes.split_mix(v, F.lit(3))).alias("mix"), hashes.fnv1a_hex(t).alias("fnv"), hashes.crc32c(t).alias("crc"), hashes.assign_partition(t, 7).alias("part"), hashes.unkeyed_partition(t, t, F.shiftrightunsigned(v, 2), 5).alias("free")).collect()
+    for r in rows:
+        raw = r.t.encode()
+        assert r.code == varint((r.v << 1 ^ r.v >> 63) & (1 << 64) - 1) and r.back == r.v
+        assert r.mix == mix(r.v & (1 << 64) - 1, 3)
+        assert (r.fnv, r.crc, r.part) == (f"{hashes.fnv1a(raw):016x}", hashes.crc32c_of(raw), hashes.partition_of(raw, 7))
+        assert r.free == hashes.partition_of(hashes.unkeyed_key(r.t, r.t, (r.v & (1 << 64) - 1) >> 2), 5)
+    known = spark.createDataFrame([("",), ("abc",)], "t string").select(hashes.xxhash32("t"), hashes.xxhash64_hex("t")).collect()
+    assert [tuple(r) for r in known] == [(0x02CC5D05, "ef46db3751d8e999"), (0x32D153FF, "44bc2cf5ad770999")]
+
+
+def test_record_batches():
+    from ledgerline.sources import batches as B
+
+    rows = [(1000, 7, None), (990, -1, 2**62), (5000, 0, -(2**63))]
+    for codec in B.CODECS:
+        made = B.encode_batch(40, rows, codec)
+        assert B.decode_batch(made) == [(40 + i, *r) for i, r in enumerate(rows)]
+        assert B.decode_batch(B.restamped(made, 7)) == [(7 + i, *r) for i, r in enumerate(rows)]
+        for i in range(len(made)):
+            with pytest.raises(ValueError, match="batch"):
+                B.decode_batch(made[:i] + bytes([made[i] ^ 1]) + made[i + 1 :])
+        assert B.unpacked(B.packed(b"x" * 100, codec), codec, 99) is None
+    with pytest.raises(ValueError, match="cut short"):
+        B.take_varint(b"\x80", 0)
+
+
+def test_screens_resume(spark):
+    """At every cut: the snapshot and the rest give the fold of all; frames tell what changed."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators import terminal
+
+    texts = ["ab\r\ncd", "\x1b[2;3", "Hxy", "\x1b[?1049h other", "", "\x1b[?1049l", "\x1b[31mred $", "中e\u0301"]
+    rows = [(k, i, "Out" if i != 4 else "Resize", t * (k or 1), 8, 3) for k in (0, 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key long, at long, kind string, text string, cols int, rows int")
+    want = sorted(map(tuple, fold_screens(df, 10, 4).collect()))
+    for upto in range(-1, len(texts)):
+        cut = spark.createDataFrame([(0, upto)], "key long, upto long")
+        snapshots = terminal.materialize(df, cut, 10, 4)
+        assert sorted(map(tuple, terminal.resume(snapshots, df, 10, 4).collect())) == want
+    for k in (0, 1):
+        screen, hashes_ = Screen(10, 4), []
+        for _, _, kind, text, c, r in (x for x in rows if x[0] == k):
+            screen.feed(text) if kind == "Out" else screen.resize(c, r)
+            assert Screen.load(screen.dump()).dump() == screen.dump()
+            hashes_.append(screen.hash())
+        got = [r.hash for r in terminal.frames(df.where(F.col("key") == k), 10, 4).orderBy("at").collect()]
+        assert got == hashes_ and got[1] == got[0]
+    assert {r.key: r.prompt for r in terminal.settled(df.where("at < 7"), "shell", 10, 4).collect()} == {0: True, 1: True}
+    assert not any(r.prompt for r in terminal.settled(df.where("at < 7"), "none", 10, 4).collect())
+
+
+def test_echoes():
+    from ledgerline.operators.folds import EchoQueue, echo_of
+
+    assert echo_of("a\r\x03\x7f\x1b[A\t") == ["a", "\r\n", "^C", "\x08 \x08", "\t"]
+    q = EchoQueue()
+    q.put(10, "ab")
+    q.put(11, "cd")
+    assert q.answer("abcd!") == [(10, 0, 2), (11, 2, 4)] and q.newest == 11
+    q.put(12, "x\r")
+    assert q.answer("x\r") == [(12, 0, 2)] and q.answer("\nok") == [(12, 0, 1)] and not q.waiting
+    q.put(13, "\n")
+    assert q.answer("\n$") == [(13, 0, 1)]
+    q.put(14, "\x7f")
+    assert q.answer("^") == [(14, 0, 1)] and q.answer("?") == [(14, 0, 1)]
+    q.put(15, "no")
+    assert q.answer("other") == [] and len(q.waiting) == 2
+
+
+def test_rate_bucket(spark):
+    from ledgerline.operators.folds import rate_bucket
+
+    rows = [(1, i, ms) for i, ms in enumerate([0, 0, 0, 0, 999, 1000, 1500, 9000, 9000, 9000, 9000])]
+    got = rate_bucket(spark.createDataFrame(rows, "key long, at long, ms long"), 1000, 3).orderBy("at").collect()
+    assert [r.accepted for r in got] == [True, True, True, False, False, True, False, True, True, True, False]
+    assert [r.wait_ms for r in got] == [0, 0, 0, 1000, 1, 0, 500, 0, 0, 0, 1000]
+
+
+def test_merkle_map(spark):
+    """The shape follows from the rows alone: order doesn't matter, a changed value changes its way to the root."""
+    import hashlib
+    import random
+
+    from ledgerline.operators import merkle
+
+    rng = random.Random(4)
+    sha = lambda b: hashlib.sha256(b).digest()
+
+    def page(rows, depth=0):
+        mark = bytes.fromhex(merkle.MARK)
+        if len(rows) <= merkle.LEAF_ROWS:
+            return sha(mark + b"\x02" + len(rows).to_bytes(2, "big") + b"".join(sha(bytes.fromhex(k) + len(v).to_bytes(2, "big") + v) for k, v in sorted(rows)))
+        children = [[r for r in rows if r[0][depth] == d] for d in merkle.DIGITS]
+        return sha(mark + b"\x01" + b"".join(page(c, depth + 1) + len(c).to_bytes(8, "big") for c in children))
+
+    for n in (0, 1, 32, 33, 700):
+        rows = [(sha(str(i).encode()).hex(), f"v{i}".encode()) for i in range(n)]
+        rng.shuffle(rows)
+        found = merkle.pages(spark.createDataFrame(rows, "key string, value binary")).where("depth = 0").collect()
+        assert [r.hash for r in found] == [page(rows).hex()]
+    clustered = [("ab" + sha(str(i).encode()).hex()[2:], b"") for i in range(40)]
+    df = spark.createDataFrame(clustered, "key string, value binary")
+    assert merkle.pages(df).where("depth = 0").first().hash == page(clustered).hex()
+    way = merkle.proof(df, df.limit(1)).collect()
+    assert {r.depth for r in way} == {0, 1, 2, 3} and all(r.n == 40 for r in way if r.depth < 3)
+
+
+def test_levels_and_order(spark):
+    import random
+
+    from ledgerline.operators import graphs
+
+    rng = random.Random(3)
+    for n, pairs in ((40, 30), (40, 0), (200, 30)):
+        edges = [(i, rng.randrange(i)) for i in range(1, n) for _ in range(rng.randrange(3))] + ([(i, i - 1) for i in range(1, n)] if n == 200 else [])
+        level = {}
+        for i in range(n):
+            level[i] = max((level[d] + 1 for k, d in edges if k == i), default=0)
+        old, graphs.PAIRS = graphs.PAIRS, pairs
+        try:
+            got = graphs.levels(spark.range(n).toDF("node"), spark.createDataFrame(edges, "node long, dep long"))
+            assert {r.node: r.level for r in got.collect()} == level
+        finally:
+            graphs.PAIRS = old
+    for loop in ([(0, 1), (1, 2), (2, 0)], [(0, 0)], [(0, 1), (1, 2), (2, 3), (3, 1)]):
+        with pytest.raises(ValueError, match="cycle"):
+            graphs.levels(spark.range(4).toDF("node"), spark.createDataFrame(loop, "node long, dep long")).count()
+    turns = graphs.in_turn(spark.range(1000).selectExpr("(id * 7919) % 1000 AS x", "id"), ["x"], "turn").collect()
+    assert all(r.x == r.turn for r in turns) and len(turns) == 1000
+    assert graphs.levels(spark.range(0).toDF("node"), spark.createDataFrame([], "node long, dep long")).count() == 0
+
+
+def test_pasts(spark):
+    from ledgerline.operators import graphs
+
+    edges = spark.createDataFrame([("a", 5, "b", 3), ("b", 2, "c", 9), ("b", 4, "c", 20), ("c", 9, "a", 2), ("a", 9, "c", 1)], "actor string, sequence long, parent_actor string, parent_sequence long")
+    got = graphs.pasts(edges, spark.createDataFrame([("x", "a", 6), ("y", "c", 8)], "record string, actor string, sequence long"))
+    assert {tuple(r) for r in got.select("record", "actor", "sequence").collect()} == {("x", "a", 6), ("x", "b", 3), ("x", "c", 9), ("y", "c", 8)}
