@@ -1,6 +1,7 @@
 """License detection by ordered signature rules.
 
-Several hundred patterns over a text's words, made from families of licenses and forms of naming them. A text meets only
+Several hundred patterns over a text's words: sentences of the license texts themselves, and families of licenses in the forms of
+naming them. A text meets only
 the rules whose needed words it has; these are derived from the pattern, so each match has them. Overlaps are resolved by
 interval containment: a detection inside another of the same or a better priority goes.
 """
@@ -73,12 +74,89 @@ FAMILIES = [
     ("ncsa", "(?:university of illinois )?ncsa(?: open source)?", [], "ncsa"),
     ("proprietary", "(?:proprietary|commercial|evaluation)", [], "proprietary"),
 ]
-#: Single rules: label, pattern, priority, confidence.
+#: Sentences of license texts and notices, and other single rules: label, pattern, priority, confidence.
 SINGLE = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 1, 0.98),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1, 0.97),
+    ("mit", "the software is provided as is without warranty of any kind express or implied", 2, 0.8),
+    ("x11", "except as contained in this notice the names? of", 2, 0.8),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", 1, 0.97),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", 2, 0.85),
     ("bsd", "redistribution and use in source and binary forms with or without modification", 1, 0.95),
+    ("bsd", "redistributions of source code must retain the above copyright notice", 1, 0.9),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", 1, 0.9),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", 1, 0.92),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment", 1, 0.95),
+    ("apache", "licensed to the apache software foundation asf under one or more contributor license agreements", 1, 0.95),
+    ("apache", "you may not use this file except in compliance with the license", 1, 0.85),
+    ("apache", "software distributed under the license is distributed on an as is basis", 1, 0.9),
+    ("apache-2.0", "www apache org licenses license 2 0", 1, 0.98),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", 2, 0.9),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 1, 0.97),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", 2, 0.85),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", 1, 0.95),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document", 2, 0.9),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", 1, 0.99),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", 1, 0.99),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 1, 0.97),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with this library", 1, 0.95),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", 1, 0.99),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007", 1, 0.99),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", 1, 0.97),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007", 1, 0.99),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 1, 0.97),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 1, 0.99),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", 1, 0.95),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", 1, 0.99),
+    ("epl-1.0", "made available under the terms of the eclipse public license v1 0", 1, 0.99),
+    ("epl-2.0", "made available under the terms of the eclipse public license (?:v )?2 0", 1, 0.99),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", 1, 0.97),
+    ("cpl", "made available under the terms of the common public license", 1, 0.97),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", 1, 0.97),
+    ("cc0-1.0", "creativecommons org publicdomain zero 1 0", 1, 0.99),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 1, 0.99),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", 1, 0.97),
+    ("wtfpl", "do what the fuck you want to public license", 1, 0.99),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", 1, 0.92),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 1, 0.96),
+    ("boost-1.0", "free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 1, 0.98),
+    ("boost-1.0", "www boost org license 1 0 txt", 1, 0.98),
+    ("postgresql", "without fee and without a written agreement is hereby granted", 1, 0.95),
+    ("python-2.0", "python software foundation license version 2", 1, 0.98),
+    ("python", "psf is making python available to licensee on an as is basis", 1, 0.95),
+    ("perl", "under the same terms as perl itself", 2, 0.85),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", 1, 0.95),
+    ("php", "this product includes php software freely available from", 1, 0.9),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 1, 0.98),
+    ("openssl", "this product includes cryptographic software written by eric young", 1, 0.95),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", 1, 0.99),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", 1, 0.9),
+    ("eupl", "or as soon they will be approved by the european commission subsequent versions of the eupl", 1, 0.97),
+    ("ncsa", "to deal with the software without restriction", 1, 0.9),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", 1, 0.95),
+    ("w3c", "this work is being provided by the copyright holders under the following license", 2, 0.85),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff", 1, 0.97),
+    ("json", "the software shall be used for good not evil", 1, 0.98),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code", 1, 0.95),
+    ("busl-1.1", "business source license 1 1", 1, 0.97),
+    ("sspl", "server side public license", 2, 0.95),
+    ("elastic-2.0", "elastic license 2 0", 2, 0.95),
+    ("commons-clause", "without limiting other conditions in the license the grant of rights under the license will not include", 1, 0.95),
+    ("odbl", "open (?:data commons open )?database license", 2, 0.9),
+    ("odc-by", "open data commons attribution license", 2, 0.9),
+    ("pddl", "public domain dedication and license", 2, 0.85),
+    ("ogl", "open government licen[sc]e", 2, 0.9),
+    ("ogl", "contains public sector information licensed under the open government licen[sc]e", 1, 0.97),
+    ("cecill", "(?:cea cnrs inria logiciel libre|cecill (?:b |c )?licen[sc]e)", 2, 0.9),
+    ("mulan", "mulan (?:permissive software license|psl)", 2, 0.9),
     ("public-domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain", 2, 0.9),
+    ("public-domain", "this (?:file|work|code|software|document) is in the public domain", 2, 0.9),
+    ("public-domain", "no rights reserved", 3, 0.7),
+    ("proprietary", "unauthorized (?:copying|use|distribution) of this (?:file|software) via any medium is strictly prohibited", 1, 0.95),
+    ("proprietary", "this software is the confidential and proprietary information of", 1, 0.95),
+    ("proprietary", "confidential and proprietary", 3, 0.6),
+    ("proprietary", "no part of this (?:publication|document|work|book) may be reproduced", 2, 0.85),
+    ("non-commercial", "for non ?commercial (?:use|purposes) only", 3, 0.7),
     ("all-rights-reserved", "all rights reserved", 4, 0.6),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 4, 0.3),
 ]
@@ -99,6 +177,8 @@ def rules() -> list[tuple[str, list[list[str]], str, int, float]]:
             out.append((f"{label}-{v.replace(' ', '.')}", f"{name}(?: {word})? (?:version |v )?{v}", 3, 0.9))
         out.append((label, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?{name}(?: {word})?", 2, 0.85))
         out.append((label, f"{name} {word}", 4, 0.7))
+        if spdx.startswith("cc "):  # the address of the license's page
+            out += [(f"{label}-{v.replace(' ', '.')}", f"creativecommons org licenses {spdx[3:]} {v}", 1, 0.98) for v in versions]
     return sorted(((label, needed(pattern), pattern, priority, sure) for label, pattern, priority, sure in out), key=lambda r: r[3])
 
 
