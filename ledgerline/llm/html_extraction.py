@@ -10,6 +10,7 @@ decided by differencing, whether or not the page has an article.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -70,6 +71,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
     kinds: list[int] = []
     buffer: list[str] = []
     open_: list[tuple[str, str]] = []  # elements that matter, with what they are
+    names: Counter[str] = Counter()  # of those
     counts = {"around": 0, "article": 0}
 
     def end_line() -> None:
@@ -105,14 +107,14 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
         if name in _VOID:
             continue
         if tag["end"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    if open_[i][1] != "plain" and name in _INLINE:
-                        end_line()
-                    for _, what in open_[i:]:
-                        if what != "plain":
-                            counts[what] -= 1
-                    del open_[i:]
+            while names[name]:  # ends what is still open inside it, too
+                was, what = open_.pop()
+                names[was] -= 1
+                if was == name and what != "plain" and name in _INLINE:
+                    end_line()
+                if what != "plain":
+                    counts[what] -= 1
+                if was == name:
                     break
             continue
         what = "plain"
@@ -121,6 +123,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             if counts["around"] and not counts["article"]:  # an unclosed element before the article ends here
                 counts["around"] = 0
                 open_[:] = [(n, w) for n, w in open_ if w != "around"]
+                names = Counter(n for n, _ in open_)
         elif name in _AROUND or name == "header" and not counts["article"]:
             what = "around"
         elif name not in ("body", "html", "head") and tag["rest"] and any(MARKS.search(next(filter(None, m.groups()), "")) for m in MARKED.finditer(tag["rest"])):
@@ -129,8 +132,9 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                 end_line()
         if what != "plain":
             counts[what] += 1
-        if what != "plain" or any(n == name for n, _ in open_) or name in ("div", "section"):
+        if what != "plain" or names[name] or name in ("div", "section"):
             open_.append((name, what))
+            names[name] += 1
     if at < len(html):
         buffer.append(html[at:])
     end_line()
