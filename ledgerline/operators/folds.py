@@ -122,20 +122,25 @@ KINDS = {"A": "PromptReady", "C": "CommandStart", "D": "CommandEnd"}
 CARRIED = 32
 
 
+def scan_marks(carry: str, text: str) -> tuple[list[tuple[str, int | None]], str]:
+    """(kind, exit) of the marks that end in ``text``, and what of a split one is carried on (at most 32 characters)."""
+    text = carry + text
+    out, end = [], 0
+    for m in MARK.finditer(text):
+        code = re.fullmatch(r";(-?\d{1,10})(?:;.*)?", m[2])
+        out.append((KINDS[m[1]], int(code[1]) if m[1] == "D" and code and -(2**31) <= int(code[1]) < 2**31 else None))
+        end = m.end()
+    start = text.rfind("\x1b]", end)
+    start = len(text) - 1 if start < 0 and text[end:].endswith("\x1b") else start
+    return out, text[start:] if start >= 0 and len(text) - start <= CARRIED else ""
+
+
 def osc_marks(rows: DataFrame) -> DataFrame:
-    """rows: key, at, text. Shell marks in order; one that is split is carried (at most 32 characters) and belongs to the record that ends it."""
+    """rows: key, at, text. Shell marks in order; one that is split is carried and belongs to the record that ends it."""
 
     def step(state: dict, r: dict) -> list[tuple]:
-        text = state.get("carry", "") + r["text"]
-        out, end = [], 0
-        for m in MARK.finditer(text):
-            code = re.fullmatch(r";(-?\d{1,10})(?:;.*)?", m[2])
-            out.append((r["key"], r["at"], KINDS[m[1]], int(code[1]) if m[1] == "D" and code and -(2**31) <= int(code[1]) < 2**31 else None))
-            end = m.end()
-        start = text.rfind("\x1b]", end)
-        start = len(text) - 1 if start < 0 and text[end:].endswith("\x1b") else start
-        state["carry"] = text[start:] if start >= 0 and len(text) - start <= CARRIED else ""
-        return out
+        found, state["carry"] = scan_marks(state.get("carry", ""), r["text"])
+        return [(r["key"], r["at"], *m) for m in found]
 
     return fold(rows, "key", "at", dict, step, "key long, at long, kind string, exit int")
 

@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,45 @@ def test_exactly_once(spark, source, tmp_path):
     want = whole.select("producer_id", "seq").distinct()
     got = spark.read.parquet(sink).select("producer_id", "seq")
     assert got.count() == want.count() == got.distinct().count()
+
+
+def test_classify(spark, tmp_path):
+    """Marks over records' borders as they come; idle sessions tell once where they came to rest; the batch form agrees."""
+    import datetime
+
+    from ledgerline.operators import folds, terminal
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
+    begin = datetime.datetime(2024, 1, 1)
+    rows = [
+        (1, 0, 0, "ls\x1b]133"), (2, 0, 0, "busy"), (1, 1, 1, ";C\x07out"), (1, 2, 2, "\x1b]133;D;3\x07"), (2, 1, 2, "\r\n>>>"), (2, 2, 3, ""),
+        (3, 0, 60, "later"), (2, 3, 61, "\r\n>>> x"), (3, 1, 200, " $"), (4, 0, 400, "end"),
+    ]
+    schema = "session long, offset long, at timestamp, kind string, text string, cols int, rows int"
+    source = tmp_path / "in"
+    for i, part in enumerate((rows[:3], rows[3:6], rows[6:8], rows[8:9], rows[9:])):
+        full = [(k, o, begin + datetime.timedelta(seconds=s), "Out", t, 80, 24) for k, o, s, t in part]
+        spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(str(source / f"{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source / "*"))
+    query = live.classify(stream, 10_000, "repl").writeStream.option("checkpointLocation", str(tmp_path / "c")).format("memory").queryName("classified").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None
+    got = Counter((r.session, r.offset, r.kind, r.exit) for r in spark.table("classified").collect())
+    query.stop()
+    assert {k: n for k, n in got.items() if k[2].startswith("Command")} == {(1, 1, "CommandStart", None): 1, (1, 2, "CommandEnd", 3): 1}
+    assert got[2, 1, "Quiesced", None] == 1 and got[2, 1, "PromptReady", None] == 1 and got[1, 1, "Quiesced", None] == 1 and got[2, 3, "Quiesced", None] == 1
+    assert not any(k[0] == 1 and k[2] == "PromptReady" or k[:2] == (2, 3) and k[2] == "PromptReady" for k in got)
+    batch = spark.createDataFrame([(k, o, "Out", t, 80, 24) for k, o, _, t in rows], "key long, at long, kind string, text string, cols int, rows int")
+    assert Counter((r.key, r.at, r.kind, r.exit) for r in folds.osc_marks(batch).collect()) == {k: n for k, n in got.items() if k[2].startswith("Command")}
+    assert {(r.key, r.quiesced) for r in terminal.settled(batch, "repl").collect()} >= {(1, 1), (2, 3)}
+
+
+def test_fan_out(spark, tmp_path):
+    records = live.as_records(live.read_events(spark, SF, 1, "events.parquet"))
+    queries = live.fan_out(records, {"all": ("/f/>", 0), "alpha": ("/f/alpha/>", 100)}, str(tmp_path / "out"), str(tmp_path / "c"))
+    for q in queries.values():
+        q.awaitTermination(120)
+        assert q.exception() is None
+    every = spark.read.parquet(str(tmp_path / "out/all"))
+    assert every.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert spark.read.parquet(str(tmp_path / "out/alpha")).count() == every.where("offset >= 100 AND subject LIKE '/f/alpha/%'").count()
