@@ -138,3 +138,28 @@ def strict_json(doc: Column) -> Column:
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]"))), "$", "array<variant>")
     inside = F.try_parse_json(F.concat(F.lit('{"a":'), doc, F.lit("}")))
     return F.when((F.size(listed) == 1) & inside.isNotNull(), F.try_parse_json(doc))
+
+
+COMPLETION = "content array<struct<type:string,text:string,id:string,name:string,input:variant>>, stop_reason string"
+
+
+def completion(doc: Column) -> Column:
+    """Struct (text, tool, input, stop) of a completion document: texts joined, the first tool call; null for what isn't one."""
+    whole = F.when(strict_json(doc).isNotNull() & F.startswith(F.trim(doc), F.lit("{")), F.from_json(doc, COMPLETION))
+    text = F.array_join(F.transform(F.filter(whole["content"], lambda b: b["type"] == "text"), lambda b: b["text"]), "")
+    call = F.get(F.filter(whole["content"], lambda b: b["type"] == "tool_use"), 0)
+    return F.when(whole["content"].isNotNull(), F.struct(text.alias("text"), call["name"].alias("tool"), F.to_json(call["input"]).alias("input"), whole["stop_reason"].alias("stop")))
+
+
+def assembled(chunks, key: list[str], order: str, chunk: str):
+    """(key, text, input, stop) of event streams that come in chunks, cut anywhere: texts and partial inputs joined, the last stop reason.
+
+    A stream's chunks are gathered, as one answer is bounded; events are the parts between empty lines, comments are skipped.
+    """
+    whole = chunks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, chunk))).alias("c"))
+    body = F.array_join(F.transform("c", lambda x: x[chunk]), "")
+    lines = F.transform(F.filter(F.split(body, "\n"), lambda t: F.startswith(t, F.lit("data: "))), lambda t: F.substr(t, F.lit(7)))
+    events = whole.select(*key, F.transform(lines, lambda t: F.from_json(t, "type string, index int, delta struct<type:string,text:string,partial_json:string,stop_reason:string>")).alias("e"))
+    joined = lambda kind, field: F.array_join(F.transform(F.filter("e", lambda x: x["delta"]["type"] == kind), lambda x: x["delta"][field]), "")
+    stop = F.element_at(F.filter("e", lambda x: x["type"] == "message_delta"), -1)["delta"]["stop_reason"]
+    return events.select(*key, joined("text_delta", "text").alias("text"), F.nullif(joined("input_json_delta", "partial_json"), F.lit("")).alias("input"), stop.alias("stop"))

@@ -52,7 +52,10 @@ def _parents(h):
     return h.where("previous IS NOT NULL").select("id", F.col("previous").alias("parent"))
 
 
-@query(H + PART + ", ok AS (SELECT * FROM held WHERE NOT (actor % 5 = 2 AND sequence > 10)) SELECT id FROM ok WHERE id NOT IN (SELECT previous FROM ok WHERE previous IS NOT NULL)")
+STUCK = "WITH RECURSIVE " + T.HEADERS + PART + """, stuck AS (SELECT id FROM held WHERE previous IS NOT NULL AND previous NOT IN (SELECT id FROM held) UNION SELECT h.id FROM held h JOIN stuck s ON h.previous = s.id)"""
+
+
+@query(STUCK + ", ok AS (SELECT * FROM held WHERE id NOT IN (SELECT id FROM stuck)) SELECT id FROM ok WHERE id NOT IN (SELECT previous FROM ok WHERE previous IS NOT NULL)")
 def sync_heads(spark, sf_dir):
     """Discharged headers without a discharged child."""
     h = _held(spark, sf_dir)
@@ -60,14 +63,14 @@ def sync_heads(spark, sf_dir):
     return ok.join(_parents(h).join(ok, "id").select(F.col("parent").alias("id")), "id", "left_anti")
 
 
-@query(H + PART + " SELECT id FROM held WHERE actor % 5 = 2 AND sequence > 10")
+@query(STUCK + " SELECT id FROM stuck")
 def sync_pending(spark, sf_dir):
     """Headers that wait for a missing ancestor."""
     h = _held(spark, sf_dir)
     return h.select("id").join(graphs.discharged(h.select("id"), _parents(h)), "id", "left_anti")
 
 
-@query(H + " SELECT actor, count(*) AS n FROM headers WHERE actor = 3 AND sequence >= 5 GROUP BY actor")
+@query(H + ", torn AS (SELECT actor, min(sequence) AS since FROM (SELECT actor, sequence FROM headers GROUP BY actor, sequence HAVING count(DISTINCT id) > 1) GROUP BY actor) SELECT actor, count(*) AS n FROM headers JOIN torn USING (actor) WHERE sequence >= since GROUP BY actor")
 def sync_quarantined(spark, sf_dir):
     """Headers of forked actors from the fork on."""
     h = T.headers(spark, sf_dir)
@@ -557,7 +560,9 @@ def grant_check(spark, sf_dir):
 CEILING = ["/f/alpha/>", "/f/*/pub/n-2/>"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{g[0]}', {any(S.contains(c, g[2]) for c in CEILING)})" for g in GRANTS) + ") AS t(principal, within)")
+@query("WITH g AS (SELECT * FROM (VALUES " + ", ".join(f"('{g[0]}', string_split('{g[2]}', '/')[2:])" for g in GRANTS) + ") AS t(principal, f)), c AS (SELECT * FROM (VALUES " + ", ".join(f"(string_split('{c}', '/')[2:])" for c in CEILING) + """) AS t(c)),
+    p AS (SELECT principal, f, c, len(list_filter(range(1, len(c) + 1), lambda i: c[i] = '>' OR c[i] = f[i] OR c[i] = '*' AND f[i] <> '>')) = len(c) AND (c[-1] = '>' AND len(f) >= len(c) OR c[-1] <> '>' AND len(f) = len(c)) AS holds FROM g, c)
+    SELECT principal, bool_or(coalesce(holds, FALSE)) AS within FROM p GROUP BY principal""")
 def grant_ceiling(spark, sf_dir):
     return spark.createDataFrame([(g[0], any(S.contains(c, g[2]) for c in CEILING)) for g in GRANTS], "principal string, within boolean")
 

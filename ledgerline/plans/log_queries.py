@@ -189,9 +189,11 @@ def last_page(spark, sf_dir):
     return log.page_after(log.last_value(T.records(spark, sf_dir), "/>", ("offset",)), "subject", "/f/alpha/pub/n-3", 25)
 
 
-@query(R + """ SELECT subject, max("offset") AS "offset" FROM records GROUP BY subject HAVING max("offset") < 600""")
+@query(R + """ SELECT subject, max("offset") AS "offset" FROM records GROUP BY subject HAVING max("offset") < (SELECT count(*) * 9 // 10 FROM events)""")
 def last_at_head(spark, sf_dir):
-    return log.last_at_head(T.records(spark, sf_dir), "/>", 600).select("subject", "offset")
+    """At a head of nine tenths of the log."""
+    head = T.table(spark, sf_dir, "events").count() * 9 // 10
+    return log.last_at_head(T.records(spark, sf_dir), "/>", head).select("subject", "offset")
 
 
 @query(R + """ SELECT subject, max("offset") AS "offset" FROM records WHERE "offset" < 600 GROUP BY subject""")

@@ -62,8 +62,8 @@ def _intact_after(data: bytes, at: int) -> bool:
     return False
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """path, offset (dense within a file), payload, ending; a file without an intact frame gives one row with a null payload."""
+def scan_frames(files: DataFrame) -> DataFrame:
+    """files: path, content. (path, offset (dense within a file), payload, ending); a file without an intact frame gives one row with a null payload."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,4 +72,9 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
                 rows = found or [None]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(len(rows)) if found else [None], pa.int64()), pa.array(rows, pa.binary()), pa.array([ending] * len(rows))], ["path", "offset", "payload", "ending"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(frames, "path string, offset long, payload binary, ending string")
+    return files.select("path", "content").mapInArrow(frames, "path string, offset long, payload binary, ending string")
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """``scan_frames`` of the files under a path."""
+    return scan_frames(spark.read.format("binaryFile").load(path))
