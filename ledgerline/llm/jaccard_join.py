@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import _hashing as H
-from ledgerline.llm._common import written
+from ledgerline.llm._common import many_to_one, written
 from ledgerline.llm.components import components
 
 #: A token in more sets than this is frequent.
@@ -394,8 +394,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(counted.groupBy("block").applyInArrow(_viable(percent), VIABLE), "viable")
     roots = components(written(_links(sets, percent), "similar"))
     classes = named.select("sig", "first").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
-    least_id = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(classes.join(least_id, "root").select(F.col("sig").alias("s"), "component_id"), "components")
+    classes = written(classes, "classes")
+    least_id = classes.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
+    named = written(many_to_one(classes, "root", least_id, "r").select(F.col("sig").alias("s"), "component_id"), "components")
     out = rows.join(named, F.col("sig") == F.col("s"), "left")
     empty = F.col("n_shingles") == 0
     return out.select(F.col("id").alias(id_col), "text_hash", "n_shingles", F.when(~empty, F.col("sig")).alias("sig"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
