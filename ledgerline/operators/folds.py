@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Wake classes by rank. Fixed values.
 RANKS = {"control": 8, "ask": 7, "task": 6, "answer": 5, "report": 4, "ack": 3, "expired": 2, "undeliverable": 1, "note": 0}
@@ -108,7 +110,6 @@ def sticky_fence(rows: DataFrame) -> DataFrame:
 
 def hash_chain(rows: DataFrame) -> DataFrame:
     """rows: key, at, body. Each row's hash covers its body and the hash before it."""
-    import hashlib
 
     def step(state: dict, r: dict) -> list[tuple]:
         state["h"] = hashlib.sha256((state.get("h", "") + "|" + r["body"]).encode()).hexdigest()
@@ -117,6 +118,43 @@ def hash_chain(rows: DataFrame) -> DataFrame:
     return fold(rows, "key", "at", dict, step, "key long, at long, hash string")
 
 
+def commit_hash(parent: str | None, at: int, ts: int, tag: int, text: str, domain: bytes = b"ledgerline-node") -> str:
+    """A commit's digest: domain, place and logical time (eight bytes each), the number of parents and the parent, the record's tag, length and bytes."""
+    body = text.encode()
+    parts = at.to_bytes(8, "little") + ts.to_bytes(8, "little") + (b"\x01" + bytes.fromhex(parent) if parent else b"\x00") + bytes([tag]) + len(body).to_bytes(8, "little")
+    return hashlib.sha256(domain + parts + body).hexdigest()
+
+
+def commit_chain(rows: DataFrame) -> DataFrame:
+    """rows: key, at, ts, tag, text. The commit of each record over the one before it."""
+
+    def step(state: dict, r: dict) -> list[tuple]:
+        state["h"] = commit_hash(state.get("h"), r["at"], r["ts"], r["tag"], r["text"])
+        return [(r["key"], r["at"], state["h"])]
+
+    return fold(rows, "key", "at", dict, step, "key long, at long, hash string")
+
+
+def verify_chain(rows: DataFrame) -> DataFrame:
+    """rows: key, at, ts, tag, text, parent, hash. Each key's first fault by place, or Verified: a gap, another parent than the commit before, a digest that differs."""
+
+    def step(state: dict, r: dict) -> list[tuple]:
+        expected, before = state.get("n", 0), state.get("h")
+        state["n"], state["h"] = expected + 1, r["hash"]
+        parent = r["parent"] if isinstance(r["parent"], str) else None
+        if r["at"] != expected:
+            return [(r["key"], expected, "NonDenseOffset")]
+        if parent != before:
+            return [(r["key"], r["at"], "BrokenParentLink")]
+        if commit_hash(parent, r["at"], r["ts"], r["tag"], r["text"]) != r["hash"]:
+            return [(r["key"], r["at"], "HashMismatch")]
+        return []
+
+    faults = fold(rows, "key", "at", dict, step, "key long, at long, verdict string")
+    first = faults.groupBy("key").agg(F.min_by(F.struct("at", "verdict"), "at").alias("f"))
+    return rows.select("key").distinct().join(first, "key", "left").select("key", F.col("f.at").alias("at"), F.coalesce("f.verdict", F.lit("Verified")).alias("verdict"))
+
+
 MARK = re.compile(r"\x1b\](?:133|633);([ACD])([^\x07\x1b]*)(?:\x07|\x1b\\)")
 KINDS = {"A": "PromptReady", "C": "CommandStart", "D": "CommandEnd"}
 CARRIED = 32

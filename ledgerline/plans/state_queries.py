@@ -384,3 +384,54 @@ def subject_segments(spark, sf_dir):
     parts = F.split("subject", "/")
     found = T.records(spark, sf_dir).select("subject").distinct()
     return found.select("subject", F.slice(parts, 2, F.size(parts) - 1).alias("segments"), (F.size(parts) - 1).cast("long").alias("depth"), F.when(S.matches(F.col("subject"), "/f/alpha/>"), "alpha").otherwise("beta").alias("owner"))
+
+
+# chains and admissions
+
+def _le_sql(value: str) -> str:
+    return f"array_to_string(list_transform(range(8), lambda i: printf('%02x', (({value}) // (1::BIGINT << (8 * i)::INT) % 256)::INT)), '')"
+
+
+CHAIN_ROWS = """rows_ AS (SELECT session AS key, "offset" AS "at", ts_logical AS ts, CASE kind WHEN 'In' THEN 1 WHEN 'Out' THEN 2 ELSE 3 END AS tag, text FROM session_log)"""
+
+
+@query(stepped(
+    "x AS (SELECT 1), " + T.SESSION_LOG + ", " + CHAIN_ROWS, "key", "'' AS hash",
+    f"sha256('ledgerline-node'::BLOB || from_hex({_le_sql('r.at_')} || {_le_sql('r.ts')} || CASE WHEN f.hash = '' THEN '00' ELSE '01' || f.hash END || printf('%02x', r.tag) || {_le_sql('octet_length(encode(r.text))')}) || encode(r.text))".replace("r.at_", 'r."at"'),
+    'key, "at", hash',
+))
+def commit_chain(spark, sf_dir):
+    """Each record's commit: a digest over its place, logical time, parent and content, every part after its length or tag."""
+    s = T.session_log(spark, sf_dir)
+    tag = F.when(F.col("kind") == "In", 1).when(F.col("kind") == "Out", 2).otherwise(3)
+    return folds.commit_chain(s.select(F.col("session").alias("key"), F.col("offset").alias("at"), F.col("ts_logical").alias("ts"), tag.alias("tag"), "text"))
+
+
+@query(SL + """, n AS (SELECT session AS key, count(*) AS n FROM session_log GROUP BY session) SELECT key, CASE WHEN key % 4 = 1 AND n > 3 THEN 3 WHEN key % 4 = 2 AND n > 2 THEN 2 WHEN key % 4 = 3 AND n > 5 THEN 4 END AS "at",
+    CASE WHEN key % 4 = 1 AND n > 3 THEN 'HashMismatch' WHEN key % 4 = 2 AND n > 2 THEN 'BrokenParentLink' WHEN key % 4 = 3 AND n > 5 THEN 'NonDenseOffset' ELSE 'Verified' END AS verdict FROM n""")
+def chain_verify(spark, sf_dir):
+    """Chains of which some have a changed text, another parent or a missing record: the first fault of each."""
+    s = T.session_log(spark, sf_dir)
+    tag = F.when(F.col("kind") == "In", 1).when(F.col("kind") == "Out", 2).otherwise(3)
+    rows = s.select(F.col("session").alias("key"), F.col("offset").alias("at"), F.col("ts_logical").alias("ts"), tag.alias("tag"), "text")
+    made = folds.commit_chain(rows).withColumnRenamed("key", "k").withColumnRenamed("at", "a")
+    parent = F.lag("hash").over(Window.partitionBy("key").orderBy("at"))
+    whole = rows.join(made, (F.col("key") == F.col("k")) & (F.col("at") == F.col("a"))).drop("k", "a").withColumn("parent", parent)
+    bad = whole.withColumn("text", F.when((F.col("key") % 4 == 1) & (F.col("at") == 3), "other").otherwise(F.col("text")))
+    bad = bad.withColumn("parent", F.when((F.col("key") % 4 == 2) & (F.col("at") == 2), F.sha2(F.lit("x"), 256)).otherwise(F.col("parent"))).where("NOT (key % 4 = 3 AND at = 4)")
+    # a record missing at the end leaves a dense chain
+    found = folds.verify_chain(bad)
+    return found.select("key", "at", "verdict")
+
+
+@query(R + """, o AS (SELECT "offset" AS pos, producer_id % 11 AS idx, 'h' || ("offset" // 3) || '-' || (producer_id % 11) AS id, v % 2 AS content, CASE WHEN "offset" % 50 = 7 THEN 0 ELSE producer_seq END AS sequence FROM records),
+    f AS (SELECT *, row_number() OVER (PARTITION BY idx, id ORDER BY pos) = 1 AS new, first_value(content) OVER (PARTITION BY idx, id ORDER BY pos) AS held FROM o WHERE sequence > 0),
+    b AS (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY idx ORDER BY pos) AS taken FROM f)
+    SELECT pos, CASE WHEN sequence = 0 THEN 'Shape' END AS answer FROM o WHERE sequence = 0
+    UNION ALL SELECT pos, CASE WHEN new AND taken * 100 > 6000 THEN 'Budget' WHEN new THEN 'Admitted' WHEN taken_first * 100 > 6000 THEN 'Budget' WHEN content <> held THEN 'DigestCollision' ELSE 'Duplicate' END FROM (SELECT *, first_value(taken) OVER (PARTITION BY idx, id ORDER BY pos) AS taken_first FROM b)""")
+def sync_admit(spark, sf_dir):
+    """What an index of 6,000 bytes answers to each offered header of 100: malformed, new, held already, another under a held id, or no room."""
+    r = T.records(spark, sf_dir)
+    o = F.col("offset")
+    offers = r.select(o.alias("pos"), (F.col("producer_id") % 11).alias("idx"), F.concat(F.lit("h"), F.floor(o / 3).cast("string"), F.lit("-"), (F.col("producer_id") % 11).cast("string")).alias("id"), (F.col("v") % 2).alias("content"), F.when(o % 50 == 7, 0).otherwise(F.col("producer_seq")).alias("sequence"), F.lit(100).alias("bytes"))
+    return graphs.admissions(offers, 6000).select("pos", "answer")
