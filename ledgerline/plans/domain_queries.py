@@ -329,7 +329,8 @@ def hash_chain(spark, sf_dir):
     return folds.hash_chain(r.select(F.col("producer_id").alias("key"), F.col("offset").alias("at"), "body"))
 
 
-@query()
+@query("WITH " + T.SESSION_LOG + """, m AS (SELECT session AS key, "offset" AS "at", event_type, "offset" % 3 AS code, lag(event_type) OVER (PARTITION BY session ORDER BY "offset") AS before FROM session_log WHERE event_type IN ('error', 'view'))
+    SELECT key, "at", 'CommandEnd' AS kind, code::INT AS exit FROM m WHERE event_type = 'error' UNION ALL SELECT key, "at", 'CommandStart', NULL FROM m WHERE event_type = 'view' UNION ALL SELECT key, "at", 'PromptReady', NULL FROM m WHERE event_type = 'view' AND before = 'error'""")
 def osc_marks(spark, sf_dir):
     s = T.session_log(spark, sf_dir).where("event_type IN ('error', 'view')")
     text = F.when(F.col("event_type") == "error", F.concat(F.lit("\x1b]133;D;"), (F.col("offset") % 3).cast("string"), F.lit("\x07\x1b]133;A"))).otherwise(F.lit("\x07$ \x1b]633;C\x1b\\"))
