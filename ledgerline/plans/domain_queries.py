@@ -78,10 +78,10 @@ def sync_quarantined(spark, sf_dir):
     return h.join(F.broadcast(torn), "actor").where("sequence >= since").groupBy("actor").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(H + ", u AS (SELECT id FROM headers WHERE sequence <= 40 UNION SELECT id FROM headers WHERE sequence >= 30) SELECT count(*) AS n, min(id) AS low, max(id) AS high FROM u")
+@query(H + ", u AS (SELECT id FROM headers WHERE sequence % 3 <> 0 UNION SELECT id FROM headers WHERE sequence % 3 <> 1) SELECT count(*) AS n, min(id) AS low, max(id) AS high FROM u")
 def inventory_union(spark, sf_dir):
     h = T.headers(spark, sf_dir)
-    return h.where("sequence <= 40").union(h.where("sequence >= 30")).dropDuplicates(["id"]).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return h.where("sequence % 3 <> 0").union(h.where("sequence % 3 <> 1")).dropDuplicates(["id"]).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
 
 
 @query(H + " SELECT substr(id, 1, 1) AS prefix, count(*) AS n, sum(('0x' || substr(id, 1, 8))::BIGINT)::BIGINT AS limb0, sum(('0x' || substr(id, 57, 8))::BIGINT)::BIGINT AS limb7 FROM headers GROUP BY prefix")
@@ -102,10 +102,13 @@ def rbsr_diff(spark, sf_dir):
     return a.join(b, "id", "left_anti").withColumn("side", F.lit("mine")).union(b.join(a, "id", "left_anti").withColumn("side", F.lit("theirs")))
 
 
-@query(H + " SELECT actor, max(sequence) AS sequence FROM headers WHERE sequence <= 25 AND sequence % 9 <> 20 GROUP BY actor")
+@query(H + ", m AS (SELECT *, max(sequence) OVER (PARTITION BY actor) * 2 // 3 AS upto FROM headers) SELECT actor, max(sequence) AS sequence FROM m WHERE sequence <= upto GROUP BY actor")
 def shared_prefixes(spark, sf_dir):
+    """How far two inventories agree on each actor, of which one has two thirds of every chain."""
     h = T.headers(spark, sf_dir)
-    both = h.where("sequence <= 25").select("actor", "sequence", "id").intersect(h.where("sequence <= 90").select("actor", "sequence", "id"))
+    upto = h.groupBy("actor").agg(F.floor(F.max("sequence") * 2 / 3).alias("upto"))
+    theirs = h.join(F.broadcast(upto), "actor").where("sequence <= upto").select("actor", "sequence", "id")
+    both = h.select("actor", "sequence", "id").intersect(theirs)
     return both.groupBy("actor").agg(F.max("sequence").alias("sequence"))
 
 
@@ -198,19 +201,11 @@ def fleet_causal_order(spark, sf_dir):
 EX = R + """, ex AS (SELECT kind AS door, v % 20 AS request, "offset" AS reply, "offset" AS pos FROM records)"""
 
 
-@query(EX + """ SELECT p."offset" AS at, p.kind AS door, p.v % 20 AS request, max(e.pos) AS reply FROM records p LEFT JOIN ex e ON e.door = p.kind AND e.request = p.v % 20 AND e.pos < p."offset" WHERE p."offset" % 5 = 0 GROUP BY ALL""")
+@query(EX + """ SELECT p."offset" AS at, p.kind AS door, p.v % 20 AS request, e.reply FROM records p ASOF LEFT JOIN ex e ON e.door = p.kind AND e.request = p.v % 20 AND p."offset" > e.pos""")
 def keyed_asof(spark, sf_dir):
     """The latest earlier exchange with the same door and request."""
     r = T.records(spark, sf_dir).select(F.col("offset").alias("at"), F.col("kind").alias("door"), (F.col("v") % 20).alias("request"))
     table = r.select("door", "request", F.col("at").alias("pos"), F.col("at").alias("reply_at"))
-    return log.as_of(r.where("at % 5 = 0"), table, ["door", "request"], "at", "pos", "reply_at").withColumnRenamed("found", "reply")
-
-
-@query(EX + """ SELECT p."offset" AS at, p.kind AS door, p.v % 20 AS request, e.reply FROM records p ASOF LEFT JOIN ex e ON e.door = p.kind AND e.request = p.v % 20 AND p."offset" > e.pos""")
-def keyed_asof_all(spark, sf_dir):
-    """As ``keyed_asof``, for every record."""
-    r = T.records(spark, sf_dir).select(F.col("offset").alias("at"), F.col("kind").alias("door"), (F.col("v") % 20).alias("request"))
-    table = r.select("door", "request", F.col("at").alias("pos"), F.col("at").alias("reply_at"))
     return log.as_of(r, table, ["door", "request"], "at", "pos", "reply_at").withColumnRenamed("found", "reply")
 
 
@@ -477,58 +472,31 @@ def retain_carry(spark, sf_dir):
     return _held_rows(spark, sf_dir).crossJoin(F.broadcast(n)).where("offset < cut AND (upto IS NULL OR offset > upto)").select("offset")
 
 
-@query(CLASSED + """ SELECT subject, max("offset") + 1 AS floor FROM classed WHERE "offset" < 600 AND rule <> 1 GROUP BY subject""")
+@query(CLASSED + """ SELECT subject, max("offset") + 1 AS floor FROM classed WHERE "offset" < (SELECT count(*) * 9 // 10 FROM events) AND rule <> 1 GROUP BY subject""")
 def retain_floors(spark, sf_dir):
     """From where on each subject is complete once everything below the cut is gone."""
-    return _classed(spark, sf_dir).where("offset < 600 AND rule <> 1").groupBy("subject").agg((F.max("offset") + 1).alias("floor"))
-
-
-@query(CLASSED + """ SELECT max("offset") + 1 AS oldest FROM classed WHERE "offset" < 600 AND rule <> 1 AND regexp_matches(subject, '^/f/beta/.+$')""")
-def filter_oldest(spark, sf_dir):
-    """From where on every subject of a filter is complete."""
-    floors = retain_floors(spark, sf_dir)
-    return floors.where(S.matches(F.col("subject"), "/f/beta/>")).agg(F.max("floor").alias("oldest"))
-
-
-@query(CLASSED + """ SELECT subject, max("offset") + 1 AS floor FROM classed WHERE "offset" < (SELECT count(*) * 9 // 10 FROM events) AND rule <> 1 GROUP BY subject""")
-def retain_floors_all(spark, sf_dir):
-    """As ``retain_floors``, with the cut of ``retain_carry``."""
     n = T.table(spark, sf_dir, "events").agg(F.floor(F.count(F.lit(1)) * 9 / 10).alias("cut"))
     return _classed(spark, sf_dir).crossJoin(F.broadcast(n)).where("offset < cut AND rule <> 1").groupBy("subject").agg((F.max("offset") + 1).alias("floor"))
 
 
 @query(CLASSED + """ SELECT max("offset") + 1 AS oldest FROM classed WHERE "offset" < (SELECT count(*) * 9 // 10 FROM events) AND rule <> 1 AND regexp_matches(subject, '^/f/beta/.+$')""")
-def filter_oldest_all(spark, sf_dir):
-    """As ``filter_oldest``, with the cut of ``retain_carry``."""
-    return retain_floors_all(spark, sf_dir).where(S.matches(F.col("subject"), "/f/beta/>")).agg(F.max("floor").alias("oldest"))
-
-
-@query(R + """, stamps AS (SELECT "offset" + 1 AS head, bt_ms AS ms FROM records WHERE "offset" % 100 = 99 AND "offset" < 900) SELECT r."offset", coalesce((SELECT arg_min(ms, head) FROM stamps WHERE head > r."offset"), 9999999999999) AS ms FROM records r""")
-def record_age(spark, sf_dir):
-    r = T.records(spark, sf_dir)
-    return retention.record_age(r, r.where("offset % 100 = 99 AND offset < 900").select((F.col("offset") + 1).alias("head"), F.col("bt_ms").alias("ms")), 9_999_999_999_999)
+def filter_oldest(spark, sf_dir):
+    """From where on every subject of a filter is complete."""
+    return retain_floors(spark, sf_dir).where(S.matches(F.col("subject"), "/f/beta/>")).agg(F.max("floor").alias("oldest"))
 
 
 @query(R + """, stamps AS (SELECT "offset" + 1 AS head, bt_ms AS ms FROM records WHERE "offset" % 100 = 99) SELECT r."offset", coalesce(s.ms, 9999999999999) AS ms FROM records r ASOF LEFT JOIN stamps s ON r."offset" < s.head""")
-def record_age_all(spark, sf_dir):
-    """As ``record_age``, with a stamp at every hundredth record of the whole table."""
+def record_age(spark, sf_dir):
+    """When each record was written at the latest, by stamps at every hundredth."""
     r = T.records(spark, sf_dir)
     return retention.record_age(r, r.where("offset % 100 = 99").select((F.col("offset") + 1).alias("head"), F.col("bt_ms").alias("ms")), 9_999_999_999_999)
 
 
-@query(R + """, now AS (SELECT subject, max("offset") AS last FROM records GROUP BY subject) SELECT r."offset", last = r."offset" AS retired FROM records r JOIN now USING (subject) WHERE r."offset" % 7 = 0""")
+@query(R + """ SELECT "offset", NOT EXISTS (SELECT 1 FROM records n WHERE n.subject = r.subject AND n."offset" > r."offset") AS retired FROM records r""")
 def retire_cas(spark, sf_dir):
     """A retirement holds only if the subject's newest record is still the one meant."""
     r = T.records(spark, sf_dir)
     last = r.groupBy("subject").agg(F.max("offset").alias("last"))
-    return r.where("offset % 7 = 0").join(last, "subject").select("offset", (F.col("last") == F.col("offset")).alias("retired"))
-
-
-@query(R + """ SELECT "offset", NOT EXISTS (SELECT 1 FROM records n WHERE n.subject = r.subject AND n."offset" > r."offset") AS retired FROM records r""")
-def retire_cas_all(spark, sf_dir):
-    """As ``retire_cas``, for every record."""
-    r = T.records(spark, sf_dir)
-    last = r.groupBy("subject").agg(F.max("offset").alias("last"))
     return r.join(last, "subject").select("offset", (F.col("last") == F.col("offset")).alias("retired"))
 
 

@@ -59,11 +59,10 @@ def group_resume(spark, sf_dir):
     return groups.resume(T.commits(spark, sf_dir), T.records(spark, sf_dir), "/f/alpha/cur/n-2").select(*COLUMNS)
 
 
-@query(R + """ SELECT "offset", subject, body FROM (SELECT "offset", CASE WHEN "offset" = 77 THEN '/f/alpha/pub/n-0/s-0/error' ELSE subject END AS subject, CASE WHEN "offset" = 77 THEN 'swapped' ELSE body END AS body FROM records WHERE "offset" < 900)
+@query(R + """ SELECT "offset", subject, body FROM (SELECT "offset", CASE WHEN "offset" = 77 THEN '/f/alpha/pub/n-0/s-0/error' ELSE subject END AS subject, CASE WHEN "offset" = 77 THEN 'swapped' ELSE body END AS body FROM records)
     WHERE regexp_matches(subject, '^/f/alpha/.+$')""")
 def fork_subscribe(spark, sf_dir):
-    frozen = T.records(spark, sf_dir).where("offset < 900")
-    forked = log.fork(frozen, 77, subject=F.lit("/f/alpha/pub/n-0/s-0/error"), body=F.lit("swapped"))
+    forked = log.fork(T.records(spark, sf_dir), 77, subject=F.lit("/f/alpha/pub/n-0/s-0/error"), body=F.lit("swapped"))
     return log.scan_from(forked, 0, "/f/alpha/>").select("offset", "subject", "body")
 
 
@@ -151,13 +150,14 @@ def publish_idempotent(spark, sf_dir):
     return log.publish(T.records_dup(spark, sf_dir)).select("offset", "original", "duplicate")
 
 
-@query(D + """ SELECT "offset" FROM records_dup d WHERE "offset" >= (SELECT count(*) FROM events) AND NOT EXISTS (SELECT 1 FROM records r WHERE r."offset" < 500 AND r.producer_id = d.producer_id AND r.producer_seq = d.producer_seq)""")
+@query(D + """ SELECT "offset" FROM records_dup d WHERE "offset" >= (SELECT count(*) FROM events) AND NOT EXISTS (SELECT 1 FROM records r WHERE r."offset" < (SELECT count(*) // 2 FROM events) AND r.producer_id = d.producer_id AND r.producer_seq = d.producer_seq)""")
 def dedup_lookup(spark, sf_dir):
-    """Late publishes whose key an index of the first offsets doesn't have."""
+    """Late publishes whose key an index of the log's first half doesn't have."""
     r = T.records(spark, sf_dir)
     n = T.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"))
     late = T.records_dup(spark, sf_dir).crossJoin(F.broadcast(n)).where("offset >= n")
-    return late.join(r.where("offset < 500"), ["producer_id", "producer_seq"], "left_anti").select("offset")
+    index = r.crossJoin(F.broadcast(n)).where("offset < floor(n / 2)").select("producer_id", "producer_seq")
+    return late.join(index, ["producer_id", "producer_seq"], "left_anti").select("offset")
 
 
 C = "WITH " + T.COMMITS
@@ -196,9 +196,10 @@ def last_at_head(spark, sf_dir):
     return log.last_at_head(T.records(spark, sf_dir), "/>", head).select("subject", "offset")
 
 
-@query(R + """ SELECT subject, max("offset") AS "offset" FROM records WHERE "offset" < 600 GROUP BY subject""")
+@query(R + """ SELECT subject, max("offset") AS "offset" FROM records WHERE "offset" < (SELECT count(*) * 9 // 10 FROM events) GROUP BY subject""")
 def last_as_of_head(spark, sf_dir):
-    return log.last_at_head(T.records(spark, sf_dir), "/>", 600, asof=True).select("subject", "offset")
+    head = T.table(spark, sf_dir, "events").count() * 9 // 10
+    return log.last_at_head(T.records(spark, sf_dir), "/>", head, asof=True).select("subject", "offset")
 
 
 @query(R + f' SELECT {SQLCOLS} FROM records WHERE "offset" >= 40 ORDER BY "offset" LIMIT 30')
@@ -248,9 +249,10 @@ def subject_budget(spark, sf_dir):
     return first.groupBy("producer_id").agg(F.count(F.lit(1)).alias("subjects"))
 
 
-@query(R + """ SELECT count(*) AS n, min("offset") AS first_offset, max("offset") AS last_offset FROM records WHERE "offset" >= 100 AND "offset" < 700 AND regexp_matches(subject, '^/f/beta/.+$')""")
+@query(R + """ SELECT count(*) AS n, min("offset") AS first_offset, max("offset") AS last_offset FROM records WHERE "offset" >= (SELECT count(*) // 10 FROM events) AND "offset" < (SELECT count(*) * 9 // 10 FROM events) AND regexp_matches(subject, '^/f/beta/.+$')""")
 def gap_count(spark, sf_dir):
-    given_up = log.scan_from(T.records(spark, sf_dir), 100, "/f/beta/>").where("offset < 700")
+    n = T.table(spark, sf_dir, "events").count()
+    given_up = log.scan_from(T.records(spark, sf_dir), n // 10, "/f/beta/>").where(F.col("offset") < n * 9 // 10)
     return given_up.agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
 
 

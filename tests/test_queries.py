@@ -55,6 +55,6 @@ def test_entry(spark):
 
 def test_every_record_is_looked_up(spark):
     n = spark.read.parquet(f"{SF}/events.parquet").count()
-    for name, column in (("keyed_asof_all", "at"), ("retire_cas_all", "offset"), ("record_age_all", "offset")):
+    for name, column in (("keyed_asof", "at"), ("retire_cas", "offset"), ("record_age", "offset")):
         assert catalog.QUERIES[name](spark, SF).select(column).distinct().count() == n
-    assert catalog.QUERIES["record_age_all"](spark, SF).select("ms").distinct().count() > n // 100 - 1
+    assert catalog.QUERIES["record_age"](spark, SF).select("ms").distinct().count() > n // 100 - 1
