@@ -14,7 +14,8 @@ sets, and of sets with very many copies one copy stands for all.
 Equal sets are one node, named by 64 bits of a hash; where the other 64 bits differ, the name is made anew from both.
 In a long list each set is compared with the most central one first; what that links
 needs no more comparison among itself; of the rest, most pairs can't be similar by their sizes, their numbers of tokens that any other
-set has, or by the triangle inequality of the Jaccard distance.
+set has, or by the triangle inequality of the Jaccard distance. Where much is left, prefixes are extended by one more token, so that
+similar sets have two keys in common, and sets meet by pairs of keys.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ OFTEN, HOT, HOT_SHARE = 4, 10_000, 1_000_000
 COPIES, COPIES_SHARE = 1_000, 100_000
 #: Lists are joined by broadcast from so many members on, or from a hundred-thousandth of all keys; their rests are dealt into parts of so many.
 HOT_LIST, HOT_LIST_SHARE, TILE = 20_000, 100_000, 20_000
+#: A list whose rest would make more pairs than this is gone through by pairs of keys.
+FAR_PAIRS = 4_000_000
 #: Bits of a set's first name.
 NAME_BITS = 64
 
@@ -239,12 +242,17 @@ def allowed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def prefix_keys(tokens: np.ndarray, frequency: np.ndarray, n: int, percent: int, frequent: int = FREQUENT) -> np.ndarray:
-    """The index keys of a set of n tokens, of which ``tokens`` are shared (in order: frequency, then hash)."""
-    need = allowed(n, percent) + 1 - (n - len(tokens))
+def prefix_keys(tokens: np.ndarray, frequency: np.ndarray, n: int, percent: int, frequent: int = FREQUENT, extra: int = 0) -> tuple[np.ndarray, bool]:
+    """The index keys of a set of n tokens, of which ``tokens`` are shared (in order: frequency, then hash).
+
+    Similar sets have a key in common. With the prefix extended by ``extra``, they have 1 + ``extra`` if both have tokens enough, which
+    the second value tells: each key that they have in common makes up for one token that they lack at most.
+    """
+    need = allowed(n, percent) + 1 + extra - (n - len(tokens))
     rare = tokens[: np.searchsorted(frequency, frequent, "right")][:need]
     keys = [H.mixed(rare)]
     need -= len(rare)
+    whole = True
     if need > 0:
         common = tokens[np.searchsorted(frequency, frequent, "right") :]
         for classes in {1 << max(0, (m // PER_CLASS).bit_length() - 1) for m in (n, -(-percent * n // 100))}:
@@ -255,20 +263,21 @@ def prefix_keys(tokens: np.ndarray, frequency: np.ndarray, n: int, percent: int,
                 gain[i] = seen[c]
                 seen[c] = True
             end = int(np.searchsorted(np.cumsum(gain), need)) + 1
+            whole &= end <= len(common)
             for c in np.unique(cls[:end]):
                 own = np.sort(common[:end][cls[:end] == c])
                 i, j = np.triu_indices(len(own), 1)
                 keys.append(H.mixed(H.mixed(own[i]) * np.uint64(3) + own[j] + np.uint64(classes)))
-    return np.unique(np.concatenate(keys))
+    return np.unique(np.concatenate(keys)), whole
 
 
 #: Parts into which a set's shared tokens are counted, to bound how many two sets have in common.
 PARTS = 64
-VIABLE = "sig long, n int, lacking double, tokens array<long>, counts array<int>, keys array<long>"
+VIABLE = "sig long, n int, lacking double, tokens array<long>, counts array<int>, keys array<long>, more array<long>, strong boolean"
 
 
 def _viable(percent: int):
-    """Of one block's sets those that can be similar to another: (sig, n, share of unshared tokens, shared tokens, their number in each part, keys)."""
+    """Of one block's sets those that can be similar to another: (sig, n, share of unshared tokens, shared tokens, their number in each part, keys, those of the longer prefix, whether two of all these are shared)."""
     frequent = FREQUENT
 
     def found(table: pa.Table) -> pa.Table:
@@ -280,9 +289,12 @@ def _viable(percent: int):
         for a, b in zip(starts, [*starts[1:], len(sigs)], strict=True):
             size = int(n[a])
             if size - (b - a) <= allowed(size, percent):
-                rows.append((int(sigs[a : a + 1].view(np.int64)[0]), size, (size - int(b - a)) / size, np.sort(tokens[a:b].view(np.int64)), np.bincount((tokens[a:b] >> np.uint64(13)).astype(np.int64) % PARTS, minlength=PARTS), prefix_keys(tokens[a:b], often[a:b], size, percent, frequent).view(np.int64)))
-        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["sig", "n", "lacking", "tokens", "counts", "keys"])
+                keys, _ = prefix_keys(tokens[a:b], often[a:b], size, percent, frequent)
+                two, strong = prefix_keys(tokens[a:b], often[a:b], size, percent, frequent, 1)
+                parts = np.bincount((tokens[a:b] >> np.uint64(13)).astype(np.int64) % PARTS, minlength=PARTS)
+                rows.append((int(sigs[a : a + 1].view(np.int64)[0]), size, (size - int(b - a)) / size, np.sort(tokens[a:b].view(np.int64)), parts, keys.view(np.int64), np.setdiff1d(two, keys).view(np.int64), strong))
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["sig", "n", "lacking", "tokens", "counts", "keys", "more", "strong"])
 
     return found
 
@@ -342,14 +354,33 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     left = members.join(F.broadcast(split.where(F.col("size") > hot)), "key").union(members.join(split.where(F.col("size") <= hot), "key"))
     # one side: the sets outside the component of the list's center, which is mostly the largest
     left = left.select("key", "sig", "n", "s", "far", "root", (F.col("root") == F.col("main")).alias("in_main"), "tiles", _band(F.col("n"), percent).alias("band"))
-    left = written(left.join(sets.select("sig", "counts"), "sig"), "left")
+    left = written(left.join(sets.select("sig", "counts", "strong"), "sig"), "left")
+    loads = left.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("in_main")).alias("outside"))
+    heavy = written(loads.where(F.col("size") * F.col("outside") > FAR_PAIRS).select("key", "size"), "heavy-lists")
+
     # similar sets are of one band of sizes or of neighbouring ones; the members of a list are dealt into parts
-    x = left.where("NOT in_main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "s", "far", "root", "counts")), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "band")
-    x = x.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
     left = left.withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     limit = (100 - percent) / 100 + 1e-9
-    meet = x.join(left, ["key", "tile", "band"]).where(_possible(F.col("n"), F.col("s"), F.col("x_n"), F.col("x_s"), percent) & (F.col("root") != F.col("x_root")) & (F.col("in_main") | (F.col("sig") > F.col("x_sig"))) & (F.col("far").isNull() | F.col("x_far").isNull() | (F.abs(F.col("far") - F.col("x_far")) <= limit)) & _overlapping(percent))
-    rest = meet.select(F.least("sig", "x_sig").alias("a"), F.greatest("sig", "x_sig").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+
+    def meet(rows: DataFrame, others: DataFrame, *on: str) -> DataFrame:
+        """Pairs of which the first is outside the center's component, by lists; what can't be similar by any bound is left out."""
+        x = rows.where("NOT in_main").select(*on, *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "s", "far", "root", "counts")), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "band")
+        x = x.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+        near = F.col("far").isNull() | F.col("x_far").isNull() | (F.abs(F.col("far") - F.col("x_far")) <= limit)
+        other = (F.col("root") != F.col("x_root")) & (F.col("in_main") | (F.col("sig") > F.col("x_sig")))
+        pairs = x.join(others, [*on, "tile", "band"]).where(_possible(F.col("n"), F.col("s"), F.col("x_n"), F.col("x_s"), percent) & other & near & _overlapping(percent))
+        return pairs.select(F.least("sig", "x_sig").alias("a"), F.greatest("sig", "x_sig").alias("b"))
+
+    light = left.join(heavy.select("key"), "key", "left_anti")
+    met = meet(light, light, "key")
+    if heavy.head(1):
+        # in a list with many left, sets meet only where they share another key, too; those that can't promise one meet all
+        large = left.join(F.broadcast(heavy.where(F.col("size") > hot).select("key")), "key", "left_semi").union(left.join(heavy.where(F.col("size") <= hot).select("key"), "key", "left_semi"))
+        strong, weak = large.where("strong"), large.where("NOT strong")
+        second = sets.select("sig", F.explode(F.concat("keys", "more")).alias("second"))
+        dealt = strong.join(second, "sig").where(F.col("second") != F.col("key"))
+        met = met.union(meet(dealt, dealt, "key", "second")).union(meet(weak, large, "key")).union(meet(strong, weak, "key"))
+    rest = met.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     return links.union(_verified(rest, sets, percent).where("linked").select("a", "b"))
 
 

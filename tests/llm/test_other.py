@@ -44,12 +44,40 @@ def test_jaccard_frequent_tokens(spark, monkeypatch):
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i: g for (i, _), g in zip(rows, brute.similar_groups(rows), strict=True)}
-    for limits in ({"FREQUENT": 10, "SHORT": 4}, {"FREQUENT": 10, "SHORT": 4, "OFTEN": 2, "HOT": 12, "COPIES": 2, "HOT_LIST": 8, "TILE": 5, "BLOCK_TOKENS": 500}, {"SHORT": 2, "HOT": 2, "OFTEN": 2, "NAME_BITS": 5}):
+    for limits in ({"FREQUENT": 10, "SHORT": 4}, {"FREQUENT": 10, "SHORT": 4, "OFTEN": 2, "HOT": 12, "COPIES": 2, "HOT_LIST": 8, "TILE": 5, "BLOCK_TOKENS": 500}, {"SHORT": 2, "HOT": 2, "OFTEN": 2, "NAME_BITS": 5}, {"FAR_PAIRS": 0, "FREQUENT": 10, "PER_CLASS": 8}, {"FAR_PAIRS": 0, "FREQUENT": 3, "PER_CLASS": 40, "HOT_LIST": 4}):
         for name, value in limits.items():
             monkeypatch.setattr(J, name, value)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df).collect()} == want
 
 
+def test_jaccard_rests_of_lists(spark, monkeypatch):
+    """Sets put together from the same frequent parts share lists without being similar; what is left of these meets by pairs of keys."""
+    import random
+
+    from ledgerline.llm import jaccard_join as J
+
+    rng = random.Random(11)
+    parts = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(9)]
+    rows = []
+    for _ in range(25):
+        own = rng.sample(parts, 4)
+        for _ in range(5):
+            w = " ".join(own).split()
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    seen, plain = {}, J.written
+    monkeypatch.setattr(J, "written", lambda df, name: seen.setdefault(name, plain(df, name)) if name == "heavy-lists" else plain(df, name))
+    for name, value in {"FREQUENT": 4, "SHORT": 3, "FAR_PAIRS": 0, "TILE": 20}.items():
+        monkeypatch.setattr(J, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df).collect()}
+    assert got == {i: g for (i, _), g in zip(rows, brute.similar_groups(rows), strict=True)}
+    assert seen["heavy-lists"].count() > 20 and 10 < len({c for _, c in got.values()}) < 60
+
+
 def test_jaccard_hot_copies(spark, docs, rows, monkeypatch):
     """Sets with many copies, hot tokens and names that several sets would share change nothing."""
     from ledgerline.llm import jaccard_join as J
@@ -78,8 +106,10 @@ def test_prefix_keys_share():
         base, often = base[order], often[order]
         lost = int(rng.integers(0, len(base) - -(-85 * len(base) // 100) + 1))
         keep = np.sort(rng.permutation(len(base))[lost:])
-        one, two = prefix_keys(base, often, len(base), 85), prefix_keys(base[keep], often[keep], len(keep), 85)
-        assert np.isin(one, two).any()
+        for extra in (0, 1, 2):
+            (one, whole), (two, also) = prefix_keys(base, often, len(base), 85, extra=extra), prefix_keys(base[keep], often[keep], len(keep), 85, extra=extra)
+            assert np.isin(one, two).sum() >= 1 + extra * (whole and also)
+            assert np.isin(prefix_keys(base, often, len(base), 85)[0], one).all()
 
 
 def test_substring_dedup(docs, rows, none):
