@@ -196,3 +196,47 @@ def hook_payloads(spark, sf_dir):
     json = lambda first, name: F.to_json(F.struct(F.lit(first).alias(name), *rest))
     forms = F.map_from_arrays(F.array(*(F.lit(x) for x in ("line", "notification", "stop", "turn"))), F.array(F.col("line"), json("Notification", "hook_event_name"), json("Stop", "hook_event_name"), json("turn.wake", "type")))
     return w.select("offset", F.explode(forms).alias("form", "payload")).withColumn("payload", F.concat("payload", F.lit("\n")))
+
+
+def _hmac_sql(key: str, message: str) -> str:
+    """Over hex strings; the key has 64 bytes at most."""
+    pad = lambda by: f"array_to_string(list_transform(range({H.BLOCK}), lambda i: printf('%02x', xor(('0x' || substr(rpad({key}, {2 * H.BLOCK}, '0'), 2 * i + 1, 2))::INT, {by}))), '')"
+    return f"sha256(from_hex({pad(H.OUTSIDE)} || sha256(from_hex({pad(H.INSIDE)} || {message}))))"
+
+
+@query(R + f""", k AS (SELECT "offset", lower(hex(encode(kind))) AS key, lower(hex(encode(body))) AS message, lower(hex(encode(subject))) AS info FROM records), t AS (SELECT *, {_hmac_sql('key', 'message')} AS tag FROM k)
+    SELECT "offset", tag, {_hmac_sql('tag', "info || '01'")} AS derived FROM t""")
+def hmac_tags(spark, sf_dir):
+    """Each body's tag under a key, and a key derived from the body for its subject."""
+    r = T.records(spark, sf_dir)
+    return r.select("offset", H.hmac_sha256_hex(F.col("kind"), F.col("body")).alias("tag"), H.hkdf_hex(F.col("body"), F.col("kind"), F.col("subject")).alias("derived"))
+
+
+@query(R + """ SELECT "offset", CASE WHEN "offset" % 3 <> 1 THEN body END AS from_base64, CASE WHEN "offset" % 3 <> 2 THEN kind END AS from_hex FROM records""")
+def decoded_texts(spark, sf_dir):
+    """Base64 and hex read again; damaged ones are refused."""
+    o = F.col("offset")
+    base64 = F.concat(F.base64(F.encode("body", "UTF-8")), F.when(o % 3 == 1, "?").otherwise(""))
+    hexed = F.concat(F.lower(F.hex(F.encode("kind", "UTF-8"))), F.when(o % 3 == 2, "xy").otherwise(""))
+    text = lambda c, form: F.decode(F.try_to_binary(c, F.lit(form)), "UTF-8")
+    return T.records(spark, sf_dir).select("offset", text(base64, "base64").alias("from_base64"), text(hexed, "hex").alias("from_hex"))
+
+
+@query(R + """ SELECT "offset", greatest(1000, least(v, 20000)) AS clamped, max(v) OVER (PARTITION BY producer_id ORDER BY "offset") AS advanced, v > coalesce(max(v) OVER (PARTITION BY producer_id ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS moved FROM records""")
+def clamp_advance(spark, sf_dir):
+    """Values held within bounds, and marks that only go forward."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("producer_id").orderBy("offset")
+    before = F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return T.records(spark, sf_dir).select("offset", F.greatest(F.lit(1000), F.least("v", F.lit(20000))).alias("clamped"), F.max("v").over(w).alias("advanced"), (F.col("v") > F.coalesce(before, F.lit(-1))).alias("moved"))
+
+
+@query("""WITH j AS (SELECT event_id % 50 AS node, user_id % 20 AS step, min(event_id) AS output FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+    SELECT n.node, s.step, coalesce(output, n.node * 1000 + s.step) AS output, output IS NULL AS ran FROM (SELECT unnest(range(50)) AS node) n, (SELECT unnest(range(20)) AS step) s LEFT JOIN j ON j.node = n.node AND j.step = s.step""")
+def journal_run(spark, sf_dir):
+    """A workflow run over its journal: outputs that are there are taken, missing steps are run."""
+    e = T.table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    journal = e.groupBy((F.col("event_id") % 50).alias("node"), (F.col("user_id") % 20).alias("step")).agg(F.min("event_id").alias("output"))
+    steps = spark.range(50).select(F.col("id").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("step"))
+    return steps.join(journal, ["node", "step"], "left").select("node", "step", F.coalesce("output", F.col("node") * 1000 + F.col("step")).alias("output"), F.col("output").isNull().alias("ran"))
