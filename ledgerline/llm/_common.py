@@ -88,6 +88,11 @@ def words(text: Column, not_word: str) -> Column:
     return F.array_remove(parts, "")
 
 
+def whole_row(rows: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in rows.columns))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Names a row by its id and content, so that repeated ids with other texts stay apart and repeated rows agree."""
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("~")), F.coalesce(F.hex(F.xxhash64(text)), F.lit("~")), F.coalesce(F.octet_length(text).cast("string"), F.lit("~")))

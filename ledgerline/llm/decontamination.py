@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import NOT_WORD, ascii_lower, many_to_one, row_key, words, written
+from ledgerline.llm._common import NOT_WORD, ascii_lower, many_to_one, row_key, whole_row, words, written
 
 #: Benchmark fingerprints are broadcast up to this number (24 bytes each), items up to so many bytes; beyond it they are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
@@ -142,5 +142,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     """The rows of ``docs``, all columns (of any names), that the rule doesn't find contaminated."""
     found = decontaminate(docs, benchmark, id_col, text_col)
     found = written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("key").distinct(), "contaminated")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col(id_col), F.col(text_col).cast("string")).alias("key"))
+    rows = docs.select(whole_row(docs).alias("row"), row_key(F.col(id_col), F.col(text_col).cast("string")).alias("key"))
     return rows.join(found, "key", "left_anti").select("row.*")

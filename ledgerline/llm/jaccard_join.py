@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import _hashing as H
-from ledgerline.llm._common import many_to_one, written
+from ledgerline.llm._common import many_to_one, whole_row, written
 from ledgerline.llm.components import components
 
 #: A token in more sets than this is frequent.
@@ -436,7 +436,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, all columns (of any names), that stand for their component: those with its smallest id; of rows with equal id and text one stays."""
     found = written(similar_components(docs, id_col, text_col, size, percent).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("k"), "text_hash"), "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))
     # one shuffle by id serves the join and the equal rows
     named = rows.join(found.select(F.col("k").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
     unnamed = rows.where("id IS NULL").join(found.where("k IS NULL").select(F.col("text_hash").alias("text")).distinct(), "text", "left_semi").dropDuplicates(["text"])

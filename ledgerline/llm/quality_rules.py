@@ -14,7 +14,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import SPACE, words
+from ledgerline.llm._common import SPACE, whole_row, words
 
 #: Labelled rows that a fit uses at most: those with the smallest hash of their id.
 SAMPLE = 4000
@@ -225,7 +225,7 @@ def _computed_once(statistics: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs``, all columns, that ``judge_quality`` keeps."""
     learned = learn_rules(labelled_sample(docs, labels, id_col, text_col, label_col))
-    given = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__t"))
+    given = docs.select(whole_row(docs).alias("__row"), F.col(text_col).alias("__t"))
     rows = text_statistics(given, F.col("__row"), text=F.col("__t"))
     rows = with_features(_computed_once(rows))
     return rows.where((F.col("__at") >= 0) & ~base_failed() & verdict(learned)).select("__row.*")

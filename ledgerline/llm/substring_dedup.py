@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import _hashing as H
-from ledgerline.llm._common import temporary, written
+from ledgerline.llm._common import temporary, whole_row, written
 
 #: Words in a fingerprinted gram.
 K = 8
@@ -341,7 +341,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, copied, lost = _changed(docs, id_col, text_col, window, None, None)
     lost, copied = written(lost.drop("n_removed"), "kept-texts"), F.broadcast(copied)
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    rows = docs.select(whole_row(docs).alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     whole = rows.join(copied, ["t1", "t2"], "left_semi").select("row", F.lit("").alias("kept_text"))
     rest = rows.join(copied, ["t1", "t2"], "left_anti").join(lost, ["t1", "t2"], "left").select("row", "kept_text")
     return rest.union(whole).select(*(F.coalesce("kept_text", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

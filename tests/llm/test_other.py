@@ -381,6 +381,34 @@ def test_lines_outside_the_article(spark):
     assert out == {i: f"p{i} title\np{i} body\np{i} teaser" for i in (1, 2, 3)} | {4: "Site name\np4 title\np4 body\np4 teaser\nLegal"}
 
 
+ODD = "doc_id long, text string, `__row` string, `__t` string, `row` string, `key` string, `id` string, `n_words` string, `a.b` string"
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "jaccard_join", "substring_dedup", "decontamination"])
+def test_stage_edges(spark, stage):
+    """Each filtering step on no rows, on nulls alone, and on columns whose names it might use itself."""
+    from ledgerline.llm.decontamination import without_contaminated
+    from ledgerline.llm.quality_rules import keep_good
+
+    bench = spark.createDataFrame([(1, None), (None, "a b c")], "item_id long, text string")
+    labels = spark.createDataFrame([(None, 1), (1, None), (1, 0)], "doc_id long, quality int")
+    step = {"quality_rules": lambda d: keep_good(d, labels), "jaccard_join": one_of_each, "substring_dedup": without_repeats, "decontamination": lambda d: without_contaminated(d, bench)}[stage]
+    odd = [f"x{i}" for i in range(7)]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, *odd), (None, None, *[None] * 7), (2, "", *odd), (2, None, *odd), (3, text + " more", *odd), (1, text, *odd)]
+    none = step(spark.createDataFrame([], ODD))
+    assert none.count() == 0 and none.columns == [c.strip("`") for c in ODD.replace(" long", "").replace(" string", "").split(", ")]
+    assert step(spark.createDataFrame([(None, None, *[None] * 7)] * 3, ODD)).count() == {"quality_rules": 0, "jaccard_join": 1, "substring_dedup": 3, "decontamination": 3}[stage]
+    got = sorted((tuple(r) for r in step(spark.createDataFrame(rows, ODD)).collect()), key=str)
+    want = {
+        "quality_rules": [rows[0], rows[4], rows[5]],
+        "jaccard_join": [rows[0], rows[1], rows[2], rows[3]],
+        "substring_dedup": [(1, "", *odd), rows[1], rows[2], rows[3], (3, "more", *odd), (1, "", *odd)],
+        "decontamination": rows,
+    }[stage]
+    assert got == sorted(map(tuple, want), key=str)
+
+
 def test_pipeline(spark, tmp_path, rows, benchmark_items):
     import corpus_pipeline as C
 
