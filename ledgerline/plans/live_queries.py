@@ -104,6 +104,13 @@ def stream_classify(spark, sf_dir):
     return _run(live.classify(rows, 43_200_000, "shell", rows=3), "session long, offset long, kind string, exit int").drop("batch")
 
 
+@query(R + """, g AS (SELECT producer_id, "offset", bt_ms, lead(bt_ms) OVER (PARTITION BY producer_id ORDER BY "offset") AS next FROM records) SELECT producer_id AS session, "offset", bt_ms + 86400000 AS fired_ms FROM g WHERE next - bt_ms >= 86400000 OR next IS NULL AND bt_ms + 86400000 <= (SELECT max(bt_ms) FROM records)""")
+def stream_wills(spark, sf_dir):
+    """Wills of sessions that have been silent for a day."""
+    rows = _events(spark, sf_dir).select(F.col("producer_id").alias("session"), "offset", "at")
+    return _run(live.wills(rows, 86_400_000), "session long, offset long, fired_ms long").drop("batch")
+
+
 @query(R + """, g AS (SELECT producer_id, bt_ms, lead(bt_ms) OVER (PARTITION BY producer_id ORDER BY "offset") AS next FROM records) SELECT producer_id, bt_ms + 43200000 AS at_ms FROM g WHERE next - bt_ms >= 43200000 OR next IS NULL AND bt_ms + 43200000 <= (SELECT max(bt_ms) FROM records)""")
 def stall_wakes(spark, sf_dir):
     """A producer that is idle for half a day is reported once for each idle run."""

@@ -137,6 +137,45 @@ def classify(records: DataFrame, idle_ms: int, profile: str = "common", delay: s
     return timed.groupBy("session").transformWithStateInPandas(processor, outputStructType="session long, offset long, kind string, exit int", outputMode="Append", timeMode="EventTime")
 
 
+class _Will(StatefulProcessor):
+    """The last record of a session, and a timer that ends it; see ``wills``."""
+
+    def __init__(self, keepalive_ms: int):
+        self.keepalive_ms = keepalive_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", StructType([StructField("at_ms", LongType()), StructField("offset", LongType()), StructField("over", BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at_ms, offset, over = self.state.get() if self.state.exists() else (None, None, True)
+        out = []
+        for at, place in sorted((int(r.at_ms), int(r.offset)) for batch in rows for r in batch.itertuples(index=False)):
+            if not over and at - at_ms >= self.keepalive_ms:  # it ended between two records of one micro-batch
+                out.append((key[0], offset, at_ms + self.keepalive_ms))
+            at_ms, offset, over = at if at_ms is None else max(at, at_ms), place, False
+        self.state.update((at_ms, offset, False))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.handle.registerTimer(at_ms + self.keepalive_ms)
+        yield pd.DataFrame(out, columns=["session", "offset", "fired_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at_ms, offset, over = self.state.get()
+        self.state.update((at_ms, offset, True))
+        yield pd.DataFrame([] if over else [(key[0], offset, at_ms + self.keepalive_ms)], columns=["session", "offset", "fired_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def wills(records: DataFrame, keepalive_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """(session, offset, fired_ms) of records session, offset, at: a session that says nothing for so long has ended, and its will
+    is published once, after its last record; one that speaks again is a new session."""
+    timed = records.withColumn("at_ms", F.unix_millis("at")).withWatermark("at", delay)
+    return timed.groupBy("session").transformWithStateInPandas(_Will(keepalive_ms), outputStructType="session long, offset long, fired_ms long", outputMode="Append", timeMode="EventTime")
+
+
 def fan_out(records: DataFrame, subscribers: dict[str, tuple[str, int]], sink: str, checkpoints: str) -> dict[str, StreamingQuery]:
     """One query for each subscriber (name: filter, first offset), each with a cursor of its own: one that stops or lags holds no other up."""
     return {
