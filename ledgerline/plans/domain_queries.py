@@ -75,7 +75,7 @@ def sync_quarantined(spark, sf_dir):
     """Headers of forked actors from the fork on."""
     h = T.headers(spark, sf_dir)
     torn = h.groupBy("actor", "sequence").agg(F.count_distinct("id").alias("n")).where("n > 1").groupBy("actor").agg(F.min("sequence").alias("since"))
-    return h.join(F.broadcast(torn), "actor").where("sequence >= since").groupBy("actor").agg(F.count(F.lit(1)).alias("n"))
+    return h.join(torn, "actor").where("sequence >= since").groupBy("actor").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(H + ", u AS (SELECT id FROM headers WHERE sequence % 3 <> 0 UNION SELECT id FROM headers WHERE sequence % 3 <> 1) SELECT count(*) AS n, min(id) AS low, max(id) AS high FROM u")
@@ -107,7 +107,7 @@ def shared_prefixes(spark, sf_dir):
     """How far two inventories agree on each actor, of which one has two thirds of every chain."""
     h = T.headers(spark, sf_dir)
     upto = h.groupBy("actor").agg(F.floor(F.max("sequence") * 2 / 3).alias("upto"))
-    theirs = h.join(F.broadcast(upto), "actor").where("sequence <= upto").select("actor", "sequence", "id")
+    theirs = h.join(upto, "actor").where("sequence <= upto").select("actor", "sequence", "id")
     both = h.select("actor", "sequence", "id").intersect(theirs)
     return both.groupBy("actor").agg(F.max("sequence").alias("sequence"))
 
@@ -457,7 +457,7 @@ HELD = """, upto AS (SELECT "group", max(upto) AS upto FROM commits GROUP BY "gr
 
 def _held_rows(spark, sf_dir):
     r = _classed(spark, sf_dir).where("rule = 2").withColumn("group", retention.reader_group(F.col("subject"), RULES[2].read))
-    return r.join(F.broadcast(T.commits(spark, sf_dir).groupBy("group").agg(F.max("upto").alias("upto"))), "group", "left")
+    return r.join(T.commits(spark, sf_dir).groupBy("group").agg(F.max("upto").alias("upto")), "group", "left")
 
 
 @query(CLASSED + ", " + T.COMMITS + HELD + """ SELECT "offset", upto IS NULL OR "offset" > upto AS held FROM held""")
