@@ -351,12 +351,12 @@ ECHO = """io AS (SELECT session AS key, "offset" AS pos, kind, CASE kind WHEN 'I
     q AS (SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY pos) AS before, lag(pos) OVER (PARTITION BY key ORDER BY pos) AS input FROM io)"""
 
 
-def _typed(spark, sf_dir):
+def _typed(spark, sf_dir, always: bool = False):
     s = T.session_log(spark, sf_dir).where("kind <> 'Resize'").select(F.col("session").alias("key"), F.col("offset").alias("at"), "kind")
     w = Window.partitionBy("key").orderBy("at")
     # an input is echoed by the output that follows it; an input after an input is dropped here
     s = s.withColumn("after", F.lead("kind").over(w)).withColumn("before", F.lag("kind").over(w)).withColumn("input", F.lag("at").over(w)).where("NOT (kind = 'In' AND after <=> 'In')")
-    echo = F.when((F.col("before") == "In") & (F.col("at") % 4 != 1), F.concat(F.lit("k"), (F.col("input") % 10).cast("string"), F.lit(" done"))).otherwise("other")
+    echo = F.when((F.col("before") == "In") & (F.lit(always) | (F.col("at") % 4 != 1)), F.concat(F.lit("k"), (F.col("input") % 10).cast("string"), F.lit(" done"))).otherwise("other")
     return s.select("key", "at", "kind", F.when(F.col("kind") == "In", F.concat(F.lit("k"), (F.col("at") % 10).cast("string"))).otherwise(echo).alias("text"))
 
 
@@ -366,10 +366,10 @@ def predicted_echoes(spark, sf_dir):
     return folds.predict(_typed(spark, sf_dir))
 
 
-@query()
+@query(SL + ", " + ECHO + """ SELECT key, pos AS "at", input, 0::INT AS "begin", 2::INT AS "end", input AS newest FROM q WHERE kind = 'Out' AND before = 'In'""")
 def echo_attribution(spark, sf_dir):
-    """Parts of outputs that echo inputs, by the input."""
-    return folds.attribute_echoes(_typed(spark, sf_dir))
+    """Parts of outputs that echo inputs, by the input; each input is echoed by the next output, which goes on otherwise."""
+    return folds.attribute_echoes(_typed(spark, sf_dir, always=True))
 
 
 @query(R + f""" SELECT "offset", ({sql_fnv("list_concat(list_concat(list_concat(list_transform(range(8), lambda i: (octet_length(encode(kind))::UHUGEINT // (1::UHUGEINT << (8 * i)::UHUGEINT)) % 256), " + sql_bytes("kind") + "), list_concat(list_transform(range(8), lambda i: (octet_length(encode(subject))::UHUGEINT // (1::UHUGEINT << (8 * i)::UHUGEINT)) % 256), " + sql_bytes("subject") + ")), list_transform(range(8), lambda i: ((bt_ms // 2000)::UHUGEINT // (1::UHUGEINT << (8 * i)::UHUGEINT)) % 256))")} % 16)::INT AS partition FROM records""")
