@@ -62,6 +62,30 @@ def shared_folder(spark) -> str:
     return where.rstrip("/")
 
 
+_to_remove: dict[str, object] = {}
+
+
+def temporary_folder(spark, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends."""
+    import atexit
+    import uuid
+
+    path = f"{shared_folder(spark)}/ledgerline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _to_remove:
+        atexit.register(_remove_all)
+    _to_remove[path] = spark
+    return path
+
+
+def _remove_all() -> None:
+    for path, spark in _to_remove.items():
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before; what is left is only temporary
+            return
+
+
 def _ensure_checkpoint_dir(spark) -> None:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

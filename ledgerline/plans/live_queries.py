@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from ledgerline.functions import hashes as H
 from ledgerline.functions import lines as L
 from ledgerline.functions import subjects as S
 from ledgerline.functions.summaries import bucket_index
-from ledgerline.operators.cuts import shared_folder
+from ledgerline.operators.cuts import temporary_folder
 from ledgerline.plans.registry import query
 from ledgerline.sources import frames
 from ledgerline.sources import tables as T
@@ -22,10 +20,6 @@ R = "WITH " + T.RECORDS
 SL = "WITH " + T.SESSION_LOG
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/ledgerline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _events(spark, sf_dir):
     return live.as_records(live.read_events(spark, sf_dir, 1, "events.parquet"))
 
@@ -33,7 +27,7 @@ def _events(spark, sf_dir):
 def _run(stream, schema: str, mode: str = "append"):
     """The rows that a stream adds until its input ends, written to the shared folder."""
     spark = stream.sparkSession
-    path = _folder(spark, "stream")
+    path = temporary_folder(spark, "stream")
 
     def write(batch, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/batch-{batch_id}")
@@ -76,10 +70,10 @@ def stream_signals(spark, sf_dir):
 @query(R + """ SELECT producer_id, count(DISTINCT "offset" // 2) AS keys FROM records GROUP BY producer_id""")
 def stream_exactly_once(spark, sf_dir):
     """Records whose key repeats, written by a stream, and its first batch again after it: each key once."""
-    path = _folder(spark, "sink")
+    path = temporary_folder(spark, "sink")
     rows = _events(spark, sf_dir).withColumn("key", F.floor(F.col("offset") / 2))
     write = live.exactly_once(path, ["producer_id", "key"], "q")
-    q = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    q = rows.writeStream.foreachBatch(write).option("checkpointLocation", temporary_folder(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
     first = live.as_records(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("key", F.floor(F.col("offset") / 2))
     live.exactly_once(path, ["producer_id", "key"], "again")(first, 0)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import hashes as H
 from ledgerline.functions import subjects as S
 from ledgerline.operators import folds, graphs, merkle, retention, terminal
-from ledgerline.operators.cuts import shared_folder
+from ledgerline.operators.cuts import temporary_folder
 from ledgerline.plans.domain_queries import sql_bytes, sql_fnv, stepped
 from ledgerline.plans.registry import query
 from ledgerline.sources import batches
@@ -171,16 +169,12 @@ def fresh_publish(spark, sf_dir):
     return tries.withColumn("again", again).select("pos", F.when(F.coalesce(before, F.lit(False)), "Fenced").when(F.col("again"), "Held").otherwise("Appended").alias("answer"))
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/ledgerline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query(R + """ SELECT "offset", subject, "offset" // 100 * 100 AS segment FROM records WHERE "offset" // 100 * 100 + 100 > (SELECT max("offset") // 2 FROM records)""")
 def segments_floor(spark, sf_dir):
     """A log in segments; those wholly below the floor are unlinked."""
     r = T.records(spark, sf_dir).select("offset", "subject")
     floor = r.agg(F.max("offset")).first()[0] // 2
-    path = _folder(spark, "segments")
+    path = temporary_folder(spark, "segments")
     retention.write_segments(r, path, 100)
     retention.unlink_below(spark, path, floor, 100)
     return spark.read.schema("offset long, subject string, segment long").parquet(path)
@@ -190,7 +184,7 @@ def segments_floor(spark, sf_dir):
 def compact_log(spark, sf_dir):
     """A log rewritten from its middle, with the records that are held."""
     r = T.records(spark, sf_dir)
-    path = _folder(spark, "compacted")
+    path = temporary_folder(spark, "compacted")
     retention.compact(r.select("offset", "subject", "body"), r.where("kind = 'signup'"), r.agg(F.max("offset")).first()[0] // 2, path)
     return spark.read.parquet(path)
 
