@@ -372,12 +372,12 @@ def partition_unkeyed(spark, sf_dir):
     return T.records(spark, sf_dir).select("offset", H.unkeyed_partition(F.col("kind"), F.col("subject"), F.col("bt_ms"), 16).alias("partition"))
 
 
-@query(R + """ SELECT DISTINCT subject, string_split(subject, '/')[2:] AS segments, len(string_split(subject, '/')) - 1 AS depth, CASE WHEN subject LIKE '/f/alpha/%' THEN 'alpha' ELSE 'beta' END AS owner FROM records""")
+@query(R + """ SELECT DISTINCT subject, array_to_string(string_split(subject, '/')[2:], ' ') AS segments, len(string_split(subject, '/')) - 1 AS depth, CASE WHEN subject LIKE '/f/alpha/%' THEN 'alpha' ELSE 'beta' END AS owner FROM records""")
 def subject_segments(spark, sf_dir):
     """A subject's segments, depth and owner."""
     parts = F.split("subject", "/")
     found = T.records(spark, sf_dir).select("subject").distinct()
-    return found.select("subject", F.slice(parts, 2, F.size(parts) - 1).alias("segments"), (F.size(parts) - 1).cast("long").alias("depth"), F.when(S.matches(F.col("subject"), "/f/alpha/>"), "alpha").otherwise("beta").alias("owner"))
+    return found.select("subject", F.array_join(F.slice(parts, 2, F.size(parts) - 1), " ").alias("segments"), (F.size(parts) - 1).cast("long").alias("depth"), F.when(S.matches(F.col("subject"), "/f/alpha/>"), "alpha").otherwise("beta").alias("owner"))
 
 
 # chains and admissions
@@ -401,7 +401,7 @@ def commit_chain(spark, sf_dir):
     return folds.commit_chain(s.select(F.col("session").alias("key"), F.col("offset").alias("at"), F.col("ts_logical").alias("ts"), tag.alias("tag"), "text"))
 
 
-@query(SL + """, n AS (SELECT session AS key, count(*) AS n FROM session_log GROUP BY session) SELECT key, CASE WHEN key % 4 = 1 AND n > 3 THEN 3 WHEN key % 4 = 2 AND n > 2 THEN 2 WHEN key % 4 = 3 AND n > 5 THEN 4 END AS "at",
+@query(SL + """, n AS (SELECT session AS key, count(*) AS n FROM session_log GROUP BY session) SELECT key, CASE WHEN key % 4 = 1 AND n > 3 THEN 3 WHEN key % 4 = 2 AND n > 2 THEN 2 WHEN key % 4 = 3 AND n > 5 THEN 4 END::BIGINT AS "at",
     CASE WHEN key % 4 = 1 AND n > 3 THEN 'HashMismatch' WHEN key % 4 = 2 AND n > 2 THEN 'BrokenParentLink' WHEN key % 4 = 3 AND n > 5 THEN 'NonDenseOffset' ELSE 'Verified' END AS verdict FROM n""")
 def chain_verify(spark, sf_dir):
     """Chains of which some have a changed text, another parent or a missing record: the first fault of each."""
