@@ -14,8 +14,9 @@ sets, and of sets with very many copies one copy stands for all.
 Equal sets are one node, named by 64 bits of a hash; where the other 64 bits differ, the name is made anew from both.
 In a long list each set is compared with the most central one first; what that links
 needs no more comparison among itself; of the rest, most pairs can't be similar by their sizes, their numbers of tokens that any other
-set has, or by the triangle inequality of the Jaccard distance. Where much is left, prefixes are extended by one more token, so that
-similar sets have two keys in common, and sets meet by pairs of keys.
+set has, or by the triangle inequality of the Jaccard distance. What is left of lists with one center is compared as a whole where that is less
+than list by list: near copies of one text share many lists. Tiles of sets are counted as matrices, so no pair is ever a row. Where
+very much is left, prefixes are extended by one more token, so that similar sets have two keys in common, and sets meet by pairs of keys.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,10 @@ OFTEN, HOT, HOT_SHARE = 4, 10_000, 1_000_000
 COPIES, COPIES_SHARE = 1_000, 100_000
 #: Lists are joined by broadcast from so many members on, or from a hundred-thousandth of all keys; their rests are dealt into parts of so many.
 HOT_LIST, HOT_LIST_SHARE, TILE = 20_000, 100_000, 20_000
+#: What is left is compared in tiles of so many sets and tokens at most, about, and so many pairs at once.
+NEAR_TILE, NEAR_TOKENS, NEAR_PAIRS = 4_000, 2_000_000, 4_000_000
 #: A list whose rest would make more pairs than this is gone through by pairs of keys.
-FAR_PAIRS = 4_000_000
+FAR_PAIRS = 1_000_000_000
 #: Bits of a set's first name.
 NAME_BITS = 64
 
@@ -325,6 +329,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("i") / union).alias("far"), (100 * F.col("i") >= percent * union).alias("linked"))
 
 
+def _in_common(xs: list[np.ndarray], ys: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """How many tokens each x has in common with each y, some x at a time: (the first one's place, a row for each).
+
+    Tokens that many of both sides have are counted by matrix products, the others pair by pair.
+    """
+    sizes = np.array([len(t) for t in (*xs, *ys)])
+    owner, (values, token) = np.repeat(np.arange(len(sizes)), sizes), np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    is_x = owner < len(xs)
+    n_x, n_y = (np.bincount(token[side], minlength=len(values)) for side in (is_x, ~is_x))
+    work = n_x * n_y
+    dense = np.flatnonzero(work * 128 > len(xs) * len(ys))
+    column = np.full(len(values), -1)
+    column[dense] = np.arange(len(dense))
+    rare = is_x & (work > 0)[token] & (column < 0)[token]
+    rare_x, rare_token = owner[rare], token[rare]
+    order = np.argsort(token[~is_x], kind="stable")
+    holders, begin = owner[~is_x][order] - len(xs), np.concatenate([[0], np.cumsum(n_y)])
+    common = np.flatnonzero(column[token] >= 0)
+    common = common[np.argsort(column[token[common]], kind="stable")]
+    own, at = owner[common], column[token[common]]
+    for first in range(0, len(xs), step := max(1, NEAR_PAIRS // len(ys))):
+        last = min(len(xs), first + step)
+        out = np.zeros((last - first, len(ys)), np.float32)
+        for c in range(0, len(dense), 512):
+            rows, columns = (v[slice(*np.searchsorted(at, [c, c + 512]))] for v in (own, at))
+            left, right = (np.zeros((n, min(512, len(dense) - c)), np.float32) for n in (last - first, len(ys)))
+            for side, here, base in ((left, (rows >= first) & (rows < last), first), (right, rows >= len(xs), len(xs))):
+                side[rows[here] - base, columns[here] - c] = 1
+            out += left @ right.T
+        a, b = np.searchsorted(rare_x, [first, last])
+        pairs = np.concatenate([[0], np.cumsum(n_y[rare_token[a:b]])])
+        while pairs[-1] > pairs[0]:  # so many tokens that they make NEAR_PAIRS pairs, or one token's
+            k = max(1, int(np.searchsorted(pairs, pairs[0] + NEAR_PAIRS, "right")) - 1)
+            t, n = rare_token[a : a + k], n_y[rare_token[a : a + k]]
+            y = holders[np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            np.add.at(out, (np.repeat(rare_x[a : a + k] - first, n), y), 1)
+            a, pairs = a + k, pairs[k:]
+        yield first, out
+
+
+def _near(percent: int):
+    """(a, b) of links between one tile's sets outside their list's main component (``outside``) and its others; of each set one to each component."""
+
+    def found(table: pa.Table) -> pa.Table:
+        outside = table.column("outside").to_numpy()
+        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        links = []
+        if len(x) and len(y):
+            sig, n, root, main = (table.column(c).to_numpy() for c in ("sig", "n", "root", "in_main"))
+            tokens = table.column("tokens").combine_chunks()
+            flat, ends = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(tokens))])
+            sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            for first, common in _in_common([sets[i] for i in x], [sets[i] for i in y]):
+                own = x[first : first + len(common)]
+                least = -(-percent * (n[own].astype(np.int64)[:, None] + n[y]) // (100 + percent))
+                linked = (common >= least) & (root[own][:, None] != root[y]) & (main[y] | (sig[y] > sig[own][:, None]))
+                for i in np.flatnonzero(linked.any(axis=1)):
+                    to = y[linked[i]]
+                    links += [(min(int(sig[own[i]]), int(sig[j])), max(int(sig[own[i]]), int(sig[j]))) for j in to[np.unique(root[to], return_index=True)[1]]]
+        return pa.Table.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return found
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of links between viable sets; enough of them that every linked pair is in one component."""
     listed = written(sets.select("sig", "n", F.size("tokens").alias("s"), "lacking", F.explode("keys").alias("key")), "keys")
@@ -348,17 +416,47 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     far = first.select(F.col("a").alias("sig"), F.col("b").alias("center"), "far").union(first.select("b", "a", "far"))
     members = long.select("key", "sig", "n", "s", "center").union(centers.select("key", F.col("center").alias("sig"), F.col("center_n").alias("n"), F.col("center_s").alias("s"), "center"))
     members = members.join(far, ["sig", "center"], "left").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    members = written(members.select("key", "sig", "n", "s", F.when(F.col("sig") == F.col("center"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("root", "sig").alias("root")), "members")
+    members = written(members.select("key", "center", "sig", "n", "s", F.when(F.col("sig") == F.col("center"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("root", "sig").alias("root")), "members")
     split = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("far") == 0, F.col("root"))).alias("main"), F.count(F.lit(1)).alias("size")).where("low <> high")
     split = written(split.select("key", "main", "size", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "split-lists")
-    left = members.join(F.broadcast(split.where(F.col("size") > hot)), "key").union(members.join(split.where(F.col("size") <= hot), "key"))
+
+    def by_lists(rows: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
+        return rows.join(F.broadcast(marks.where(F.col("size") > hot)), "key", how).union(rows.join(marks.where(F.col("size") <= hot), "key", how))
+
     # one side: the sets outside the component of the list's center, which is mostly the largest
-    left = left.select("key", "sig", "n", "s", "far", "root", (F.col("root") == F.col("main")).alias("in_main"), "tiles", _band(F.col("n"), percent).alias("band"))
-    left = written(left.join(sets.select("sig", "counts", "strong"), "sig"), "left")
-    loads = left.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("in_main")).alias("outside"))
-    heavy = written(loads.where(F.col("size") * F.col("outside") > FAR_PAIRS).select("key", "size"), "heavy-lists")
+    left = by_lists(members, split).select("key", "center", "sig", "n", "s", "far", "root", (F.col("root") == F.col("main")).alias("in_main"), "tiles", _band(F.col("n"), percent).alias("band"))
+    left = written(left, "left")
+
+    def sums(rows: DataFrame, *by: str) -> DataFrame:
+        out = F.when(~F.col("in_main"), F.col("s")).otherwise(0)
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("in_main")).alias("outside"), F.sum("s").alias("tokens"), F.sum(out).alias("out_tokens"))
+
+    # lists with one center are compared as a whole where that makes fewer pairs: near copies of one text share many lists
+    lists_left = written(sums(left, "key", "center"), "loads")
+    whole = sums(left.select("center", "sig", "s", "in_main").distinct(), "center").select("center", *(F.col(c).alias(f"w_{c}") for c in ("size", "outside", "tokens", "out_tokens")))
+    whole = whole.join(lists_left.groupBy("center").agg(F.sum(F.col("size") * F.col("outside")).alias("pairs")), "center")
+    loads = lists_left.join(whole, "center").withColumn("together", F.col("w_size") * F.col("w_outside") <= F.col("pairs"))
+    of = lambda c: F.when(F.col("together"), F.col(f"w_{c}")).otherwise(F.col(c))
+    tiles = lambda n, t: F.greatest(F.lit(1), F.ceil(of(n) / NEAR_TILE), F.ceil(of(t) / NEAR_TOKENS)).cast("int")
+    loads = loads.select("key", "size", F.when(F.col("together"), F.col("center")).otherwise(F.col("key")).alias("group"), "together", (of("size") * of("outside")).alias("pairs"), tiles("outside", "out_tokens").alias("x_tiles"), tiles("size", "tokens").alias("y_tiles"))
+    loads = written(loads, "groups")
+    heavy = written(loads.where(F.col("pairs") > FAR_PAIRS).select("key", "size"), "heavy-lists")
+
+    # similar sets are of one band of sizes or of neighbouring ones; a group's two sides are dealt into tiles, each of which meets each
+    near = by_lists(left.select("key", "sig", "n", "root", "in_main", "band"), loads.where(F.col("pairs") <= FAR_PAIRS))
+    near = written(near.select("group", "together", "x_tiles", "y_tiles", "sig", "n", "root", "in_main", "band").distinct(), "near")
+    tile = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    y = near.select("group", "together", each("x_tiles").alias("x"), tile("y_tiles").alias("y"), "band", F.lit(False).alias("outside"), "sig", "n", "root", "in_main")
+    x = near.where("NOT in_main").select("group", "together", tile("x_tiles").alias("x"), each("y_tiles").alias("y"), "band", F.lit(True).alias("outside"), "sig", "n", "root", "in_main")
+    x = x.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    close = x.union(y).join(sets.select("sig", "tokens"), "sig").groupBy("group", "together", "x", "y", "band").applyInArrow(_near(percent), "a long, b long")
+    links = links.union(close)
+    if not heavy.head(1):
+        return links
 
-    # similar sets are of one band of sizes or of neighbouring ones; the members of a list are dealt into parts
+    # in a list with very many left, sets meet only where they share another key, too; those that can't promise one meet all
+    left = by_lists(left, heavy, "left_semi").join(sets.select("sig", "counts", "strong"), "sig")
     left = left.withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     limit = (100 - percent) / 100 + 1e-9
 
@@ -371,15 +469,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         pairs = x.join(others, [*on, "tile", "band"]).where(_possible(F.col("n"), F.col("s"), F.col("x_n"), F.col("x_s"), percent) & other & near & _overlapping(percent))
         return pairs.select(F.least("sig", "x_sig").alias("a"), F.greatest("sig", "x_sig").alias("b"))
 
-    light = left.join(heavy.select("key"), "key", "left_anti")
-    met = meet(light, light, "key")
-    if heavy.head(1):
-        # in a list with many left, sets meet only where they share another key, too; those that can't promise one meet all
-        large = left.join(F.broadcast(heavy.where(F.col("size") > hot).select("key")), "key", "left_semi").union(left.join(heavy.where(F.col("size") <= hot).select("key"), "key", "left_semi"))
-        strong, weak = large.where("strong"), large.where("NOT strong")
-        second = sets.select("sig", F.explode(F.concat("keys", "more")).alias("second"))
-        dealt = strong.join(second, "sig").where(F.col("second") != F.col("key"))
-        met = met.union(meet(dealt, dealt, "key", "second")).union(meet(weak, large, "key")).union(meet(strong, weak, "key"))
+    strong, weak = left.where("strong"), left.where("NOT strong")
+    second = sets.select("sig", F.explode(F.concat("keys", "more")).alias("second"))
+    dealt = strong.join(second, "sig").where(F.col("second") != F.col("key"))
+    met = meet(dealt, dealt, "key", "second").union(meet(weak, left, "key")).union(meet(strong, weak, "key"))
     rest = met.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     return links.union(_verified(rest, sets, percent).where("linked").select("a", "b"))
 

@@ -78,6 +78,54 @@ def test_jaccard_rests_of_lists(spark, monkeypatch):
     assert seen["heavy-lists"].count() > 20 and 10 < len({c for _, c in got.values()}) < 60
 
 
+def test_common_tokens_of_tiles(monkeypatch):
+    """Tokens in common, counted by matrix products and pair by pair, a few rows and pairs at a time."""
+    from ledgerline.llm import jaccard_join as J
+
+    rng = np.random.default_rng(3)
+    frequent = rng.integers(-(2**62), 2**62, 700)
+    draw = lambda: np.unique(np.concatenate([rng.choice(frequent, 300), rng.integers(0, 900, rng.integers(1, 60))]))
+    xs, ys = [draw() for _ in range(23)], [draw() for _ in range(41)]
+    want = [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    for pairs in (1, 100, 10**6):
+        monkeypatch.setattr(J, "NEAR_PAIRS", pairs)
+        assert np.concatenate([out for _, out in J._in_common(xs, ys)]).tolist() == want
+
+
+def test_jaccard_near_copies_of_one_text(spark, monkeypatch):
+    """Near copies share most of their lists: what is left of these is compared once, in tiles, and no pair becomes a row."""
+    import random
+
+    from ledgerline.llm import jaccard_join as J
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    rows = [" ".join(words)]
+    for _ in range(150):
+        v = list(words)
+        for _ in range(rng.randrange(1, 8)):
+            v[rng.randrange(len(v))] = f"n{rng.randrange(12)}"
+        rows.append(" ".join(v))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: g for (i, _), g in zip(rows, brute.similar_groups(rows), strict=True)}
+    verified, plain, whole = [], J._verified, J.written
+    monkeypatch.setattr(J, "_verified", lambda pairs, *a: verified.append(pairs) or plain(pairs, *a))
+    seen = {}
+    monkeypatch.setattr(J, "written", lambda df, name: seen.setdefault(name, whole(df, name)) if name in ("groups", "near") else whole(df, name))
+    for limits in ({"FREQUENT": 20, "SHORT": 4}, {"NEAR_TILE": 20, "NEAR_TOKENS": 2000, "HOT_LIST": 8}):
+        seen.clear()
+        verified.clear()
+        for name, value in limits.items():
+            monkeypatch.setattr(J, name, value)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df).collect()} == want
+        assert len(verified) == 1  # short lists and centers only
+        assert seen["groups"].where("together").count() > 10 and seen["near"].select("group").distinct().count() < seen["groups"].count() / 2
+    assert seen["groups"].where("x_tiles > 1 AND y_tiles > x_tiles").count() > 0
+    assert 5 < len({c for _, c in want.values()}) < 140
+
+
 def test_jaccard_hot_copies(spark, docs, rows, monkeypatch):
     """Sets with many copies, hot tokens and names that several sets would share change nothing."""
     from ledgerline.llm import jaccard_join as J
