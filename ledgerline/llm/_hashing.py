@@ -13,7 +13,10 @@ import xxhash
 AT_ONCE = 4 << 20
 #: Odd multipliers (fractional parts of the golden ratio and of the square root of 2, as 64 bits).
 FACTORS = (0x9E3779B97F4A7C15, 0x6A09E667F3BCC909)
-_M64 = (1 << 64) - 1
+#: Words up to so many bytes (a multiple of 8) are hashed together.
+AT_LENGTH = 64
+#: The first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def parts(batches: Iterator[pa.RecordBatch], text: int, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -43,10 +46,28 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
 
 
 def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    coded = words.dictionary_encode()
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return own[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else own
+    """A 64-bit hash of each word.
+
+    Words are hashed all at once, eight bytes a step, from their length on; those of one length up to 8 bytes can't collide.
+    Longer ones than AT_LENGTH bytes are hashed one by one.
+    """
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    words = pa.concat_arrays([words.cast(pa.large_binary())])
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    begin, size = ends[:-1], np.diff(ends)
+    raw = np.concatenate([np.frombuffer(words.buffers()[2], np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # those from each byte on
+    out = mixed((mixed(size.astype(np.uint64) ^ (np.uint64(seed) << np.uint64(32))) * np.uint64(FACTORS[0])) ^ (eight[begin] & _FIRST[np.minimum(size, 8)]))
+    longer = np.flatnonzero(size > 8)
+    for at in range(8, AT_LENGTH, 8):
+        if not len(longer):
+            break
+        out[longer] = mixed((out[longer] * np.uint64(FACTORS[0])) ^ (eight[begin[longer] + at] & _FIRST[np.minimum(size[longer] - at, 8)]))
+        longer = longer[size[longer] > at + 8]
+    for i in longer:
+        out[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : ends[i + 1]], seed)
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

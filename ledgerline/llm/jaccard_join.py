@@ -61,12 +61,20 @@ def _sets(batch: pa.RecordBatch, text: int, size: int) -> tuple[np.ndarray, np.n
     """All distinct shingles of a text, text after text (each sorted), and where each text's begin."""
     words, starts = H.split_words(batch.column(text), lower=True)
     h = H.word_hashes(words)
+    tokens, n = np.zeros(len(h), np.uint64), np.diff(starts)
     grams = H.run_hashes(h, size)
-    found = []
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
+    tokens[: len(grams)] = grams
+    whole = n >= size
+    for a, b in zip(starts[:-1][whole].tolist(), starts[1:][whole].tolist(), strict=True):
+        tokens[a : b - size + 1].sort()
+    keep = np.ones(len(h), bool)
+    keep[1:] = tokens[1:] != tokens[:-1]
+    keep[(starts[1:][whole][:, None] - np.arange(1, size)).ravel()] = False  # no shingle begins there
+    for a, b in zip(starts[:-1][(n > 0) & ~whole].tolist(), starts[1:][(n > 0) & ~whole].tolist(), strict=True):
         # a sequence too short for a shingle is one of its own; its length keeps it apart
-        found.append(np.unique(grams[a : b - size + 1]) if b - a >= size else H.run_hashes(h[a:b], int(b - a)) + np.uint64(b - a) if b > a else h[:0])
-    return np.concatenate(found) if found else h[:0], np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+        tokens[a], keep[a:b] = H.run_hashes(h[a:b], b - a)[0] + np.uint64(b - a), False
+    keep[starts[:-1][n > 0]] = True
+    return tokens[keep], np.concatenate([[0], np.cumsum(keep)])[starts]
 
 
 def _digests(tokens: np.ndarray, starts: np.ndarray, factor: int = H.FACTORS[1]) -> np.ndarray:
@@ -131,9 +139,9 @@ def _renamed(renamed: list[np.ndarray]):
     return found
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """The lower 48 bits of each; the block they are in stands for the upper ones."""
-    return tokens.view("<u2").reshape(-1, 4)[:, :3].tobytes()
+def _packed(tokens: np.ndarray) -> np.ndarray:
+    """The lower 48 bits of each, a row each; the block they are in stands for the upper ones."""
+    return np.ascontiguousarray(tokens.view("<u2").reshape(-1, 4)[:, :3])
 
 
 def _unpacked(raw: bytes, block: int) -> np.ndarray:
@@ -152,10 +160,9 @@ class Apart(NamedTuple):
 
 
 def _in_blocks(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by block, and where each block begins in it."""
-    block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    order = np.argsort(block.astype(np.uint32), kind="stable")
-    return order, np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
+    """An order by block, stable, and where each block begins in it."""
+    block = (((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.uint16 if blocks <= 1 << 16 else np.uint32)
+    return np.argsort(block, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
 
 
 def _dealt(size: int, blocks: int, back: int, least: int, apart: Apart, copied: bool):
@@ -177,20 +184,30 @@ def _dealt(size: int, blocks: int, back: int, least: int, apart: Apart, copied:
             owner, tokens = np.repeat(np.arange(len(n), dtype=np.uint16 if len(n) < 1 << 16 else np.uint32), n)[keep], tokens[keep]
             rows = []
 
-            def add(first: int, own: np.ndarray, order: np.ndarray, ends: np.ndarray, pack) -> None:
-                for b in np.flatnonzero(np.diff(ends)):
-                    part = order[ends[b] : ends[b + 1]]
-                    sets, which = np.unique(own[part], return_inverse=True)
-                    rows.append((first + int(b), sigs[sets].tobytes(), n[sets].astype("<u4").tobytes(), which.astype("<u2" if len(sets) < 1 << 16 else "<u4").tobytes(), pack(part)))  # noqa: B023
+            def add(first: int, own: np.ndarray, order: np.ndarray, ends: np.ndarray, packed: np.ndarray) -> None:
+                # in a block tokens stay in the order of their sets: each change is a new one
+                here = np.flatnonzero(np.diff(ends))
+                own = own[order]
+                new = np.ones(len(own), bool)
+                new[1:] = own[1:] != own[:-1]
+                new[ends[here]] = True
+                rank = np.cumsum(new) - 1
+                sets = own[new]
+                names, sizes = sigs[sets], n[sets].astype("<u4")
+                for b, i, j in zip(here.tolist(), ends[here].tolist(), ends[here + 1].tolist(), strict=True):
+                    p, q = rank[i], rank[j - 1] + 1
+                    rows.append((first + b, names[p:q].tobytes(), sizes[p:q].tobytes(), (rank[i:j] - p).astype("<u2" if q - p < 1 << 16 else "<u4").tobytes(), packed[i:j].tobytes()))  # noqa: B023
 
             if len(apart.hot):
                 at = np.minimum(np.searchsorted(apart.hot, tokens), len(apart.hot) - 1)
                 is_hot = apart.hot[at] == tokens
                 if is_hot.any():
                     own, at = owner[is_hot], at[is_hot].astype("<u4")
-                    add(blocks, own, *_in_blocks(sigs[own], back), lambda part: at[part].tobytes())  # noqa: B023
+                    order, ends = _in_blocks(sigs[own], back)
+                    add(blocks, own, order, ends, at[order])
                     owner, tokens = owner[~is_hot], tokens[~is_hot]
-            add(0, owner, *_in_blocks(tokens, blocks), lambda part: _packed(tokens[part]))  # noqa: B023
+            order, ends = _in_blocks(tokens, blocks)
+            add(0, owner, order, ends, _packed(tokens[order]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["block", "sigs", "sizes", "owner", "tokens"])
 

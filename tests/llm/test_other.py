@@ -24,6 +24,41 @@ def test_jaccard_join(docs, rows, none):
     assert kept.columns == docs.columns
 
 
+def test_words_are_hashed_together(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others have not, and only very long ones are hashed one by one."""
+    import pyarrow as pa
+
+    from ledgerline.llm import _hashing as H
+
+    one_by_one, digest = [], H.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(H.xxhash, "xxh3_64_intdigest", lambda word, seed: one_by_one.append(len(word)) or digest(word, seed))
+    unlike = ["a", "a\0", "\0", "\0\0", "é", "ab", "ba", *("x" * n for n in range(2, 130)), *("x" * n + "y" for n in range(1, 130)), *("y" + "x" * n for n in range(2, 130))]
+    words = pa.array(["before", *unlike, *reversed(unlike)])[1:]
+    for seed in (0, 1):
+        h = H.word_hashes(words, seed)
+        assert (h == h[::-1]).all() and len(np.unique(h)) == len(unlike)
+    assert not (h == H.word_hashes(words)).any()
+    assert min(one_by_one) > H.AT_LENGTH
+    assert len(H.word_hashes(pa.array([], pa.string()))) == 0
+
+
+def test_jaccard_sets_of_a_slice():
+    """Texts of no, few, many and repeated words, side by side: each set is its own."""
+    import pyarrow as pa
+
+    from ledgerline.llm import jaccard_join as J
+
+    texts = [None, "", "a b", "A  b", "a b c d e", "a b c d e", " ", "b c d", "x a b c d e a b c d e a b c d e", "a", "b", "a b c d e f", None]
+    tokens, starts = J._sets(pa.record_batch([pa.array(texts)], ["text"]), 0, 5)
+    want = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in ((t or "").lower().split() for t in texts)]
+    got = [tokens[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert [len(g) for g in got] == [len(w) for w in want]
+    assert all((np.diff(g.astype(object)) > 0).all() for g in got)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
 def test_jaccard_frequent_tokens(spark, monkeypatch):
     """Long lists, frequent classes and pairs of them, on a hot group whose copies differ from each other more than from their source."""
     import random
